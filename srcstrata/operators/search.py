@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcstrata.functions import patterns as P
@@ -18,8 +18,8 @@ from srcstrata.schemas import FILE_KEY
 _BRANCH = ("repository_id", "branch_id")
 
 
-def _with_names(files: DataFrame) -> DataFrame:
-    """Per file: its first class, its class names without duplicates, its tokens."""
+def file_names(files: DataFrame) -> DataFrame:
+    """Per file: the names of its classes, each once and the first class first, and its tokens."""
     lines, language = F.col("lines"), F.col("language")
     found = files.select(
         *FILE_KEY, class_matches(language, lines).alias("names"),
@@ -32,27 +32,33 @@ def _with_names(files: DataFrame) -> DataFrame:
     return found.select(*FILE_KEY, stored.alias("class_names"), "tokens")
 
 
-def class_definitions(files: DataFrame) -> DataFrame:
+def class_definitions(named: DataFrame) -> DataFrame:
     """(file key, name) of every class, repeated declarations of a file once."""
-    return _with_names(files).select(*FILE_KEY, F.explode("class_names").alias("name"))
+    return named.select(*FILE_KEY, F.explode_outer("class_names").alias("name")).filter(
+        "name IS NOT NULL")
 
 
-def class_dependencies(files: DataFrame) -> DataFrame:
+def class_dependencies(named: DataFrame) -> DataFrame:
     """References from a file's first class to class names of other files of its branch.
 
-    One row per (file, referenced name) with ``target_files``, the number of
-    other files that define the name. This is the whole edge set in factored
-    form: a name defined in n files and used in m is m rows and not n x m. See
-    :func:`expand_dependencies` for the rows of the ``dependencies`` table.
+    ``named`` comes from :func:`file_names`. One row per (file, referenced name)
+    with ``target_files``, the number of other files that define the name. This
+    is the whole edge set in factored form: a name defined in n files and used
+    in m is m rows and not n x m. See :func:`expand_dependencies` for the rows
+    of the ``dependencies`` table.
     """
-    named = _with_names(files)
-    uses = named.filter(F.size("class_names") > 0).select(
-        *FILE_KEY, F.col("class_names")[0].alias("source_class"), "class_names",
-        F.explode("tokens").alias("target_class")
-    ).withColumn("own", F.array_contains("class_names", F.col("target_class")).cast("int")).drop(
-        "class_names")
-    defined = (named.select(*_BRANCH, F.explode("class_names").alias("target_class"))
-               .groupBy(*_BRANCH, "target_class").agg(F.count("*").alias("n_files")))
+    def tagged(tokens: Column, own: int) -> Column:
+        return F.transform(tokens, lambda t: F.struct(t.alias("target_class"), F.lit(own).alias("own")))
+
+    names = F.col("class_names")
+    uses = named.select(
+        *FILE_KEY, F.when(F.size(names) > 0, names[0]).alias("source_class"),
+        F.explode_outer(F.when(F.size(names) > 0, F.concat(
+            tagged(F.array_intersect("tokens", names), 1),
+            tagged(F.array_except("tokens", names), 0)))).alias("use"),
+    ).filter("use IS NOT NULL").select(*FILE_KEY, "source_class", "use.*")
+    defined = (class_definitions(named).groupBy(*_BRANCH, F.col("name").alias("target_class"))
+               .agg(F.count("*").alias("n_files")))
     return (null_safe_join(uses, defined, (*_BRANCH, "target_class"), "inner")
             .withColumn("target_files", F.col("n_files") - F.col("own")).filter("target_files > 0")
             .select(*_BRANCH, F.col("path").alias("source_path"), "source_class", "target_class",

@@ -35,7 +35,8 @@ def split_malformed(files: DataFrame, content: str = "content") -> tuple[DataFra
 
 def file_lines(files: DataFrame) -> DataFrame:
     """One row per line, numbered from 0."""
-    return files.select(*FILE_KEY, "language", F.posexplode("lines").alias("line_no", "line"))
+    return files.select(*FILE_KEY, "language", F.posexplode_outer("lines").alias("line_no", "line")
+                        ).filter("line IS NOT NULL")
 
 
 def line_count(lines: Column) -> Column:
@@ -89,8 +90,13 @@ def match_symbols(files: DataFrame) -> DataFrame:
 
 
 def raw_symbols(matched: DataFrame, column: str) -> DataFrame:
-    """One row per match: file key, position in the file, name as written."""
-    return matched.select(*FILE_KEY, F.posexplode(column).alias("seq", "raw_name"))
+    """One row per match: file key, position in the file, name as written.
+
+    An inner explode would make the optimizer add a size filter below it, and
+    with it a second evaluation of the patterns; the outer one is evaluated once.
+    """
+    return matched.select(*FILE_KEY, F.posexplode_outer(column).alias("seq", "raw_name")).filter(
+        "raw_name IS NOT NULL")
 
 
 def numbered_name(raw_name: Column, occurrence: Column) -> Column:
@@ -118,7 +124,7 @@ def file_symbols(matched: DataFrame) -> DataFrame:
         .when(F.size("method_names") > 0, fallback_class_name(F.col("path")))
         .alias("first_class"),
         F.size("method_names").alias("methods_in_file"),
-        F.explode(F.concat(
+        F.explode_outer(F.concat(
             F.when(F.size("class_names") > 0, _tagged("class_names", "class"))
             .when(F.size("method_names") > 0, F.array(F.struct(
                 F.lit("class").alias("kind"), F.lit(0).alias("seq"),
@@ -126,7 +132,7 @@ def file_symbols(matched: DataFrame) -> DataFrame:
             .otherwise(_tagged("class_names", "class")),
             _tagged("method_names", "method"),
         )).alias("s"),
-    ).select(*FILE_KEY, "loc", "first_class", "methods_in_file", "s.*")
+    ).filter("s IS NOT NULL").select(*FILE_KEY, "loc", "first_class", "methods_in_file", "s.*")
     named = unique_names(exploded.repartition(*FILE_KEY), "kind")
     is_class = F.col("kind") == "class"
     return named.select(

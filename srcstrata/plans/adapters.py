@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from srcstrata.operators import search, symbols
 from srcstrata.operators.relational import top1_per_group
 from srcstrata.schemas import ARTIFACT_FORMAT, ARTIFACT_TYPE, TABLES
+from srcstrata.session import spread, stored
 
 # Events before this time made the stored state, those from it on are the batch.
 CUT = "1998-06-01 00:00:00"
@@ -161,7 +162,7 @@ class Catalogue:
     @cached_property
     def file_contents(self) -> DataFrame:
         """Documents written as code line by line, and pages as they are."""
-        documents = self.raw("documents").select(
+        documents = spread(self.raw("documents").select("doc_id", "text", "source"), "doc_id").select(
             F.expr("doc_id div 50 * 2").alias("repository_id"),
             F.expr("doc_id div 50 * 20 + 1 + doc_id % 50 div 25").alias("branch_id"),
             F.col("doc_id").alias("scan_run_id"),
@@ -169,7 +170,7 @@ class Catalogue:
                    "[cast(doc_id % 4 as int)])").alias("path"),
             F.expr(f"{_array(LANGUAGES)}[cast(doc_id % 4 as int)]").alias("language"),
             _code_of(F.col("text"), F.col("doc_id")).alias("content"))
-        pages = self.raw("pages").selectExpr(
+        pages = spread(self.raw("pages").select("page_id", "html"), "page_id").selectExpr(
             "page_id div 50 * 2 as repository_id", "page_id div 50 * 20 + 3 as branch_id",
             "page_id as scan_run_id", "concat('web/', page_id, '.js') as path",
             "'JavaScript' as language", "html as content")
@@ -200,13 +201,29 @@ class Catalogue:
         return symbols.method_rows(self.symbols)
 
     @cached_property
-    def dependencies(self) -> DataFrame:
-        return search.expand_dependencies(search.class_dependencies(self.lines),
-                                          search.class_definitions(self.lines))
+    def named(self) -> DataFrame:
+        return search.file_names(self.lines)
 
-    def tables(self) -> dict[str, DataFrame]:
-        """All fourteen tables with their declared column names."""
-        return {name: getattr(self, name).select(*table.names) for name, table in TABLES.items()}
+    @cached_property
+    def dependencies(self) -> DataFrame:
+        return search.expand_dependencies(search.class_dependencies(self.named),
+                                          search.class_definitions(self.named))
+
+    def tables(self, *names: str) -> dict[str, DataFrame]:
+        """The named tables, or all fourteen, with their declared columns.
+
+        What the scan found is read more than once by the checks and deletes,
+        so it is stored first and not extracted again.
+        """
+        names = names or tuple(TABLES)
+        if {"source_files", "classes", "methods"} & set(names):
+            self.matched = stored(self.matched, "matched")
+        if {"classes", "methods"} & set(names):
+            self.symbols = stored(self.symbols, "symbols")
+        if "dependencies" in names:
+            self.named = stored(self.named, "named")
+            self.dependencies = stored(self.dependencies, "dependencies")
+        return {name: getattr(self, name).select(*TABLES[name].names) for name in names}
 
     # --- manifests and listings -------------------------------------------------
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the jobs rely on. They are SQL settings, so they can be put
 # on a session somebody else created.
@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Hash instead of sort where every partition of one side is known to be this small.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
@@ -28,6 +30,8 @@ def build_session(app: str = "srcstrata", cores: str | int = "*", shuffle_partit
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # Small local inputs still use every core after a shuffle.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
@@ -54,3 +58,29 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex[:12]}")
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows written once to the shared folder and read back.
+
+    Cuts the lineage of a result that several later steps read, and survives
+    the loss of executors.
+    """
+    folder = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deals a small input out to all cores before costly per-row work.
+
+    A table in one row group is read by one task however many cores there are.
+    Where the input is below 32 MB per core it is shuffled once by its key;
+    a larger one has enough splits and is left as it was read.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) >= cores * 32 * 1024 * 1024:
+        return df
+    return df.repartition(cores, *keys)

@@ -15,6 +15,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -90,9 +91,9 @@ def _read(root: str, path: str) -> bytes:
 
 @dataclass
 class TreePart(InputPartition):
-    """Either a folder to walk or a group of listed files."""
+    """Folders to walk and files already listed."""
 
-    folder: str | None
+    folders: tuple[str, ...] = ()
     files: tuple[tuple[str, int], ...] = ()
 
 
@@ -115,16 +116,17 @@ class SourceTreeReader(DataSourceReader):
                         files.append((path, size))
                         packed += size
                         if packed >= GROUP_BYTES or len(files) == GROUP_FILES:
-                            parts.append(TreePart(None, tuple(files)))
+                            parts.append(TreePart(files=tuple(files)))
                             files, packed = [], 0
             folders = deeper
         if files:
-            parts.append(TreePart(None, tuple(files)))
-        return parts + [TreePart(folder) for folder in folders] or [TreePart(None)]
+            parts.append(TreePart(files=tuple(files)))
+        shares = [TreePart(tuple(folders[i::self.target])) for i in range(self.target)]
+        return parts + [share for share in shares if share.folders] or [TreePart()]
 
     def read(self, partition: TreePart) -> Iterator[tuple[str, int, bytes]]:
-        files = partition.files if partition.folder is None else _walk(self.root, partition.folder)
-        for path, size in files:
+        walked = (found for folder in partition.folders for found in _walk(self.root, folder))
+        for path, size in chain(partition.files, walked):
             if size <= self.cap:
                 content = _read(self.root, path)
                 yield path, len(content), content
