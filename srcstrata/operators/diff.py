@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from srcstrata.functions.text import split_lines
 from srcstrata.operators.relational import rank_in_group
+from srcstrata.session import stored
 
 
 def _digest(snapshot: DataFrame) -> DataFrame:
@@ -17,8 +18,9 @@ def _digest(snapshot: DataFrame) -> DataFrame:
 def snapshot_file_changes(base: DataFrame, head: DataFrame) -> DataFrame:
     """``path, old_path, change_type, additions, deletions`` from base to head.
 
-    Both inputs are (path, content) with unique paths. Paths are compared by
-    content hash, so file texts are shuffled only for modified files.
+    Both inputs are (path, content) with unique paths. Every text is hashed once
+    and the paths with their hashes are stored; texts are read again and
+    shuffled for modified files only.
 
     * same path, other content: ``modified``, lines counted as a multiset difference;
     * a new path with the content of a vanished one: ``renamed``, paired in path order;
@@ -27,7 +29,7 @@ def snapshot_file_changes(base: DataFrame, head: DataFrame) -> DataFrame:
     """
     b = _digest(base).withColumnsRenamed({"sha": "base_sha", "n_lines": "base_lines"})
     h = _digest(head).withColumnsRenamed({"sha": "head_sha", "n_lines": "head_lines"})
-    both = b.join(h, "path", "full_outer")
+    both = stored(b.join(h, "path", "full_outer"), "paths")
 
     gone = both.filter("head_sha IS NULL").select("path", F.col("base_sha").alias("sha"),
                                                   F.col("base_lines").alias("n_lines"))
@@ -39,7 +41,8 @@ def snapshot_file_changes(base: DataFrame, head: DataFrame) -> DataFrame:
         .unionByName(pairs.select(
             "path", "old_path", F.lit("renamed").alias("change_type"),
             F.lit(0).alias("additions"), F.lit(0).alias("deletions")))
-        .unionByName(_copied_or_added(come.join(pairs, "path", "left_anti"), b))
+        .unionByName(_copied_or_added(come.join(pairs, "path", "left_anti"),
+                                      both.filter("base_sha IS NOT NULL")))
         .unionByName(gone.join(pairs.select(F.col("old_path").alias("path")), "path", "left_anti")
                      .select("path", F.lit(None).cast("string").alias("old_path"),
                              F.lit("deleted").alias("change_type"),

@@ -38,15 +38,17 @@ def class_definitions(named: DataFrame) -> DataFrame:
         "name IS NOT NULL")
 
 
-def class_dependencies(named: DataFrame) -> DataFrame:
+def class_dependencies(named: DataFrame, definitions: DataFrame | None = None) -> DataFrame:
     """References from a file's first class to class names of other files of its branch.
 
     ``named`` comes from :func:`file_names`. One row per (file, referenced name)
     with ``target_files``, the number of other files that define the name. This
     is the whole edge set in factored form: a name defined in n files and used
-    in m is m rows and not n x m. See :func:`expand_dependencies` for the rows
-    of the ``dependencies`` table.
+    in m is m rows and not n x m. See :func:`resolve_dependencies` for the rows
+    of the ``dependencies`` table. With the ``definitions`` of a stored scan the
+    texts are read once, else once more for the class names.
     """
+    definitions = class_definitions(named) if definitions is None else definitions
     def tagged(tokens: Column, own: int) -> Column:
         return F.transform(tokens, lambda t: F.struct(t.alias("target_class"), F.lit(own).alias("own")))
 
@@ -57,7 +59,7 @@ def class_dependencies(named: DataFrame) -> DataFrame:
             tagged(F.array_intersect("tokens", names), 1),
             tagged(F.array_except("tokens", names), 0)))).alias("use"),
     ).filter("use IS NOT NULL").select(*FILE_KEY, "source_class", "use.*")
-    defined = (class_definitions(named).groupBy(*_BRANCH, F.col("name").alias("target_class"))
+    defined = (definitions.groupBy(*_BRANCH, F.col("name").alias("target_class"))
                .agg(F.count("*").alias("n_files")))
     return (null_safe_join(uses, defined, (*_BRANCH, "target_class"), "inner")
             .withColumn("target_files", F.col("n_files") - F.col("own")).filter("target_files > 0")
@@ -70,13 +72,21 @@ def dependency_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy(*_BRANCH).agg(F.sum("target_files").alias("dependency_count"))
 
 
-def expand_dependencies(edges: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Rows of the ``dependencies`` table: one per source class and target class."""
-    targets = definitions.select(*_BRANCH, F.col("path").alias("target_path"),
-                                 F.col("name").alias("target_class"))
-    return (null_safe_join(edges.drop("target_files"), targets, (*_BRANCH, "target_class"), "inner")
-            .filter("source_path <> target_path")
-            .withColumn("dependency_type", F.lit("reference")))
+def resolve_dependencies(edges: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Rows of the ``dependencies`` table: each reference with one class it names.
+
+    Where several files of the branch define the name, the smallest path other
+    than the referring file is taken, so there is one row per reference.
+    """
+    w = Window.partitionBy(*_BRANCH, "name").orderBy("path")
+    smallest = definitions.withColumn("n", F.row_number().over(w)).filter("n <= 2")
+    targets = smallest.groupBy(*_BRANCH, F.col("name").alias("target_class")).agg(
+        F.min("path").alias("first_path"), F.max("path").alias("second_path"))
+    return null_safe_join(edges, targets, (*_BRANCH, "target_class"), "inner").select(
+        *_BRANCH, "source_path", "source_class",
+        F.when(F.col("first_path") == F.col("source_path"), F.col("second_path"))
+        .otherwise(F.col("first_path")).alias("target_path"),
+        "target_class", F.lit("reference").alias("dependency_type"))
 
 
 def symbol_search(classes: DataFrame, methods: DataFrame, prefix: str) -> DataFrame:

@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 from srcstrata.operators.relational import null_safe_join, top1_per_group
 
 def join_repo_branches(repositories: DataFrame, branches: DataFrame) -> DataFrame:
-    """Repositories with their branches; repositories without one are kept."""
-    b = branches.select(F.col("repository_id").alias("b_repository_id"),
-                        F.col("id").alias("branch_id"), F.col("name").alias("branch_name"))
-    return repositories.join(b, repositories.id == b.b_repository_id, "left").drop("b_repository_id")
+    """Repositories with their branches; repositories without one are kept.
+
+    Written as an inner join and the repositories left over: the rows of a
+    repository with very many branches can then be split over tasks, which an
+    outer join does not allow on its right side.
+    """
+    b = branches.select(F.col("repository_id").alias("id"), F.col("id").alias("branch_id"),
+                        F.col("name").alias("branch_name"))
+    found = repositories.join(b, "id")
+    without = repositories.join(b.select("id").distinct(), "id", "left_anti")
+    return found.unionByName(without, allowMissingColumns=True)
 
 
 def branch_count(repositories: DataFrame, branches: DataFrame) -> DataFrame:

@@ -334,10 +334,11 @@ VIEWS: dict[str, str] = {
                           and d.name = t.token and d.path <> f.path
         where f.first_class is not null group by all""",
     "dependencies": """
-        select e.repository_id, e.branch_id, e.source_path, e.source_class, d.path as target_path,
+        select e.repository_id, e.branch_id, e.source_path, e.source_class, min(d.path) as target_path,
                d.name as target_class, 'reference' as dependency_type
         from edges e join definitions d on d.repository_id = e.repository_id
-             and d.branch_id = e.branch_id and d.name = e.target_class and d.path <> e.source_path""",
+             and d.branch_id = e.branch_id and d.name = e.target_class and d.path <> e.source_path
+        group by all""",
     # --- events of the state changes -------------------------------------------------------
     "shipments": f"""
         select o_custkey * 2 as repository_id, o_custkey * 20 + {CODE} as branch_id,

@@ -14,7 +14,7 @@ from srcstrata.operators import cascade, diff, quality, search, state, summary,
 from srcstrata.operators.relational import null_safe_join
 from srcstrata.plans.adapters import CUT, Catalogue, daily_metrics
 from srcstrata.schemas import FILE_KEY, TABLES
-from srcstrata.session import shared_folder
+from srcstrata.session import shared_folder, stored
 from srcstrata.sources import listings, source_tree, tables
 from srcstrata.streaming import scan_events
 
@@ -72,11 +72,10 @@ def read_repository_tables(c):
     names = ["repositories", "branches", "scan_runs", "repository_metrics"]
     for name in names:
         table = TABLES[name]
-        stored = getattr(c, name).select(*[
-            F.col(f.name).cast(f.dataType) for f in table.schema])
-        stored.write.parquet(f"{folder}/{name}")
-    stored = tables.read_tables(c.spark, folder, names)
-    return _naive(summary.list_repositories(*stored.values()), "last_scanned_at")
+        rows = getattr(c, name).select(*[F.col(f.name).cast(f.dataType) for f in table.schema])
+        rows.write.parquet(f"{folder}/{name}")
+    read = tables.read_tables(c.spark, folder, names)
+    return _naive(summary.list_repositories(*read.values()), "last_scanned_at")
 
 
 @query
@@ -361,7 +360,7 @@ QUERIES["top1_per_group"] = QUERIES.pop("top1_per_group_")
 
 @query
 def upsert_repositories(c):
-    stored = c.repositories.join(c.raw("customer").selectExpr("c_custkey * 2 as id"), "id", "left_semi")
+    known = c.repositories.join(c.raw("customer").selectExpr("c_custkey * 2 as id"), "id", "left_semi")
     renamed = c.raw("orders").selectExpr("o_custkey * 2 as id", "o_orderkey as event_id",
                                          "o_orderdate as event_time", "o_orderpriority as tag")
     supplied = c.raw("lineitem").selectExpr(
@@ -371,7 +370,7 @@ def upsert_repositories(c):
     urls = c.repositories.select("id", "url", "name")
     _, batch = c.split(events.join(urls, "id").select(
         "url", F.concat("name", F.lit("-"), "tag").alias("name"), "event_time", "event_id"))
-    return state.upsert_repositories(stored, batch).select("url", "name", "created_at", "updated_at")
+    return state.upsert_repositories(known, batch).select("url", "name", "created_at", "updated_at")
 
 
 def _commit_events(c: Catalogue) -> DataFrame:
@@ -385,8 +384,8 @@ def _commit_events(c: Catalogue) -> DataFrame:
 @query
 def upsert_commits(c):
     before, since = c.split(_commit_events(c))
-    stored = state.upsert_commits(c.empty("commits"), before)
-    return state.upsert_commits(stored, since).drop("id")
+    known = stored(state.upsert_commits(c.empty("commits"), before), "commits")
+    return state.upsert_commits(known, since).drop("id")
 
 
 def _branch_events(c: Catalogue) -> DataFrame:
@@ -399,8 +398,8 @@ def _branch_events(c: Catalogue) -> DataFrame:
 @query
 def upsert_branches(c):
     before, since = c.split(_branch_events(c))
-    stored = state.upsert_branches(c.empty("branches"), before)
-    return state.upsert_branches(stored, since).drop("id")
+    known = stored(state.upsert_branches(c.empty("branches"), before), "branches")
+    return state.upsert_branches(known, since).drop("id")
 
 
 @query
@@ -408,8 +407,8 @@ def link_branch_commits(c):
     links = c.shipments.select("repository_id", "branch_id", "commit_id",
                                F.col("event_time").alias("first_seen_at"))
     before, since = c.split(links, "first_seen_at")
-    stored = state.link_branch_commits(c.empty("branch_commits"), before)
-    return state.link_branch_commits(stored, since).drop("id")
+    known = stored(state.link_branch_commits(c.empty("branch_commits"), before), "branch_commits")
+    return state.link_branch_commits(known, since).drop("id")
 
 
 @query

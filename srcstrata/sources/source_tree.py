@@ -154,14 +154,20 @@ def read_tree(spark: SparkSession, root: str, **options) -> DataFrame:
     return reader.load()
 
 
+def _tasks(df: DataFrame, partitions: int | None) -> int:
+    """An explicit number: adaptive execution would merge these few bytes into one task."""
+    return partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def list_trees(roots: DataFrame, max_file_bytes: int = MAX_SOURCE_BYTES,
-               fan_out_levels: int = 2) -> DataFrame:
+               fan_out_levels: int = 2, partitions: int | None = None) -> DataFrame:
     """Files of many trees: the columns of ``roots`` (with ``root``) and path, size.
 
     A tree of any size is spread over tasks: its upper folder levels are listed
     first and the folders found there are dealt out again before they are walked.
     """
     keys = roots.columns
+    tasks = _tasks(roots, partitions)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in roots.schema)
     schema += ", folder string, path string, size long"
 
@@ -189,7 +195,7 @@ def list_trees(roots: DataFrame, max_file_bytes: int = MAX_SOURCE_BYTES,
     open_folders = roots.withColumn("folder", F.lit(""))
     files = None
     for level in range(fan_out_levels + 1):
-        dealt = open_folders.repartition("root", "folder")
+        dealt = open_folders.repartition(tasks, "root", "folder")
         found = dealt.mapInPandas(step(level == fan_out_levels), schema)
         here = found.filter("path IS NOT NULL").drop("folder")
         files = here if files is None else files.unionByName(here)
@@ -219,8 +225,7 @@ def read_files(files: DataFrame, partitions: int | None = None) -> DataFrame:
 
     Files are dealt out by path, at most 1 MB each, so tasks get even shares.
     """
-    dealt = files.repartition(partitions, "root", "path") if partitions else files.repartition(
-        "root", "path")
+    dealt = files.repartition(_tasks(files, partitions), "root", "path")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
