@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcstrata.schemas import TABLES
+from srcstrata.session import stored
 
 
 def cascade_delete(tables: dict[str, DataFrame], root: str, ids: DataFrame
@@ -15,12 +16,14 @@ def cascade_delete(tables: dict[str, DataFrame], root: str, ids: DataFrame
     """Deletes rows of ``root`` by id: (all tables afterwards, ids not found).
 
     Tables are visited parents first. Through a CASCADE key a row goes with its
-    parent; through a SET NULL key only the named columns are emptied. Nothing
-    runs here: the result is one lazy plan of anti and left joins per table.
+    parent; through a SET NULL key only the named columns are emptied. The keys
+    removed from a parent are stored, so that its children neither find them
+    again nor have to guess their size; the tables themselves stay lazy.
     """
     ids = ids.select("id").distinct()
     unknown = ids.join(tables[root].select("id"), "id", "left_anti")
-    removed: dict[str, DataFrame] = {root: tables[root].join(ids, "id", "left_semi")}
+    removed: dict[str, DataFrame] = {root: stored(tables[root].join(ids, "id", "left_semi").select(
+        *_columns_named_by_children(root)), f"removed-{root}")}
     out = {root: tables[root].join(ids, "id", "left_anti")}
     for name, table in TABLES.items():
         if name == root or name not in tables:
@@ -32,8 +35,9 @@ def cascade_delete(tables: dict[str, DataFrame], root: str, ids: DataFrame
                 gone.append(tables[name].join(dead, list(fk.columns), "left_semi"))
                 kept = kept.join(dead, list(fk.columns), "left_anti")
         named = _columns_named_by_children(name)
-        if gone and named:
-            removed[name] = reduce(DataFrame.unionByName, [g.select(*named) for g in gone])
+        if gone and named and any(_refers_to(child, name) for child in tables):
+            removed[name] = stored(reduce(DataFrame.unionByName, [g.select(*named) for g in gone]
+                                          ).distinct(), f"removed-{name}")
         for fk in table.foreign_keys:
             if fk.on_delete == "set_null" and fk.parent in removed:
                 kept = _empty_columns(kept, _parent_keys(removed[fk.parent], fk), fk)
@@ -46,13 +50,17 @@ def _columns_named_by_children(parent: str) -> list[str]:
                    if fk.parent == parent for column in fk.parent_columns})
 
 
+def _refers_to(child: str, parent: str) -> bool:
+    return any(fk.parent == parent and fk.on_delete != "no_action"
+               for fk in TABLES[child].foreign_keys)
+
+
 def _parent_keys(removed: DataFrame, fk) -> DataFrame:
-    return removed.select(*[F.col(p).alias(c) for c, p in zip(fk.columns, fk.parent_columns)]
-                          ).distinct()
+    return removed.select(*[F.col(p).alias(c) for c, p in zip(fk.columns, fk.parent_columns)])
 
 
 def _empty_columns(rows: DataFrame, dead: DataFrame, fk) -> DataFrame:
-    marked = rows.join(dead.withColumn("__dead", F.lit(True)), list(fk.columns), "left")
+    marked = rows.join(dead.distinct().withColumn("__dead", F.lit(True)), list(fk.columns), "left")
     return marked.withColumns({
         c: F.when(F.col("__dead"), F.lit(None)).otherwise(F.col(c)) for c in fk.null_columns
     }).drop("__dead")

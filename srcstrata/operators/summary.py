@@ -22,15 +22,19 @@ def join_repo_branches(repositories: DataFrame, branches: DataFrame) -> DataFram
 
 
 def branch_count(repositories: DataFrame, branches: DataFrame) -> DataFrame:
-    """Distinct branches per repository, 0 without one.
+    """Distinct branches per repository, 0 without one."""
+    ids = repositories.select(F.col("id").alias("repository_id"))
+    return _with_branch_count(ids, branches).withColumnRenamed("repository_id", "id")
 
-    Counted before the join: the first exchange is on (repository, branch), so
+
+def _with_branch_count(rows: DataFrame, branches: DataFrame) -> DataFrame:
+    """Counted before the join: the first exchange is on (repository, branch), so
     a repository with very many branches does not make one heavy task.
     """
     counts = branches.groupBy("repository_id").agg(
         F.countDistinct("id").cast("int").alias("branch_count"))
-    return repositories.join(counts, repositories.id == counts.repository_id, "left").select(
-        repositories.id, F.coalesce("branch_count", F.lit(0)).alias("branch_count"))
+    return rows.join(counts, "repository_id", "left").withColumn(
+        "branch_count", F.coalesce("branch_count", F.lit(0)))
 
 
 def latest_scans(scan_runs: DataFrame) -> DataFrame:
@@ -42,13 +46,14 @@ def latest_scans(scan_runs: DataFrame) -> DataFrame:
 
 def latest_scan_per_repo(repositories: DataFrame, scan_runs: DataFrame) -> DataFrame:
     """Every repository id with the columns of its latest scan, or nulls."""
+    return _with_latest_scan(repositories.select(F.col("id").alias("repository_id")), scan_runs)
+
+
+def _with_latest_scan(rows: DataFrame, scan_runs: DataFrame) -> DataFrame:
     latest = latest_scans(scan_runs).select(
-        F.col("repository_id").alias("s_repository_id"),
-        F.col("id").alias("scan_run_id"), "branch_id", "head_commit_sha", "status",
+        "repository_id", F.col("id").alias("scan_run_id"), "branch_id", "head_commit_sha", "status",
         "started_at", "completed_at")
-    return repositories.join(latest, repositories.id == latest.s_repository_id, "left").select(
-        repositories.id.alias("repository_id"), "scan_run_id", "branch_id", "head_commit_sha",
-        "status", "started_at", "completed_at")
+    return rows.join(latest, "repository_id", "left")
 
 
 def latest_metrics(metrics: DataFrame) -> DataFrame:
@@ -97,14 +102,12 @@ def repository_summary(repositories: DataFrame, branches: DataFrame, scan_runs:
     """The summary rows, unordered; ``updated_at`` and the scan times are kept for sorting.
 
     Each side is reduced to one row per repository (or per repository and
-    branch) before it is joined, so nothing multiplies and no group-by over the
-    joined rows is needed.
+    branch) before it is joined, so nothing multiplies, no group-by over the
+    joined rows is needed, and the joins on the repository share one exchange.
     """
-    scans = latest_metrics_per_repo(
-        latest_branch_name(latest_scan_per_repo(repositories, scan_runs), branches), metrics)
-    counts = branch_count(repositories, branches).withColumnRenamed("id", "repository_id")
     r = repositories.select(F.col("id").alias("repository_id"), "name", "url", "updated_at")
-    return r.join(counts, "repository_id").join(scans, "repository_id")
+    scanned = _with_latest_scan(_with_branch_count(r, branches), scan_runs)
+    return latest_metrics_per_repo(latest_branch_name(scanned, branches), metrics)
 
 
 def summary_projection(summary: DataFrame) -> DataFrame:

@@ -359,7 +359,7 @@ def _code_of(text, doc_id):
     def line(x, i):
         word = F.regexp_extract(x, "[A-Za-z]+", 0)
         word = F.when(word == "", "x").otherwise(word)
-        note = F.concat(F.lit(" // "), F.regexp_replace(x, "[^A-Za-z0-9 ]", " "))
+        note = F.concat(F.lit(" // "), F.regexp_replace(x, r"[^\w ]", " "))
         k = (doc_id + i) % 8
         return (F.when(k == 0, F.concat(F.lit("class "), word, F.lit(" {"), note))
                 .when(k == 1, F.concat(F.lit("public void "), word, F.lit("(int a) {"), note))

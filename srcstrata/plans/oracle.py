@@ -127,18 +127,18 @@ VIEWS: dict[str, str] = {
                replace(array_to_string(list_transform(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x, i:
                    case (doc_id + i - 1) % 8
                    when 0 then 'class ' || coalesce(nullif(regexp_extract(x, '[A-Za-z]+'), ''), 'x') || ' {'
-                       || ' // ' || regexp_replace(x, '[^A-Za-z0-9 ]', ' ', 'g')
+                       || ' // ' || regexp_replace(x, '[^\w ]', ' ', 'g')
                    when 1 then 'public void ' || coalesce(nullif(regexp_extract(x, '[A-Za-z]+'), ''), 'x')
-                       || '(int a) { // ' || regexp_replace(x, '[^A-Za-z0-9 ]', ' ', 'g')
+                       || '(int a) { // ' || regexp_replace(x, '[^\w ]', ' ', 'g')
                    when 2 then 'if (' || coalesce(nullif(regexp_extract(x, '[A-Za-z]+'), ''), 'x')
-                       || '(x)) { // ' || regexp_replace(x, '[^A-Za-z0-9 ]', ' ', 'g')
+                       || '(x)) { // ' || regexp_replace(x, '[^\w ]', ' ', 'g')
                    when 3 then 'function ' || coalesce(nullif(regexp_extract(x, '[A-Za-z]+'), ''), 'x')
-                       || '(a) { // ' || regexp_replace(x, '[^A-Za-z0-9 ]', ' ', 'g')
+                       || '(a) { // ' || regexp_replace(x, '[^\w ]', ' ', 'g')
                    when 4 then 'const ' || coalesce(nullif(regexp_extract(x, '[A-Za-z]+'), ''), 'x')
-                       || ' = (a) => a; // ' || regexp_replace(x, '[^A-Za-z0-9 ]', ' ', 'g')
+                       || ' = (a) => a; // ' || regexp_replace(x, '[^\w ]', ' ', 'g')
                    when 5 then 'def ' || coalesce(nullif(regexp_extract(x, '[A-Za-z]+'), ''), 'x')
-                       || '(self): // ' || regexp_replace(x, '[^A-Za-z0-9 ]', ' ', 'g')
-                   when 6 then '// // ' || regexp_replace(x, '[^A-Za-z0-9 ]', ' ', 'g')
+                       || '(self): // ' || regexp_replace(x, '[^\w ]', ' ', 'g')
+                   when 6 then '// // ' || regexp_replace(x, '[^\w ]', ' ', 'g')
                        || (case doc_id % 3 when 0 then chr(10) when 1 then chr(13) || chr(10)
                            else chr(13) end) || ' ' || chr(9)
                    else '// ' || x end), chr(1)), chr(1),
