@@ -110,13 +110,10 @@ def detect_language(c):
 
 @query
 def control_keyword_filter(c):
-    found = c.lines.select("path", F.posexplode(symbols.call_like_matches(
-        F.col("language"), F.col("lines"))).alias("seq", "name"))
-    kept = c.lines.select("path", F.size(symbols.method_matches(
-        F.col("language"), F.col("lines"))).alias("kept"))
-    counts = found.groupBy("path").agg(F.count("*").cast("int").alias("matches"))
-    return kept.join(counts, "path", "left").select(
-        "path", "kept", F.coalesce("matches", F.lit(0)).alias("matches"))
+    found = c.lines.select("path", symbols.call_like_matches(
+        F.col("language"), F.col("lines")).alias("names"))
+    return found.select("path", F.size(symbols.without_control_keywords(F.col("names"))).alias("kept"),
+                        F.size("names").alias("matches"))
 
 
 @query
@@ -220,8 +217,9 @@ def extract_methods(c):
 
 @query
 def unique_symbol_names(c):
-    classes = symbols.unique_names(symbols.raw_symbols(c.matched, "class_names"))
-    methods = symbols.unique_names(symbols.raw_symbols(c.matched, "method_names"))
+    matched = stored(c.matched, "matched")
+    classes = symbols.unique_names(symbols.raw_symbols(matched, "class_names"))
+    methods = symbols.unique_names(symbols.raw_symbols(matched, "method_names"))
     return classes.select("path", F.lit("class").alias("kind"), "seq", "name").unionByName(
         methods.select("path", F.lit("method").alias("kind"), "seq", "name"))
 
@@ -238,7 +236,8 @@ def class_rows(c):
 
 @query
 def flatten_parse_tree(c):
-    files, classes, methods = symbols.flatten_parse_tree(symbols.parse_tree(c.matched))
+    trees = stored(symbols.parse_tree(stored(c.matched, "matched")), "trees")
+    files, classes, methods = symbols.flatten_parse_tree(trees)
     none = F.lit(None).cast("string")
     return (files.select(F.lit("file").alias("kind"), "path", none.alias("parent"),
                          F.col("language").alias("name"), "loc", F.lit(0).alias("n"))
@@ -287,7 +286,8 @@ def default_branch_flag(c):
 
 @query
 def file_class_method_join(c):
-    return symbols.file_class_method_join(c.source_files, c.classes, c.methods)
+    t = c.tables("source_files", "classes", "methods")
+    return symbols.file_class_method_join(t["source_files"], t["classes"], t["methods"])
 
 
 @query
@@ -425,7 +425,7 @@ def _rescan(c: Catalogue) -> tuple[DataFrame, DataFrame, DataFrame]:
     not. Files grew by a line, toxic ones are gone, and repositories in debt
     turn out empty.
     """
-    old = c.source_files
+    old = stored(c.source_files, "files")
     scanned = old.filter("path like 'src/%'").select("repository_id", "branch_id").distinct()
     toxic = c.raw("labels").filter("toxic = 1").select(F.col("doc_id").alias("scan_run_id"))
     new = (null_safe_join(old, scanned, ["repository_id", "branch_id"], "left_semi")
@@ -539,7 +539,8 @@ def semantic_topk(c):
 
 @query
 def symbol_search(c):
-    return search.symbol_search(c.classes, c.methods, PREFIX)
+    t = c.tables("classes", "methods")
+    return search.symbol_search(t["classes"], t["methods"], PREFIX)
 
 
 def _event_stream(c: Catalogue) -> DataFrame:
