@@ -826,9 +826,9 @@ _QUERIES: dict[str, str] = {
               from q, embeddings e) where rank <= 5""",
     "symbol_search": """
         select repository_id, branch_id, path, 'class' as kind, name from classes
-        where starts_with(name, 'th')
+        where starts_with(name, 'Th')
         union all
-        select repository_id, branch_id, path, 'method', name from methods where starts_with(name, 'th')""",
+        select repository_id, branch_id, path, 'method', name from methods where starts_with(name, 'Th')""",
     "incremental_scan_stream": """
         select event_id as scan_run_id, user_id as repository_id,
                md5(cast(event_id as varchar)) as head_commit_sha,

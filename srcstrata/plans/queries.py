@@ -26,7 +26,7 @@ SIZE_CAP = 2_000
 LOWER_LIMITS = {"repositories": {"name": 17, "url": 50}, "classes": {"name": 8},
                 "methods": {"name": 8}, "analysis_artifacts": {"artifact_type": 8},
                 "technical_debt": {"severity": 8}, "commits": {"message": 18}}
-PREFIX = "th"
+PREFIX = "Th"
 TOP_K = 5
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -50,14 +49,20 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     Only a local session may fall back to a temporary folder: on a cluster a
     machine-local path would be lost with its executor.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="srcstrata-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return os.path.join(root, f"{purpose}-{uuid.uuid4().hex[:12]}")
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark)
+    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
+def _local_folder(spark: SparkSession) -> str:
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="srcstrata-")
+    return _LOCAL_FOLDERS[app]
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:

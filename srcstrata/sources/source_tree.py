@@ -29,12 +29,18 @@ GROUP_BYTES = 64 * 1024 * 1024
 GROUP_FILES = 4096
 
 
+def _local(root: str) -> str:
+    """A path on a mounted file system without its ``file:`` scheme."""
+    return root.removeprefix("file://").removeprefix("file:")
+
+
 def _remote(root: str):
-    """(file system, base path) for a URI such as s3:// or hdfs://; None for a local path."""
+    """(file system, base path) for a URI such as s3:// or hdfs://; None for a mounted path."""
     if "://" not in root:
         return None
     from pyarrow import fs
-    return fs.FileSystem.from_uri(root)
+    system, base = fs.FileSystem.from_uri(root)
+    return system, base.rstrip("/")
 
 
 def _entries(root: str, folder: str) -> Iterator[tuple[str, bool, int]]:
@@ -47,7 +53,7 @@ def _entries(root: str, folder: str) -> Iterator[tuple[str, bool, int]]:
     if remote is not None:
         from pyarrow import fs
         system, base = remote
-        where = f"{base.rstrip('/')}/{folder}".rstrip("/")
+        where = f"{base}/{folder}".rstrip("/")
         for info in system.get_file_info(fs.FileSelector(where, recursive=False)):
             name = info.base_name
             if name not in SKIPPED_NAMES and info.type in (fs.FileType.File, fs.FileType.Directory):
@@ -83,7 +89,7 @@ def _read(root: str, path: str) -> bytes:
     remote = _remote(root)
     if remote is not None:
         system, base = remote
-        with system.open_input_file(f"{base.rstrip('/')}/{path}") as stream:
+        with system.open_input_file(f"{base}/{path}") as stream:
             return stream.read()
     with open(os.path.join(root, path), "rb") as stream:
         return stream.read()
@@ -99,7 +105,7 @@ class TreePart(InputPartition):
 
 class SourceTreeReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.root = options["path"].removeprefix("file://")
+        self.root = _local(options["path"])
         self.cap = int(options.get("maxFileBytes", MAX_SOURCE_BYTES))
         self.target = int(options.get("numPartitions", 64))
 
@@ -186,7 +192,7 @@ def list_trees(roots: DataFrame, max_file_bytes: int = MAX_SOURCE_BYTES,
             for batch in batches:
                 for record in batch.itertuples(index=False, name=None):
                     keyed, folder = record[:len(keys)], record[len(keys)]
-                    root = keyed[keys.index("root")]
+                    root = _local(keyed[keys.index("root")])
                     found = (((None, p, s) for p, s in _walk(root, folder)) if deep
                              else one_level(keyed, root, folder))
                     yield from _frames(rows(keyed, found), [*keys, "folder", "path", "size"])
@@ -233,12 +239,29 @@ def read_files(files: DataFrame, partitions: int | None = None) -> DataFrame:
             # Small slices keep a batch of file contents well below task memory.
             for start in range(0, len(batch), 32):
                 part = batch.iloc[start:start + 32].copy()
-                part["content"] = [_read(r, p) for r, p in zip(part["root"], part["path"])]
+                part["content"] = [_read(_local(r), p) for r, p in zip(part["root"], part["path"])]
                 yield part
 
     return dealt.mapInPandas(run, schema + ", content binary")
 
 
+def _write(root: str, path: str, content: bytes) -> None:
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    remote = _remote(root)
+    if remote is not None:
+        system, base = remote
+        system.create_dir(os.path.dirname(f"{base}/{path}"), recursive=True)
+        with system.open_output_stream(f"{base}/{part}") as stream:
+            stream.write(content)
+        system.move(f"{base}/{part}", f"{base}/{path}")
+        return
+    target = os.path.join(root, path)
+    os.makedirs(os.path.dirname(target), exist_ok=True)
+    with open(os.path.join(root, part), "wb") as stream:
+        stream.write(content)
+    os.replace(os.path.join(root, part), target)
+
+
 def export_tree(files: DataFrame, root: str) -> None:
     """Writes (path, content) rows as files below a folder every task can reach.
 
@@ -249,12 +272,7 @@ def export_tree(files: DataFrame, root: str) -> None:
         written = 0
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                target = os.path.join(root, path)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                part = f"{target}.{uuid.uuid4().hex}.part"
-                with open(part, "wb") as stream:
-                    stream.write(content)
-                os.replace(part, target)
+                _write(_local(root), path, content)
                 written += 1
         yield pd.DataFrame({"written": [written]})
 

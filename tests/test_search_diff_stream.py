@@ -144,3 +144,27 @@ def test_daily_counts_close_once_and_drop_late_scans(spark, events, tmp_path):
     closed = {d: n for d, n in days.items()
               if dt.datetime.combine(d, dt.time()) + dt.timedelta(days=2) <= newest}
     assert got == closed
+
+
+def test_one_hot_group_of_equal_files_is_paired_whole(spark):
+    """A third of all files are equal and all of them move."""
+    n = 6000
+    old = spark.range(n).selectExpr("concat('old/', lpad(id, 6, '0')) as path",
+                                    "case when id % 3 = 0 then 'same' else cast(id as string) end as content")
+    new = spark.range(n).selectExpr("concat('new/', lpad(id, 6, '0')) as path",
+                                    "case when id % 3 = 0 then 'same' else cast(id as string) end as content")
+    changes = diff.snapshot_file_changes(old, new)
+    wrong = changes.filter("change_type <> 'renamed' or substr(path, 5) <> substr(old_path, 5)")
+    assert changes.count() == n and wrong.count() == 0
+
+
+def test_a_hot_class_name_is_not_multiplied(spark):
+    from srcstrata.operators import symbols
+    n = 400
+    files = spark.range(n).selectExpr(
+        "1L as repository_id", "1L as branch_id", "concat('f', id, '.java') as path", "'Java' as language",
+        "'class Hot {' as content")
+    named = search.file_names(symbols.with_lines(files))
+    edges = search.class_dependencies(named)
+    assert edges.count() == n
+    assert search.dependency_counts(edges).first().dependency_count == n * (n - 1)
