@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,25 +43,17 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder every executor can reach, under ``spark.checkpoint.dir``.
+    """A new folder that every executor can reach, removed when the session's driver ends.
 
-    Only a local session may fall back to a temporary folder: on a cluster a
-    machine-local path would be lost with its executor.
+    It lies in ``spark.checkpoint.dir``; where that is unset, in the warehouse,
+    which a session's executors share too.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
-
-
-_LOCAL_FOLDERS: dict[str, str] = {}
-
-
-def _local_folder(spark: SparkSession) -> str:
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="srcstrata-")
-    return _LOCAL_FOLDERS[app]
+    root = spark.conf.get("spark.checkpoint.dir", None) or (
+        spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch")
+    folder = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
