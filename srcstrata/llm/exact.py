@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from srcstrata.llm.bloom import flagged, seen_twice
 from srcstrata.llm.common import lower_ascii
+from srcstrata.session import stored
 
 HASH = "__text_sha256"
 
@@ -32,8 +33,9 @@ def _split(hashed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     marked = flagged(hashed, HASH, seen_twice(hashed.select(HASH), HASH), "__maybe")
     alone = marked.filter(~F.col("__maybe")).drop("__maybe")
     maybe = marked.filter("__maybe").drop("__maybe")
-    groups = maybe.groupBy(F.col(HASH).alias("__hash")).agg(
-        F.max("doc_id").alias("__keep_id"), F.count("*").alias("__size"))
+    # Stored, so that both sides of the join are plain exchanges, of which hot ones can be split.
+    groups = stored(maybe.groupBy(F.col(HASH).alias("__hash")).agg(
+        F.max("doc_id").alias("__keep_id"), F.count("*").alias("__size")), "exact-groups")
     return alone, maybe, groups
 
 

@@ -4,15 +4,15 @@ A page is a sequence of tokens: words score positive, tags negative. The region
 with the highest sum, found in one linear scan, is the content (Pasternack and
 Roth 2009). Weights are fitted on labelled pages: pages whose own markup names
 their content element. Inside and outside of it, words and every tag are
-counted; a tag's weight is its log odds, less a margin so that it stays
-negative, and the weight of a word is the log odds of words. The sample of
-labelled pages is bounded: ``SAMPLE`` pages with the smallest hash of their html.
+counted; a tag's weight is its log odds, kept below zero, and the weight of a
+word the log odds of words, kept above it. The content element's own tags are
+never inside of content, so no region goes across them. The sample of labelled
+pages is bounded: ``SAMPLE`` pages with the smallest hash of their html.
 
 Elements that never are content (menus, headers, footers, forms, adverts,
 notices, comments and the like, by element name, role, or a class or id that
-says so) lie outside of every region: their words do not score, their border
-costs as much as a boundary of the content element, and their text is left out
-where a region spans them. Text of scripts, styles and comments is no text.
+says so) belong to no region: they neither score nor count for the weights, and
+their text is left out where a region spans them. Text of scripts, styles and comments is no text.
 
 Defined cases: null html is empty; a page without words gives the empty text; of
 regions with equal sums the first and shortest counts; an element that is never
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from srcstrata.llm.common import rows_of
 
-SAMPLE, MARGIN, STEEPEST = 2000, 0.5, 12.0
+SAMPLE, LEAST, NEVER = 2000, 0.01, -1e6
 CONTENT = {"article", "main"}
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select")
 BOILERPLATE = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "head", "figure-ad",
@@ -59,7 +59,7 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form
 def is_boilerplate(name: str, attributes: str) -> bool:
     if name in BOILERPLATE:
         return True
-    if name in ("html", "body", "article", "main") or not attributes:
+    if name in ("html", "body", "main") or not attributes:
         return False
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
@@ -125,17 +125,14 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 def main_text(page: str, weights: dict[str, float]) -> str:
     """Text of the best region, its blocks joined by one space."""
     parts = list(tokens(page))
-    border = min(weights.get(name, 0.0) for name in CONTENT)
-    scores, was_outside = [], False
+    scores = []
     for kind, value, outside, _ in parts:
-        if kind == "text":
-            score = 0.0 if outside else weights["word"] * words_in(value)
+        if outside:
+            scores.append(0.0)
+        elif kind == "text":
+            scores.append(weights["word"] * words_in(value))
         else:
-            score = weights.get(kind, weights["tag"])
-        if outside and not was_outside:
-            score += border
-        was_outside = outside
-        scores.append(score)
+            scores.append(weights.get(kind, weights["tag"]))
     first, last = best_region(scores)
     pieces = []
     for kind, value, outside, _ in parts[first:last]:
@@ -151,8 +148,10 @@ def counted(page: str) -> dict[str, list[int]]:
     """Words and tags of a labelled page, inside and outside of its content."""
     counts: dict[str, list[int]] = {}
     for kind, value, outside, content in tokens(page):
+        if outside:
+            continue
         n = words_in(value) if kind == "text" else 1
-        place = 0 if content and not outside and kind not in CONTENT else 1
+        place = 0 if content and kind not in CONTENT else 1
         counts.setdefault("word" if kind == "text" else kind, [0, 0])[place] += n
     return counts
 
@@ -190,13 +189,11 @@ def weights_of(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
 
     def odds(a, b):
         return math.log(((a + 0.5) / inside) / ((b + 0.5) / outside))
-    weights = {"word": max(0.5, odds(*counts.get("word", (1, 0)))), "tag": -1.0}
+    weights = {"word": max(1.0, odds(*counts.get("word", (1, 0)))), "tag": -1.0}
     for name, (a, b) in counts.items():
         if name != "word":
-            weights[name] = max(-STEEPEST, min(0.0, odds(a, b)) - MARGIN)
-    for name in CONTENT:
-        weights[name] = -STEEPEST
-    return weights
+            weights[name] = min(-LEAST, odds(a, b))
+    return weights | dict.fromkeys(CONTENT, NEVER)
 
 
 def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

@@ -91,10 +91,12 @@ def with_entities(docs: DataFrame, text: str) -> DataFrame:
     """Adds one column of spans per kind, and ``__all``: (start, end, kind, value) in order."""
     for kind in KINDS:
         docs = docs.withColumn(f"__{kind}", _found(kind, F.col(text)))
-    every = F.array_sort(F.concat(*[F.transform(f"__{kind}", lambda x, kind=kind: F.struct(
+    return docs.withColumn("__all", F.array_sort(F.concat(*map(_named, KINDS))))
+
+
+def _named(kind: str) -> Column:
+    return F.transform(f"__{kind}", lambda x: F.struct(
         x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value")))
-        for kind in KINDS]))
-    return docs.withColumn("__all", every)
 
 
 _WORD_END = r"(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}])"
@@ -215,8 +217,8 @@ def detect(docs: DataFrame) -> DataFrame:
 
 def _rewritten(text: str) -> Column:
     """The text with all spans replaced. Overlapping spans are one after the other, with nothing of either left."""
-    entities = F.concat(*[F.transform(f"__{k}", lambda x, k=k: F.struct(
-        x["start"].alias("start"), x["end"].alias("end"), F.lit(f"[{k.upper()}]").alias("by"))) for k in KINDS])
+    entities = F.transform("__all", lambda x: F.struct(
+        x["start"].alias("start"), x["end"].alias("end"), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("by")))
 
     def class_of(x):
         word = F.substring(F.col(text), x["start"] + 1, x["end"] - x["start"])
