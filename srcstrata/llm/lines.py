@@ -9,7 +9,7 @@ that comes first in the corpus is the first copy, the others start later copies.
 Starts that follow one another join into maximal repeated runs, whose lines are
 deleted. Deeper rounds would sort inside intervals and change no interval.
 
-Ranks are numbered in ranges cut from the data, groups are reduced to their
+Ranks are given in ranges cut from the data, groups are reduced to their
 first copy before they are shuffled back, and what is joined on a hot rank is
 the side that adaptive execution can split.
 
@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcstrata.llm.common import texts
-from srcstrata.operators.relational import rank_in_group
 from srcstrata.session import stored
 
 MIN_LINES = 2
@@ -49,11 +48,14 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
 
 
 def _ranked(pairs: DataFrame) -> DataFrame:
-    """Replaces ``a`` and ``b`` by ``id``, the place of the pair in the order of all pairs."""
-    distinct = stored(pairs.select("a", "b").distinct()
-                      .select("a", "b", F.struct("a", "b").alias("pair"), F.lit(0).alias("all")), "line-pairs")
-    ranks = (rank_in_group(distinct, "all", "pair")
-             .select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("rank").cast("long").alias("id")))
+    """Replaces ``a`` and ``b`` by ``id``, which orders and names the pair among all pairs.
+
+    Distinct pairs are dealt out in ranges and sorted; ids grow with the range
+    and the place in it, without being dense. They are stored before use.
+    """
+    ranks = stored(pairs.select(F.col("a").alias("__a"), F.col("b").alias("__b")).distinct()
+                   .repartitionByRange("__a", "__b").sortWithinPartitions("__a", "__b")
+                   .withColumn("id", F.monotonically_increasing_id()), "line-pairs")
     named = pairs.join(ranks, (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")))
     return stored(named.drop("a", "b", "__a", "__b"), "line-ranks")
 
