@@ -165,16 +165,19 @@ def recurring_windows(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM)
     """(doc_id, hash, first, windows): runs of windows whose words also start elsewhere."""
     found = stored(_anchors(keyed, window, gram), "substring-anchors")
     # A segment hash stands for all of a segment, so its smallest and largest value tell whether all are equal.
-    anchors = (found.groupBy(F.col("anchor").alias("__anchor"))
-               .agg(F.count("*").alias("n"), F.min("segment").alias("low"), F.max("segment").alias("high"))
-               .filter("n > 1").select("__anchor", (F.col("low") == F.col("high")).alias("equal")))
+    # Counts are stored before they are joined: both sides of the join then are plain exchanges, which can be split.
+    anchors = stored(found.groupBy(F.col("anchor").alias("__anchor"))
+                     .agg(F.count("*").alias("n"), F.min("segment").alias("low"), F.max("segment").alias("high"))
+                     .filter("n > 1").select("__anchor", (F.col("low") == F.col("high")).alias("equal")),
+                     "substring-recurring")
     shared = stored(found.join(anchors, F.col("anchor") == F.col("__anchor")).drop("__anchor", "segment"),
                     "substring-shared")
     # Repeated documents have equal rows here; each of them is an occurrence.
     mixed, _ = _with_ranges(keyed, _ranges(shared.filter("NOT equal"), "anchor", "first", "windows"))
     windows = stored(_windows(mixed.filter("ranges IS NOT NULL"), window), "substring-windows")
-    several = (windows.groupBy(F.col("anchor").alias("__anchor"), F.col("value").alias("__value"))
-               .agg(F.count("*").alias("n")).filter("n > 1").select("__anchor", "__value"))
+    several = stored(windows.groupBy(F.col("anchor").alias("__anchor"), F.col("value").alias("__value"))
+                     .agg(F.count("*").alias("n")).filter("n > 1").select("__anchor", "__value"),
+                     "substring-several")
     confirmed = windows.join(several, (F.col("anchor") == F.col("__anchor")) & (F.col("value") == F.col("__value")))
     return (shared.filter("equal").select("doc_id", "hash", "first", "windows")
             .union(confirmed.select("doc_id", "hash", "at", F.lit(1).alias("windows"))))
