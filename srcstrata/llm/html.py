@@ -175,7 +175,10 @@ def fitted(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
                  pa.array([t[1] for t in totals.values()], pa.int64())], names=["name", "inside", "outside"])
 
     labelled = (pages.filter(F.col("html").rlike(r"(?i)<(?:article|main)[\s>]"))
-                .orderBy(F.xxhash64("html")).limit(sample).select("html"))
+                .select("html", F.xxhash64("html").alias("hash")))
+    # Only hashes are ordered; the pages below the cut are read where they are.
+    cut = labelled.select("hash").distinct().orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]
+    labelled = labelled.filter(F.col("hash") <= F.lit(cut).cast("long")).select("html")
     rows = (labelled.mapInArrow(count, "name string, inside long, outside long").groupBy("name")
             .agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
             .orderBy(F.desc(F.col("inside") + F.col("outside")), "name").limit(500).collect())
