@@ -77,14 +77,20 @@ def assign_ids(rows: DataFrame, keys: Sequence[str], used: DataFrame, buckets: i
             .drop("__bucket", "__offset"))
 
 
+def first_times(batch: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """The first event time of every key of a batch; null keys are keys."""
+    return batch.groupBy(*keys).agg(F.min("event_time").alias(column))
+
+
 def upsert_repositories(state: DataFrame, batch: DataFrame) -> DataFrame:
     """Key ``url``: a match takes the name and the time, keeps id and created_at.
 
-    ``batch``: url, name, event_time, event_id.
+    ``batch``: url, name, event_time, event_id. A new row is created at its
+    first event, so the state does not depend on how events are cut into batches.
     """
     latest = last_per_key(batch, ["url"], ["event_time", "event_id"])
     fresh = assign_ids(new_rows(state, latest, ["url"]), ["url"], state)
-    fresh = fresh.withColumn("created_at", F.col("event_time")).withColumn(
+    fresh = null_safe_join(fresh, first_times(batch, ["url"], "created_at"), ["url"], "left").withColumn(
         "updated_at", F.col("event_time"))
     return merge(state, latest, ["url"],
                  {"name": F.col("new_name"), "updated_at": F.col("new_event_time")}, fresh)
@@ -98,8 +104,8 @@ def upsert_commits(state: DataFrame, batch: DataFrame) -> DataFrame:
     """
     keys = ["repository_id", "sha"]
     latest = last_per_key(batch, keys, ["event_time", "event_id"])
-    fresh = assign_ids(new_rows(state, latest, keys), keys, state).withColumn(
-        "discovered_at", F.col("event_time"))
+    fresh = assign_ids(new_rows(state, latest, keys), keys, state)
+    fresh = null_safe_join(fresh, first_times(batch, keys, "discovered_at"), keys, "left")
     changed = ["author_name", "author_email", "message", "committed_at"]
     return merge(state, latest, keys, {c: F.col(f"new_{c}") for c in changed}, fresh)
 

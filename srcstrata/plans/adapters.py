@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from srcstrata.operators import search, symbols
 from srcstrata.operators.relational import top1_per_group
 from srcstrata.schemas import ARTIFACT_FORMAT, ARTIFACT_TYPE, TABLES
-from srcstrata.session import spread, stored
+from srcstrata.session import stored
 
 # Events before this time made the stored state, those from it on are the batch.
 CUT = "1998-06-01 00:00:00"
@@ -162,7 +162,7 @@ class Catalogue:
     @cached_property
     def file_contents(self) -> DataFrame:
         """Documents written as code line by line, and pages as they are."""
-        documents = spread(self.raw("documents").select("doc_id", "text", "source"), "doc_id").select(
+        documents = self.raw("documents").select("doc_id", "text", "source").select(
             F.expr("doc_id div 50 * 2").alias("repository_id"),
             F.expr("doc_id div 50 * 20 + 1 + doc_id % 50 div 25").alias("branch_id"),
             F.col("doc_id").alias("scan_run_id"),
@@ -170,7 +170,7 @@ class Catalogue:
                    "[cast(doc_id % 4 as int)])").alias("path"),
             F.expr(f"{_array(LANGUAGES)}[cast(doc_id % 4 as int)]").alias("language"),
             _code_of(F.col("text"), F.col("doc_id")).alias("content"))
-        pages = spread(self.raw("pages").select("page_id", "html"), "page_id").selectExpr(
+        pages = self.raw("pages").select("page_id", "html").selectExpr(
             "page_id div 50 * 2 as repository_id", "page_id div 50 * 20 + 3 as branch_id",
             "page_id as scan_run_id", "concat('web/', page_id, '.js') as path",
             "'JavaScript' as language", "html as content")

@@ -727,22 +727,23 @@ _QUERIES: dict[str, str] = {
             select l_suppkey * 2 + 1, l_shipdate, l_orderkey * 1000 + l_linenumber, l_returnflag
             from lineitem),
         last as (select id, event_time, max(tag) as tag from (
-                     select * from events where event_time >= {CUT}
+                     select * from events
                      qualify rank() over (partition by id order by event_time desc, event_id desc) = 1)
                  group by id, event_time),
+        first as (select id, min(event_time) as created_at from events group by id),
         stored as (select * from repositories where id % 2 = 0)
         select r.url, case when l.id is null then r.name else r.name || '-' || l.tag end as name,
-               case when s.id is null then l.event_time else s.created_at end as created_at,
+               case when s.id is null then first.created_at else s.created_at end as created_at,
                coalesce(l.event_time, s.updated_at) as updated_at
-        from repositories r left join last l on l.id = r.id left join stored s on s.id = r.id
+        from repositories r left join last l on l.id = r.id left join first on first.id = r.id
+        left join stored s on s.id = r.id
         where l.id is not null or s.id is not null""",
     "upsert_commits": f"""
         select l.repository_id, l.sha, l.author_name, lower(l.name) || '@example.org' as author_email,
                'shipment ' || l.event_id as message, l.event_time as committed_at,
-               coalesce(f.before, f.since) as discovered_at
+               f.discovered_at
         from (select * from shipments {_LAST.format('repository_id, sha')}) l
-        join (select repository_id, sha, max(event_time) filter (where event_time < {CUT}) as before,
-                     max(event_time) filter (where event_time >= {CUT}) as since
+        join (select repository_id, sha, min(event_time) as discovered_at
               from shipments group by 1, 2) f
           on f.repository_id = l.repository_id and f.sha = l.sha""",
     "upsert_branches": f"""

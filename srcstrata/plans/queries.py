@@ -368,9 +368,10 @@ def upsert_repositories(c):
         "l_shipdate as event_time", "l_returnflag as tag")
     events = renamed.unionByName(supplied)
     urls = c.repositories.select("id", "url", "name")
-    _, batch = c.split(events.join(urls, "id").select(
+    before, since = c.split(events.join(urls, "id").select(
         "url", F.concat("name", F.lit("-"), "tag").alias("name"), "event_time", "event_id"))
-    return state.upsert_repositories(known, batch).select("url", "name", "created_at", "updated_at")
+    known = stored(state.upsert_repositories(known, before), "repositories")
+    return state.upsert_repositories(known, since).select("url", "name", "created_at", "updated_at")
 
 
 def _commit_events(c: Catalogue) -> DataFrame:

@@ -65,18 +65,3 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     folder = shared_folder(df.sparkSession, purpose)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deals a small input out to all cores before costly per-row work.
-
-    A table in one row group is read by one task however many cores there are.
-    Where the input is below 32 MB per core it is shuffled once by its key;
-    a larger one has enough splits and is left as it was read.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) >= cores * 32 * 1024 * 1024:
-        return df
-    return df.repartition(cores, *keys)

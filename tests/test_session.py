@@ -1,38 +1,12 @@
-import pytest
-
 from srcstrata import session
 
 
-class Conf(dict):
-    pass
-
-
-class Fake:
-    """Just what shared_folder asks of a session."""
-
-    def __init__(self, master, folder=None):
-        self.conf = Conf({"spark.checkpoint.dir": folder} if folder else {})
-        self.sparkContext = type("Context", (), {"master": master, "applicationId": f"app-{master}"})
-
-
-def test_the_configured_folder_is_used():
-    folder = session.shared_folder(Fake("yarn", "hdfs://nn/shared/"), "x")
-    assert folder.startswith("hdfs://nn/shared/x-")
-
-
-def test_a_cluster_needs_a_shared_folder():
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        session.shared_folder(Fake("spark://host:7077"), "x")
-
-
-def test_a_local_session_gets_one_temporary_folder():
-    a, b = (session.shared_folder(Fake("local[2]"), "x") for _ in range(2))
-    assert a != b and a.rsplit("/", 1)[0] == b.rsplit("/", 1)[0]
+def test_scratch_folders_lie_in_the_shared_root(spark):
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
+    a, b = (session.shared_folder(spark, "x") for _ in range(2))
+    assert a != b and a.startswith(f"{root.rstrip('/')}/x-")
 
 
-def test_spread_keeps_rows_and_large_plans(spark):
-    df = spark.range(1000)
-    assert session.spread(df, "id").count() == 1000
-    assert session.spread(df, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    large = spark.range(10**12)
-    assert session.spread(large, "id") is large
+def test_stored_rows_come_back(spark):
+    df = spark.createDataFrame([(1, None), (2, "b")], "a int, b string")
+    assert sorted(session.stored(df, "x").collect()) == sorted(df.collect())

@@ -197,3 +197,25 @@ def test_a_null_check_passes(spark):
     assert quality.check_constraints({"file_changes": changes}).count() == 0
     assert rows(quality.not_null_violations({"file_changes": changes}), "rule") == {
         ("change_type_required",), ("additions_required",)}
+
+
+def test_batches_may_be_cut_anywhere(spark):
+    """The first event of a key counts as its first, however events are cut into batches."""
+    from datetime import datetime
+
+    from srcstrata.operators import state
+
+    def day(n):
+        return datetime(2024, 1, n)
+    events = spark.createDataFrame(
+        [("u", "a", day(1), 1), ("u", "b", day(9), 2), (None, "c", day(3), 3), (None, "d", day(2), 4)],
+        "url string, name string, event_time timestamp, event_id long")
+    empty = spark.createDataFrame([], "id long, url string, name string, created_at timestamp, updated_at timestamp")
+    whole = state.upsert_repositories(empty, events)
+    parts = empty
+    for n in (2, 3, 4, 10):
+        since = events.filter(f"day(event_time) < {n} and day(event_time) >= {({2: 0, 3: 2, 4: 3, 10: 4})[n]}")
+        parts = state.upsert_repositories(parts, since)
+    shown = ["url", "name", "created_at", "updated_at"]
+    assert sorted(map(str, whole.select(shown).collect())) == sorted(map(str, parts.select(shown).collect()))
+    assert {r.url: r.created_at for r in whole.collect()} == {"u": day(1), None: day(2)}
