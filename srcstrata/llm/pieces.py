@@ -6,11 +6,15 @@ character, so merges never cross into the next mark and the text falls into
 words that are encoded alone. In a word, an agenda holds candidate merges, best
 score first, leftmost among equals. A candidate taken from the agenda is skipped
 if a keyed hash of (seed, variant, word, place, pair) falls below the dropout
-rate. The variant of a word is a keyed hash of (seed, document, place) modulo
+rate; the word enters as its digest, so that long words cost no more a step. The variant of a word is a keyed hash of (seed, document, place) modulo
 ``VARIANTS``, so a word that recurs is split in several ways, and the same run
 gives the same split wherever it is computed. Without dropout, ids equal those
 of the library.
 
+:meth:`Pieces.split` is the agenda of one word. :meth:`Pieces.split_many` steps
+the agendas of many words together, as rows of arrays: each round takes the best
+candidate of every row. Both give the same splits.
+
 Characters without a piece become byte pieces; so does a space mark that stands
 in the text itself, which the plain encoding would turn into a space. Decoding
 is therefore exact for every text. Defined cases: null and empty texts have no
@@ -22,7 +26,8 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +40,12 @@ DROPOUT, SEED, VARIANTS = 0.1, 42, 8
 MARK = "▁"
 # Words with the spaces before them; a space mark in the text itself stands alone.
 WORD = re.compile(f"{MARK}| *[^ {MARK}]+| +")
-REMEMBERED = 200_000
+# Split words kept in a task, characters of documents encoded together, cells of the arrays of a step,
+# and the length from which a word has an agenda of its own.
+REMEMBERED, BLOCK, CELLS, LONG = 200_000, 2_000_000, 400_000, 64
+NONE = np.iinfo(np.int32).max
+# Constants of splitmix64, the mixing of the keyed hashes.
+GOLDEN, MIX_1, MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
 class Pieces:
@@ -52,13 +62,53 @@ class Pieces:
         self.byte = {i: b for b, i in self.byte_id.items()}
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.id):
             raise ValueError("a piece crosses from a character into a space mark")
+        self.said = [b"" if s else p.replace(MARK, " ").encode("utf-8", "surrogatepass")
+                     for p, s in zip(self.piece, special)]
+        for i, b in self.byte.items():
+            self.said[i] = bytes([b])
+        self._index_pairs()
+
+    def _index_pairs(self) -> None:
+        """Symbols (pieces, and characters that are half of one) and the pairs that merge, sorted for lookup."""
+        symbol = {p: n for n, p in enumerate(self.id)}
+        pairs: list[tuple[int, int, int]] = []
+        hashes: list[int] = []
+        for p in self.id:
+            for cut in range(1, len(p)):
+                first, second = p[:cut], p[cut:]
+                if (first in self.id or cut == 1) and (second in self.id or cut == len(p) - 1):
+                    pairs.append((symbol.setdefault(first, len(symbol)), symbol.setdefault(second, len(symbol)),
+                                  symbol[p]))
+                    hashes.append(_pair_hash(first, second))
+        self.pair_hash = np.array(hashes, np.uint64)
+        self.symbol = list(symbol)
+        self.symbol_id = np.array([self.id.get(p, -1) for p in symbol], np.int64)
+        _, order = np.unique([-self.score.get(p, 0.0) for p in symbol], return_inverse=True)
+        first, second, self.pair_merged = np.array(pairs, np.int64).reshape(-1, 3).T
+        self.pair_rank = order.astype(np.int32)[self.pair_merged]
+        # Any other character is the symbol len(symbol) + its code point; all are below 2^21.
+        self.char = np.arange(0x110000, dtype=np.int64) + len(symbol)
+        for p, n in symbol.items():
+            if len(p) == 1:
+                self.char[ord(p)] = n
+        keys = (first << 21) | second
+        self.pair_at = np.argsort(keys)
+        self.pair_key = np.append(keys[self.pair_at], np.iinfo(np.int64).max)
+
+    def _candidates(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (``NONE`` where nothing merges) and number of the pairs of symbols; -1 is no symbol."""
+        wanted = np.where((first < 0) | (second < 0), -1, (first << 21) | second)
+        place = np.searchsorted(self.pair_key, wanted)
+        hit = self.pair_key[place] == wanted
+        pair = np.where(hit, self.pair_at[np.where(hit, place, 0)], 0) if len(self.pair_at) else np.zeros_like(place)
+        return np.where(hit, self.pair_rank[pair] if len(self.pair_at) else NONE, NONE), pair
 
     def split(self, word: str, dropout: float = 0.0, key: int = 0) -> list[str]:
         """Pieces of one word after merges; candidates are dropped by a hash keyed with ``key``."""
         parts = list(word)
         right = list(range(1, len(parts))) + [-1]
         left = list(range(-1, len(parts) - 1))
-        limit = int(dropout * 2 ** 64)
+        limit, digest = int(dropout * 2 ** 64), _digest(word, key)
         agenda: list[tuple[float, int, str, str]] = []
 
         def offer(a: int, b: int) -> None:
@@ -74,8 +124,7 @@ class Pieces:
             b = right[a]
             if b < 0 or parts[a] != first or parts[b] != second or not first:
                 continue  # one of the two has been merged meanwhile
-            if limit and xxhash.xxh64_intdigest(f"{a}\0{first}\0{second}\0{word}".encode(
-                    "utf-8", "surrogatepass"), key) < limit:
+            if limit and _mixed(digest ^ ((_pair_hash(first, second) + a * GOLDEN) & (2 ** 64 - 1))) < limit:
                 continue
             parts[a], parts[b] = first + second, ""
             right[a] = right[b]
@@ -85,6 +134,76 @@ class Pieces:
             offer(a, right[a])
         return [p for p in parts if p]
 
+    def split_many(self, words: list[str], dropout: float = 0.0, key: int = 0) -> list[list[int]]:
+        """Ids of the pieces of many words, as :meth:`split` would split each."""
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        out: list[list[int]] = [[]] * len(words)
+        start = 0
+        while start < len(order):
+            width = len(words[order[start]])
+            if width > LONG:
+                out[order[start]] = self.ids(self.split(words[order[start]], dropout, key))
+                start += 1
+                continue
+            end = start + 1
+            while end < len(order) and (longer := len(words[order[end]])) <= LONG and (
+                    end + 1 - start) * longer <= CELLS and longer <= width + 4:
+                end += 1
+            for i, found in zip(order[start:end], self._step([words[i] for i in order[start:end]], dropout, key)):
+                out[i] = found
+            start = end
+        return out
+
+    def _step(self, words: list[str], dropout: float, key: int) -> list[list[int]]:
+        n, width = len(words), max(1, max(map(len, words)))
+        lengths = np.array([len(w) for w in words])
+        columns = np.arange(width)
+        symbol = np.full((n, width), -1, np.int64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        symbol[columns < lengths[:, None]] = self.char[codes]
+        right = np.where(columns + 1 < lengths[:, None], columns + 1, -1)
+        left = np.repeat((columns - 1)[None, :], n, axis=0)
+        rank, pair = np.full((n, width), NONE, np.int32), np.zeros((n, width), np.int64)
+        rank[:, :-1], pair[:, :-1] = self._candidates(symbol[:, :-1], symbol[:, 1:])
+        limit = int(dropout * 2 ** 64)
+        digest = np.array([_digest(w, key) for w in words] if limit else [], np.uint64)
+        rows = np.arange(n)
+        while True:
+            at = rank[rows].argmin(axis=1)
+            open_ = rank[rows, at] < NONE
+            rows, at = rows[open_], at[open_]
+            if not len(rows):
+                break
+            chosen, a, k = rows, at, pair[rows, at]
+            if limit:
+                dropped = _mixed_all(digest[rows] ^ (self.pair_hash[k] + a.astype(np.uint64) * np.uint64(GOLDEN))
+                                     ) <= np.uint64(limit - 1)
+                rank[rows[dropped], at[dropped]] = NONE
+                chosen, a, k = rows[~dropped], at[~dropped], k[~dropped]
+            b = right[chosen, a]
+            after, before = right[chosen, b], left[chosen, a]
+            symbol[chosen, a] = self.pair_merged[k]
+            symbol[chosen, b], rank[chosen, b], right[chosen, a] = -1, NONE, after
+            inner = after >= 0
+            left[chosen[inner], after[inner]] = a[inner]
+            rank[chosen, a], pair[chosen, a] = self._candidates(
+                symbol[chosen, a], np.where(inner, symbol[chosen, after], -1))
+            inner = before >= 0
+            chosen, a, before = chosen[inner], a[inner], before[inner]
+            rank[chosen, before], pair[chosen, before] = self._candidates(symbol[chosen, before], symbol[chosen, a])
+        kept = symbol >= 0
+        flat, ends = symbol[kept], np.cumsum(kept.sum(axis=1)).tolist()
+        inside = flat < len(self.symbol)
+        ids = np.where(inside, self.symbol_id[np.where(inside, flat, 0)], -1).tolist()
+        out = [ids[a:b] for a, b in zip([0] + ends[:-1], ends)]
+        if -1 in ids:  # characters without a piece
+            flat = flat.tolist()
+            for i, (a, b) in enumerate(zip([0] + ends[:-1], ends)):
+                if -1 in out[i]:
+                    out[i] = self.ids(self.symbol[s] if s < len(self.symbol) else chr(s - len(self.symbol))
+                                      for s in flat[a:b])
+        return out
+
     def ids(self, pieces: Iterable[str]) -> list[int]:
         out: list[int] = []
         for p in pieces:
@@ -98,42 +217,73 @@ class Pieces:
     def encode(self, text: str, dropout: float = DROPOUT, seed: int = SEED, document: int = 0,
                known: dict | None = None) -> list[int]:
         """Ids of a whole text. ``known`` remembers split words between calls."""
-        if not text:
-            return []
+        return next(self.encode_many([(document, text)], dropout, seed, known))
+
+    def encode_many(self, rows: Iterable[tuple[int, str]], dropout: float = DROPOUT, seed: int = SEED,
+                    known: dict | None = None) -> Iterator[list[int]]:
+        """Ids of the whole text of every (document, text), in order."""
         known = {} if known is None else known
-        words = WORD.findall(" " + text)
-        variants = _variants(len(words), seed, document) if dropout else np.zeros(len(words), np.int64)
-        out: list[int] = []
-        for word, variant in zip(words, variants.tolist()):
-            found = known.get((word, variant))
-            if found is None:
-                found = ([self.byte_id[b] for b in word.encode()] if word == MARK else
-                         self.ids(self.split(word.replace(" ", MARK), dropout, seed * VARIANTS + variant)))
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[word, variant] = found
-            out += found
-        return out
+        block: list[list[tuple[str, int]]] = []
+        size = 0
+        for document, text in rows:
+            words = WORD.findall(" " + text) if text else []
+            variants = _variants(len(words), seed, document) if dropout else np.zeros(len(words), np.int64)
+            block.append(list(zip(words, variants.tolist())))
+            size += len(text)
+            if size >= BLOCK:
+                yield from self._encode_block(block, dropout, seed, known)
+                block, size = [], 0
+        yield from self._encode_block(block, dropout, seed, known)
+
+    def _encode_block(self, block: list[list[tuple[str, int]]], dropout: float, seed: int, known: dict
+                      ) -> Iterator[list[int]]:
+        wanted = set().union(*block)
+        missing = [w for w in wanted if w not in known]
+        if len(known) + len(missing) > REMEMBERED:
+            known.clear()
+            missing = list(wanted)
+        by_variant: dict[int, list[str]] = {}
+        for word, variant in missing:
+            if word == MARK:
+                known[word, variant] = [self.byte_id[b] for b in word.encode()]
+            else:
+                by_variant.setdefault(variant, []).append(word)
+        for variant, words in by_variant.items():
+            found = self.split_many([w.replace(" ", MARK) for w in words], dropout, seed * VARIANTS + variant)
+            known.update(zip(((w, variant) for w in words), found))
+        for words in block:
+            yield list(chain.from_iterable(map(known.__getitem__, words)))
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text that was encoded, whatever merges were dropped."""
-        data = bytearray()
-        for i in ids:
-            byte = self.byte.get(i)
-            if byte is None:
-                data += self.piece[i].replace(MARK, " ").encode("utf-8", "surrogatepass")
-            else:
-                data.append(byte)
-        return data.decode("utf-8", "surrogatepass")[1:]
+        return b"".join(map(self.said.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
+
+
+def _digest(word: str, key: int) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), key)
+
+
+def _pair_hash(first: str, second: str) -> int:
+    return xxhash.xxh64_intdigest(f"{first}\0{second}".encode("utf-8", "surrogatepass"))
+
+
+def _mixed(z: int) -> int:
+    z = ((z ^ (z >> 30)) * MIX_1) & (2 ** 64 - 1)
+    z = ((z ^ (z >> 27)) * MIX_2) & (2 ** 64 - 1)
+    return z ^ (z >> 31)
+
+
+def _mixed_all(z: np.ndarray) -> np.ndarray:
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(MIX_1)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(MIX_2)
+    return z ^ (z >> np.uint64(31))
 
 
 def _variants(n: int, seed: int, document: int) -> np.ndarray:
-    """Keyed hash (splitmix64) of every word's place, modulo ``VARIANTS``."""
+    """Keyed hash of every word's place, modulo ``VARIANTS``."""
     start = xxhash.xxh64_intdigest(f"{seed}:{document}".encode())
-    z = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(start)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((z ^ (z >> np.uint64(31))) % np.uint64(VARIANTS)).astype(np.int64)
+    z = _mixed_all(np.arange(n, dtype=np.uint64) * np.uint64(GOLDEN) + np.uint64(start))
+    return (z % np.uint64(VARIANTS)).astype(np.int64)
 
 
 def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
@@ -141,8 +291,8 @@ def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SE
     def run(batches):
         pieces, known = Pieces(model), {}
         for batch in batches:
-            ids = [pieces.encode(t, dropout, seed, -1 if d is None else d, known)
-                   for d, t in rows_of(batch, "doc_id", "text")]
+            ids = list(pieces.encode_many(((-1 if d is None else d, t) for d, t in rows_of(batch, "doc_id", "text")),
+                                          dropout, seed, known))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text"), pa.array(ids, pa.list_(pa.int32()))],
                 names=["doc_id", "text", "ids"])
@@ -170,10 +320,9 @@ def encoding_digests(docs: DataFrame, model: str, dropout: float = DROPOUT, seed
     def run(batches):
         pieces, known = Pieces(model), {}
         for batch in batches:
-            rows = []
-            for document, text in rows_of(batch, "doc_id", "text"):
-                ids = pieces.encode(text, dropout, seed, -1 if document is None else document, known)
-                rows.append((document, len(ids), ids_crc32(ids), pieces.decode(ids) == text))
+            keyed = list(rows_of(batch, "doc_id", "text"))
+            encoded = pieces.encode_many(((-1 if d is None else d, t) for d, t in keyed), dropout, seed, known)
+            rows = [(d, len(ids), ids_crc32(ids), pieces.decode(ids) == t) for (d, t), ids in zip(keyed, encoded)]
             columns = list(zip(*rows)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))],

@@ -1,5 +1,6 @@
 """Chat format, quality rules, personal data, pieces, pages and packing against plain versions."""
 
+import functools
 import hashlib
 import json
 import re
@@ -216,9 +217,14 @@ def test_overlapping_spans_leave_nothing(spark):
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+@functools.cache
+def loaded_once():
+    return pieces.Pieces(MODEL)
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
-    return pieces.Pieces(MODEL)
+    return loaded_once()
 
 
 @pytest.fixture(scope="module")
@@ -238,7 +244,7 @@ def test_without_dropout_ids_are_the_library_s(spark, vocabulary, library):
 @settings(max_examples=300, deadline=None)
 @drawn(st.text(), st.sampled_from([0.0, 0.1, 0.5, 1.0]), st.integers(0, 5))
 def test_any_text_is_decoded(text, dropout, document):
-    loaded = test_any_text_is_decoded.__dict__.setdefault("loaded", pieces.Pieces(MODEL))
+    loaded = loaded_once()
     assert loaded.decode(loaded.encode(text, dropout, 42, document)) == text
 
 
@@ -263,7 +269,11 @@ def plain_split(loaded, word, limit, key):
         if not options:
             return [p for _, p in parts]
         _, i, a, b, k = min(options)
-        if xxhash.xxh64_intdigest(f"{i}\0{a}\0{b}\0{word}".encode(), key) < limit:
+        z = xxhash.xxh64_intdigest(word.encode(), key) ^ (
+            (xxhash.xxh64_intdigest(f"{a}\0{b}".encode()) + i * 0x9E3779B97F4A7C15) % 2 ** 64)
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2 ** 64
+        z = (z ^ z >> 27) * 0x94D049BB133111EB % 2 ** 64
+        if z ^ z >> 31 < limit:
             skipped.add((i, a, b))
         else:
             parts[k:k + 2] = [(i, a + b)]
@@ -275,6 +285,22 @@ def test_agenda_against_plain_merges(vocabulary):
             assert vocabulary.split(word, rate, k) == plain_split(vocabulary, word, int(rate * 2 ** 64), k)
 
 
+def test_agendas_side_by_side(vocabulary):
+    words = prose(400, 11).split() + ["", "a", "unbelievable", "▁▁▁word", "aaaaaaa" * 9, "ab" * 200, "日本語", "é\x00😀x",
+                                      "internationalisation", "\ufffe"]
+    for rate in (0.0, 0.1, 0.6, 1.0):
+        for key in (0, 5):
+            assert vocabulary.split_many(words, rate, key) == [
+                vocabulary.ids(vocabulary.split(w, rate, key)) for w in words]
+
+
+@settings(max_examples=200, deadline=None)
+@drawn(st.lists(st.text(max_size=90), max_size=12), st.sampled_from([0.0, 0.1, 0.5]), st.integers(0, 5))
+def test_agendas_side_by_side_on_any_words(words, rate, key):
+    loaded = loaded_once()
+    assert loaded.split_many(words, rate, key) == [loaded.ids(loaded.split(w, rate, key)) for w in words]
+
+
 def test_encoding_as_a_job(spark, vocabulary):
     docs = documents(spark, awkward())
     encoded = pieces.encode(docs, MODEL)
