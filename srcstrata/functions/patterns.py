@@ -11,3 +11,9 @@ PYTHON_METHOD = r"^\s*def\s+([A-Za-z_][\w]*)\s*\("
 CONTROL_KEYWORDS = ["if", "for", "while", "switch", "catch", "return", "new", "throw", "else",
                     "do"]
 IDENTIFIER = r"[A-Za-z_$][\w$]*"
+
+# JAVA_LIKE_METHOD in linear time. A match never crosses ; { } and its parentheses end at the last ) before
+# the next of them, so a line cut there has at most one match a piece: the first identifier, not tried again
+# from its middle, that stands before a ( to the left of that last ).
+STATEMENT_END = r"[;{}]"
+METHOD_HEAD = r"(?<![\w$])(?>[\w$]*?\b([A-Za-z_$][\w$]*+))\s*+\("

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from srcstrata.operators.relational import null_safe_join
 from srcstrata.schemas import TABLES
 from srcstrata.session import stored
 
@@ -18,7 +19,8 @@ def cascade_delete(tables: dict[str, DataFrame], root: str, ids: DataFrame
     Tables are visited parents first. Through a CASCADE key a row goes with its
     parent; through a SET NULL key only the named columns are emptied. The keys
     removed from a parent are stored, so that its children neither find them
-    again nor have to guess their size; the tables themselves stay lazy.
+    again nor have to guess their size; the tables themselves stay lazy. An
+    emptied branch is part of a file's key, so its classes go with the file.
     """
     ids = ids.select("id").distinct()
     unknown = ids.join(tables[root].select("id"), "id", "left_anti")
@@ -32,8 +34,8 @@ def cascade_delete(tables: dict[str, DataFrame], root: str, ids: DataFrame
         for fk in table.foreign_keys:
             if fk.on_delete == "cascade" and fk.parent in removed:
                 dead = _parent_keys(removed[fk.parent], fk)
-                gone.append(tables[name].join(dead, list(fk.columns), "left_semi"))
-                kept = kept.join(dead, list(fk.columns), "left_anti")
+                gone.append(null_safe_join(tables[name], dead, fk.columns, "left_semi"))
+                kept = null_safe_join(kept, dead, fk.columns, "left_anti")
         named = _columns_named_by_children(name)
         if gone and named and any(_refers_to(child, name) for child in tables):
             removed[name] = stored(reduce(DataFrame.unionByName, [g.select(*named) for g in gone]

@@ -119,7 +119,8 @@ def _reference_rule(fk: ForeignKey) -> str:
 def foreign_key_violations(tables: dict[str, DataFrame]) -> DataFrame:
     """Referenced keys that no parent row has, with the number of rows naming them.
 
-    A reference with a null part passes.
+    A null where the parent's column is NOT NULL is no reference and passes. Where
+    the parent's column may be null, as a file's branch, null is part of the key.
     """
     parts = []
     for name, table in TABLES.items():
@@ -130,10 +131,11 @@ def foreign_key_violations(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def _missing_parents(name: str, child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFrame:
-    named = child.dropna(subset=list(fk.columns)).groupBy(*fk.columns).agg(
-        F.count("*").alias("n"))
+    always = TABLES[fk.parent].required
+    named = child.dropna(subset=[c for c, p in zip(fk.columns, fk.parent_columns) if p in always]
+                         ).groupBy(*fk.columns).agg(F.count("*").alias("n"))
     keys = parent.select(*[F.col(p).alias(c) for c, p in zip(fk.columns, fk.parent_columns)])
-    return named.join(keys, list(fk.columns), "left_anti").select(
+    return null_safe_join(named, keys, fk.columns, "left_anti").select(
         F.lit(name).alias("table_name"), F.lit(_reference_rule(fk)).alias("rule"),
         key_text(fk.columns).alias("key"), F.col("n").cast("string").alias("detail"))
 

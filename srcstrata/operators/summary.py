@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcstrata.operators.relational import null_safe_join, top1_per_group
 
+
 def join_repo_branches(repositories: DataFrame, branches: DataFrame) -> DataFrame:
     """Repositories with their branches; repositories without one are kept.
 
@@ -149,13 +152,14 @@ def scan_runs_by_status(scan_runs: DataFrame, statuses: list[str] | None = None,
     return out
 
 
-def daily_repository_metrics(totals: DataFrame, scanned: DataFrame) -> DataFrame:
+def daily_repository_metrics(totals: DataFrame, scanned: DataFrame,
+                             keys: Sequence[str] = ("repository_id", "branch_id")) -> DataFrame:
     """Metric rows of a scan: the totals of each scanned branch on its scan date.
 
     ``scanned`` has (repository_id, branch_id, scan_run_id, scanned_at). A scan
     that found no file still writes a row of zeros.
     """
-    joined = null_safe_join(scanned, totals, ["repository_id", "branch_id"], "left")
+    joined = null_safe_join(scanned, totals, list(keys), "left")
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("file_count", "class_count", "method_count")]
     return joined.select("repository_id", "branch_id", "scan_run_id",
                          F.to_date("scanned_at").alias("date"), *zero,

@@ -9,6 +9,8 @@ capped at 1 MB, so no group can grow with the data.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,9 +46,18 @@ def line_count(lines: Column) -> Column:
     return F.size(F.filter(lines, has_text))
 
 
+def _java_like_methods(line: Column) -> Column:
+    """What ``JAVA_LIKE_METHOD`` matches, in time linear in the line."""
+    def head(piece: Column) -> Column:
+        before = F.left(piece, F.length(piece) - F.length(F.substring_index(piece, ")", -1)))
+        return F.regexp_extract(before, P.METHOD_HEAD, 1)
+    return F.filter(F.transform(F.split(line, P.STATEMENT_END, -1), head), lambda name: name != "")
+
+
 def _matches(lines: Column, *patterns: str) -> Column:
     def of_line(line: Column) -> Column:
-        found = [F.regexp_extract_all(line, F.lit(p), F.lit(1)) for p in patterns]
+        found = [_java_like_methods(line) if p == P.JAVA_LIKE_METHOD else
+                 F.regexp_extract_all(line, F.lit(p), F.lit(1)) for p in patterns]
         return found[0] if len(found) == 1 else F.concat(*found)
     return F.flatten(F.transform(lines, of_line))
 
@@ -196,12 +207,12 @@ def flatten_parse_tree(trees: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     return files, classes.drop("methods"), methods
 
 
-def scan_totals(matched: DataFrame) -> DataFrame:
+def scan_totals(matched: DataFrame, keys: Sequence[str] = ("repository_id", "branch_id")) -> DataFrame:
     """Files, classes and methods per repository and branch, without naming symbols."""
     n_classes = F.size("class_names")
     n_methods = F.size("method_names")
     stored_classes = F.when((n_classes == 0) & (n_methods > 0), 1).otherwise(n_classes)
-    return matched.groupBy("repository_id", "branch_id").agg(
+    return matched.groupBy(*keys).agg(
         F.count("*").cast("int").alias("file_count"),
         F.sum(stored_classes).cast("int").alias("class_count"),
         F.sum(n_methods).cast("int").alias("method_count"),

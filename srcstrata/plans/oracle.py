@@ -458,12 +458,14 @@ def _references() -> str:
     parts = []
     for table, child, parent, columns in keys:
         pairs = list(zip(child.split(), columns.split()))
-        on = " and ".join(f"p.{b} = c.{a}" for a, b in pairs)
-        present = " and ".join(f"c.{a} is not null" for a, _ in pairs)
+        # A file's branch may be null and is part of its key all the same.
+        file_key = parent in ("source_files", "classes")
+        on = " and ".join(f"p.{b} is not distinct from c.{a}" for a, b in pairs)
+        present = " and ".join(f"c.{a} is not null" for a, _ in pairs if not (file_key and a == "branch_id"))
         key = ", ".join(f"c.{a}" for a, _ in pairs)
         parts.append(
             f"select '{table}' as table_name, '{'_'.join(child.split())}_in_{parent}' as rule, "
-            f"concat_ws('|', {key}) as key, cast(count(*) as varchar) as detail from {table} c "
+            f"{_key(' '.join('c.' + a for a, _ in pairs))} as key, cast(count(*) as varchar) as detail from {table} c "
             f"where {present} and not exists (select 1 from {parent} p where {on}) group by {key}")
     return " union all ".join(parts)
 

@@ -24,19 +24,48 @@ def source_candidates(files: DataFrame) -> DataFrame:
             .filter(F.col("language").isNotNull() & L.within_size_cap(F.col("size"))))
 
 
+def dropped_files(files: DataFrame) -> DataFrame:
+    """(root, path, size, reason) of the files that are not parsed."""
+    return files.select("root", "path", "size", F.when(L.is_skipped(F.col("path")), "skipped folder")
+                        .when(L.detect_language(F.col("path")).isNull(), "unknown language")
+                        .when(~F.coalesce(L.within_size_cap(F.col("size")), F.lit(False)), "size")
+                        .alias("reason")).filter("reason IS NOT NULL")
+
+
+def checked_manifest(manifest: DataFrame) -> DataFrame:
+    """Manifest rows with names, URLs and branches filled in, and ``problem`` where a row cannot be scanned.
+
+    A detached head is the branch ``HEAD``. A row needs a commit id, and its
+    explicit URL, where it has one, has to be a repository URL.
+    """
+    url, sha = F.col("url"), F.col("head_commit_sha")
+    problem = F.when(X.has_text(url) & X.url_problem(url).isNotNull(), F.concat(F.lit("url: "), X.url_problem(url))
+                     ).when(~F.coalesce(X.has_text(sha), F.lit(False)), "no commit id")
+    return manifest.select(*MANIFEST_COLUMNS, problem.alias("problem")).withColumns({
+        "name": X.first_non_blank(F.col("name"), X.derive_repository_name(
+            url, X.file_name(F.rtrim("root", F.lit("/"))))),
+        "url": X.canonical_repository_url(url, F.col("origin_url"), X.file_uri(F.col("root"))),
+        "branch_name": X.first_non_blank(F.col("branch_name"), F.lit("HEAD")),
+    }).withColumnsRenamed({"scanned_at": "event_time", "scan_run_id": "event_id"})
+
+
 def scan_repositories(tables: dict[str, DataFrame], manifest: DataFrame, files: DataFrame
                       ) -> tuple[dict[str, DataFrame], DataFrame]:
-    """(tables after the scan, one result row per repository).
+    """(tables after the scan, one result row per manifest row).
 
     ``files`` (root, path, size, content) are the trees of the manifest's roots.
     Texts are read once: what is kept of them is stored before it is used.
+
+    A row with a problem is reported as ``rejected`` and changes nothing. A scan
+    with an unreadable or malformed file is ``failed`` with a message; the files,
+    symbols and metrics of its branch stay as they were. Of several scans of a
+    branch the last completed one gives its files; each has its scan row and
+    counts towards the metrics of its day.
     """
     out = dict(tables)
-    m = manifest.select(*MANIFEST_COLUMNS).withColumns({
-        "name": X.first_non_blank(F.col("name"), X.file_name(F.rtrim("root", F.lit("/")))),
-        "url": X.canonical_repository_url(F.col("url"), F.col("origin_url"),
-                                          X.file_uri(F.col("root"))),
-    }).withColumnsRenamed({"scanned_at": "event_time", "scan_run_id": "event_id"})
+    checked = stored(checked_manifest(manifest), "checked")
+    rejected = checked.filter("problem IS NOT NULL")
+    m = checked.filter("problem IS NULL").drop("problem")
 
     out["repositories"] = stored(state.upsert_repositories(
         tables["repositories"], m.select("url", "name", "event_time", "event_id")), "repositories")
@@ -56,34 +85,51 @@ def scan_repositories(tables: dict[str, DataFrame], manifest: DataFrame, files:
                                      F.col("id").alias("commit_id")),
                ["repository_id", "head_commit_sha"]))
     m = stored(m, "manifest")
-
     out["branch_commits"] = state.link_branch_commits(tables["branch_commits"], m.select(
         "repository_id", "branch_id", "commit_id", F.col("event_time").alias("first_seen_at")))
+
+    scans = m.select("root", "repository_id", "branch_id", F.col("event_id").alias("scan_run_id"))
+    readable = F.coalesce(F.is_valid_utf8("content"), F.lit(False))
+    texts = (source_candidates(files).join(scans, "root").drop("root", "size")
+             .withColumn("readable", readable)
+             .withColumn("content", F.when(F.col("readable"), F.col("content")).otherwise(F.lit(b""))))
+    matched = stored(symbols.match_symbols(symbols.decode_source(texts)), "matched")
+    failed = matched.filter("NOT readable").groupBy(F.col("scan_run_id").alias("event_id")).agg(
+        F.concat(F.lit("unreadable or not UTF-8: "), F.min("path")).alias("error_message"))
+    m = stored(m.join(failed, "event_id", "left"), "scans")
+
     started = state.start_scan_runs(tables["scan_runs"], m.select(
         F.col("event_id").alias("id"), "repository_id", "branch_id", "head_commit_sha",
         "trigger_type", F.col("event_time").alias("started_at")))
     out["scan_runs"] = state.complete_scan_runs(started, m.select(
-        F.col("event_id").alias("id"), F.col("event_time").alias("completed_at"),
-        F.lit(None).cast("string").alias("error_message")))
-
-    scanned = m.select("root", "repository_id", "branch_id", F.col("event_id").alias("scan_run_id"),
-                       F.col("event_time").alias("scanned_at"))
-    texts = source_candidates(files).join(scanned.drop("scanned_at"), "root").drop("root", "size")
-    matched = stored(symbols.match_symbols(symbols.decode_source(texts)), "matched")
-    found = stored(symbols.file_symbols(matched), "symbols")
-    for name, rows in (("source_files", symbols.file_rows(matched, F.col("scan_run_id"))),
+        F.col("event_id").alias("id"), F.col("event_time").alias("completed_at"), "error_message"))
+
+    completed = m.filter("error_message IS NULL").select(
+        "repository_id", "branch_id", F.col("event_id").alias("scan_run_id"),
+        F.col("event_time").alias("scanned_at"))
+    last = stored(state.last_per_key(completed, ["repository_id", "branch_id"], ["scanned_at", "scan_run_id"]),
+                  "last-scans")
+    current = matched.join(last.select("scan_run_id"), "scan_run_id", "left_semi")
+    found = stored(symbols.file_symbols(current), "symbols")
+    for name, rows in (("source_files", symbols.file_rows(current, F.col("scan_run_id"))),
                        ("classes", symbols.class_rows(found)),
                        ("methods", symbols.method_rows(found))):
-        out[name] = state.replace_branch_files(tables[name], rows, scanned)
+        out[name] = state.replace_branch_files(tables[name], rows, last)
 
-    daily = summary.daily_repository_metrics(symbols.scan_totals(matched), scanned)
+    by_scan = ["repository_id", "branch_id", "scan_run_id"]
+    daily = summary.daily_repository_metrics(symbols.scan_totals(matched, by_scan), completed, by_scan)
     out["repository_metrics"] = state.upsert_daily_metrics(tables["repository_metrics"], daily)
-    return out, _report(m, daily)
+    return out, _report(m, daily, rejected)
 
 
-def _report(m: DataFrame, daily: DataFrame) -> DataFrame:
-    counts = daily.select("repository_id", "branch_id", "scan_run_id", "file_count", "class_count",
-                          "method_count")
+def _report(m: DataFrame, daily: DataFrame, rejected: DataFrame) -> DataFrame:
+    keys = ["repository_id", "branch_id", "scan_run_id"]
+    counts = daily.select(*keys, "file_count", "class_count", "method_count")
     named = m.select("repository_id", "branch_id", F.col("event_id").alias("scan_run_id"), "name",
-                     F.col("branch_name").alias("branch"), "head_commit_sha")
-    return null_safe_join(named, counts, ["repository_id", "branch_id", "scan_run_id"], "inner")
+                     F.col("branch_name").alias("branch"), "head_commit_sha",
+                     F.when(F.col("error_message").isNull(), "completed").otherwise("failed").alias("status"),
+                     "error_message")
+    refused = rejected.select(F.col("event_id").alias("scan_run_id"), "name", F.col("branch_name").alias("branch"),
+                              "head_commit_sha", F.lit("rejected").alias("status"),
+                              F.col("problem").alias("error_message"))
+    return null_safe_join(named, counts, keys, "left").unionByName(refused, allowMissingColumns=True)

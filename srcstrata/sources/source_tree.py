@@ -171,7 +171,9 @@ def list_trees(roots: DataFrame, max_file_bytes: int = MAX_SOURCE_BYTES,
 
     A tree of any size is spread over tasks: its upper folder levels are listed
     first and the folders found there are dealt out again before they are walked.
+    A root named by several rows is listed once for each distinct row.
     """
+    roots = roots.distinct()
     keys = roots.columns
     tasks = _tasks(roots, partitions)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in roots.schema)
@@ -226,8 +228,15 @@ def _frame(block: list[tuple], columns: list[str]) -> pd.DataFrame:
     return out
 
 
+def _read_or_null(root: str, path: str) -> bytes | None:
+    try:
+        return _read(_local(root), path)
+    except OSError:
+        return None
+
+
 def read_files(files: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Adds ``content`` to listed files (root, path, size).
+    """Adds ``content`` to listed files (root, path, size); null where a file cannot be read.
 
     Files are dealt out by path, at most 1 MB each, so tasks get even shares.
     """
@@ -239,7 +248,7 @@ def read_files(files: DataFrame, partitions: int | None = None) -> DataFrame:
             # Small slices keep a batch of file contents well below task memory.
             for start in range(0, len(batch), 32):
                 part = batch.iloc[start:start + 32].copy()
-                part["content"] = [_read(_local(r), p) for r, p in zip(part["root"], part["path"])]
+                part["content"] = [_read_or_null(r, p) for r, p in zip(part["root"], part["path"])]
                 yield part
 
     return dealt.mapInPandas(run, schema + ", content binary")

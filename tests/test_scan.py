@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from srcstrata.operators import quality, summary
+from srcstrata.operators import cascade, quality, summary
 from srcstrata.plans import scan
 from srcstrata.plans.adapters import Catalogue
 from srcstrata.schemas import TABLES
@@ -73,6 +73,71 @@ def test_two_scans_of_three_repositories(spark, tmp_path):
     assert defaults == {("dev", False)}
 
 
+def test_bad_rows_and_files_touch_their_own_scan_only(spark, tmp_path):
+    configure(spark)
+    write(tmp_path / "one", {"A.java": "class A {\n"})
+    write(tmp_path / "next", {"A.java": "class B {\n void f() {", "C.java": "class C"})
+    write(tmp_path / "bad", {"A.java": "class A {\n"})
+    (tmp_path / "bad" / "B.java").write_bytes(b"class \xff")
+    empty = {name: spark.createDataFrame([], table.schema) for name, table in TABLES.items()}
+    day = dt.datetime(2026, 3, 1, 12)
+
+    def row(folder, scan_id, url="https://h/o/one.git", branch="main", sha="a" * 40, days=0):
+        return (str(tmp_path / folder), url, None, None, branch, sha, None, None, None, None, scan_id, "manual",
+                day + dt.timedelta(days=days))
+
+    rows = [row("one", 1), row("next", 2, days=1), row("bad", 3, days=2), row("one", 4, "https://h/o/two", None),
+            row("one", 5, "https://h/o/three", sha=None), row("one", 6, "not a url ::"),
+            row("bad", 7, "https://h/o/bad")]
+    tables, report = run(spark, empty, rows)
+    got = {r.scan_run_id: (r.status, r.name, r.branch, r.file_count, r.class_count) for r in report.collect()}
+    assert got == {1: ("completed", "one", "main", 1, 1), 2: ("completed", "one", "main", 2, 2),
+                   3: ("failed", "one", "main", None, None), 4: ("completed", "two", "HEAD", 1, 1),
+                   5: ("rejected", "three", "main", None, None), 6: ("rejected", got[6][1], "main", None, None),
+                   7: ("failed", "bad", "main", None, None)}
+    assert len(rows) == report.count()
+    assert "B.java" in report.filter("scan_run_id = 3").first().error_message
+    assert {(r.id, r.status) for r in tables["scan_runs"].collect()} == {
+        (1, "completed"), (2, "completed"), (3, "failed"), (4, "completed"), (7, "failed")}
+    assert sorted((r.scan_run_id, r.path) for r in tables["source_files"].collect()) == [
+        (2, "A.java"), (2, "C.java"), (4, "A.java")]
+    assert sorted(r.name for r in tables["classes"].collect()) == ["A", "B", "C"]
+    assert sorted((r.scan_run_id, r.file_count) for r in tables["repository_metrics"].collect()) == [
+        (1, 1), (2, 2), (4, 1)]
+
+
+def test_children_of_files_without_branch(spark):
+    configure(spark)
+    tables = {name: spark.createDataFrame([], table.schema) for name, table in TABLES.items()}
+
+    def add(name, *rows):
+        names = TABLES[name].names
+        tables[name] = spark.createDataFrame([tuple(r.get(c) for c in names) for r in rows], TABLES[name].schema)
+
+    when = dt.datetime(2026, 1, 1)
+    add("repositories", *({"id": i, "name": "r", "url": str(i), "created_at": when, "updated_at": when} for i in (1, 2)))
+    files = [{"repository_id": r, "branch_id": None, "path": "A", "loc": 1} for r in (1, 2)]
+    add("source_files", *files)
+    add("classes", *({**f, "name": "A", "method_count": 1} for f in files),
+        {**files[0], "path": "gone", "name": "X", "method_count": 0})
+    add("methods", *({**f, "class_name": "A", "name": "m", "complexity": 0} for f in files))
+    assert [(r.table_name, r.key, r.detail) for r in quality.foreign_key_violations(tables).collect()] == [
+        ("classes", "1||gone", "1")]
+    after, _ = cascade.delete_repositories(tables, spark.createDataFrame([(1,)], "id long"))
+    for name in ("source_files", "methods"):
+        assert [r.repository_id for r in after[name].collect()] == [2]
+    assert sorted((r.repository_id, r.path) for r in after["classes"].collect()) == [(1, "gone"), (2, "A")]
+
+
+def test_dropped_files_have_a_reason(spark):
+    files = spark.createDataFrame([("r", "A.java", 1), ("r", "build/A.java", 1), ("r", "x.md", 1),
+                                   ("r", "B.java", 2_000_000), ("r", "C.java", None)],
+                                  "root string, path string, size long")
+    assert sorted((r.path, r.reason) for r in scan.dropped_files(files).collect()) == [
+        ("B.java", "size"), ("C.java", "size"), ("build/A.java", "skipped folder"), ("x.md", "unknown language")]
+    assert scan.source_candidates(files).count() + scan.dropped_files(files).count() == files.count()
+
+
 def test_catalogue_covers_every_table(spark):
     c = Catalogue(configure(spark), "/root/testdata/sf0.001")
     assert set(c.tables("repositories", "branches")) == {"repositories", "branches"}

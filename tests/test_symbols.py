@@ -1,8 +1,11 @@
 """Symbol extraction on lines whose results are known by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from srcstrata.functions import patterns as P
 from srcstrata.operators import search, symbols
 
 
@@ -125,3 +128,16 @@ def test_dependencies_count_every_pair(spark):
     assert {(r.source_path, r.target_class): r.target_path for r in rows} == {
         ("a.java", "B"): "b1.java", ("a.java", "C"): "b2.java", ("b2.java", "A"): "a.java",
         ("b1.java", "B"): "b2.java", ("b2.java", "B"): "b1.java"}
+
+
+def test_methods_are_the_pattern_s_in_linear_time(spark):
+    draw = random.Random(4)
+    parts = ["f", "f(", "f(", "$g", "a$b", "9x", "if", "(", ")", "(", ")", ")", ")", ";", "{", "}", " ", "  ", "throws", " A, B", ".", "=",
+             "é", "\t", "_"]
+    lines = ["".join(draw.choices(parts, k=draw.randrange(24))) for _ in range(4000)]
+    frame = spark.createDataFrame([(line,) for line in lines], "line string")
+    plain = F.regexp_extract_all("line", F.lit(P.JAVA_LIKE_METHOD), F.lit(1))
+    assert frame.filter(~(symbols._java_like_methods(F.col("line")) == plain)).collect() == []
+    assert frame.filter(F.size(plain) > 0).count() > 500
+    long = spark.createDataFrame([("f(" * 250_000,), ("a$" * 500_000,), ("f(" * 250_000 + ")",)], "line string")
+    assert [r[0] for r in long.select(symbols._java_like_methods(F.col("line"))).collect()] == [[], [], ["f"]]
