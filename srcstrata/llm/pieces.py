@@ -6,14 +6,15 @@ character, so merges never cross into the next mark and the text falls into
 words that are encoded alone. In a word, an agenda holds candidate merges, best
 score first, leftmost among equals. A candidate taken from the agenda is skipped
 if a keyed hash of (seed, variant, word, place, pair) falls below the dropout
-rate; the word enters as its digest, so that long words cost no more a step. The variant of a word is a keyed hash of (seed, document, place) modulo
-``VARIANTS``, so a word that recurs is split in several ways, and the same run
-gives the same split wherever it is computed. Without dropout, ids equal those
+rate; the word enters as its digest, so that long words cost no more a step. The
+variant of a word is a keyed hash of (seed, document, place) modulo ``VARIANTS``,
+so a word that recurs is split in several ways, and the same run gives the same
+split wherever it is computed. Without dropout, ids equal those
 of the library.
 
 :meth:`Pieces.split` is the agenda of one word. :meth:`Pieces.split_many` steps
-the agendas of many words together, as rows of arrays: each round takes the best
-candidate of every row. Both give the same splits.
+the agendas of many words of one length together, as columns of arrays: each
+round takes the best candidate of every word. Both give the same splits.
 
 Characters without a piece become byte pieces; so does a space mark that stands
 in the text itself, which the plain encoding would turn into a space. Decoding
@@ -26,6 +27,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -40,10 +42,13 @@ DROPOUT, SEED, VARIANTS = 0.1, 42, 8
 MARK = "▁"
 # Words with the spaces before them; a space mark in the text itself stands alone.
 WORD = re.compile(f"{MARK}| *[^ {MARK}]+| +")
-# Split words kept in a task, characters of documents encoded together, cells of the arrays of a step,
+# Words whose splits a task keeps, characters of documents encoded together, cells of the arrays of a step,
 # and the length from which a word has an agenda of its own.
-REMEMBERED, BLOCK, CELLS, LONG = 200_000, 2_000_000, 400_000, 64
-NONE = np.iinfo(np.int32).max
+REMEMBERED, BLOCK, CELLS, LONG = 1_000_000, 8_000_000, 100_000, 64
+# A candidate is its pair's rank above the bits of its column, so that the smallest is the next one.
+COLUMN_BITS = 6
+COLUMN = np.int32(2 ** COLUMN_BITS - 1)
+NONE, EMPTY = np.int32(np.iinfo(np.int32).max), np.int64(np.iinfo(np.int64).min)
 # Constants of splitmix64, the mixing of the keyed hashes.
 GOLDEN, MIX_1, MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
@@ -91,17 +96,37 @@ class Pieces:
         for p, n in symbol.items():
             if len(p) == 1:
                 self.char[ord(p)] = n
-        keys = (first << 21) | second
-        self.pair_at = np.argsort(keys)
-        self.pair_key = np.append(keys[self.pair_at], np.iinfo(np.int64).max)
+        self._index_slots((first << 21) | second)
+
+    def _index_slots(self, keys: np.ndarray) -> None:
+        """A table of pairs with open addressing, eight times as large as their number."""
+        bits = max(4, int(len(keys) * 8).bit_length())
+        self.shift, self.last_slot = np.uint64(64 - bits), 2 ** bits - 1
+        self.slot_key = np.full(2 ** bits, EMPTY)
+        self.slot_pair, self.slot_rank = np.zeros(2 ** bits, np.int64), np.full(2 ** bits, NONE, np.int32)
+        pending, slot = np.arange(len(keys)), self._slots(keys)
+        while len(pending):
+            free = self.slot_key[slot] == EMPTY
+            self.slot_key[slot[free]] = keys[pending[free]]
+            placed = self.slot_key[slot] == keys[pending]
+            self.slot_pair[slot[placed]] = pending[placed]
+            self.slot_rank[slot[placed]] = self.pair_rank[pending[placed]] << COLUMN_BITS
+            pending, slot = pending[~placed], (slot[~placed] + 1) & self.last_slot
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(GOLDEN)) >> self.shift).astype(np.int64)
 
     def _candidates(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (``NONE`` where nothing merges) and number of the pairs of symbols; -1 is no symbol."""
-        wanted = np.where((first < 0) | (second < 0), -1, (first << 21) | second)
-        place = np.searchsorted(self.pair_key, wanted)
-        hit = self.pair_key[place] == wanted
-        pair = np.where(hit, self.pair_at[np.where(hit, place, 0)], 0) if len(self.pair_at) else np.zeros_like(place)
-        return np.where(hit, self.pair_rank[pair] if len(self.pair_at) else NONE, NONE), pair
+        """Rank above the bits of a column (``NONE`` where nothing merges) and number of pairs; symbol -1 has none."""
+        wanted = (first << 21) | second
+        slot = self._slots(wanted)
+        found = self.slot_key[slot]
+        tried = np.flatnonzero((found != wanted) & (found != EMPTY))
+        while len(tried):
+            slot[tried] = (slot[tried] + 1) & self.last_slot
+            found[tried] = self.slot_key[slot[tried]]
+            tried = tried[(found[tried] != wanted[tried]) & (found[tried] != EMPTY)]
+        return np.where(found == wanted, self.slot_rank[slot], NONE), self.slot_pair[slot]
 
     def split(self, word: str, dropout: float = 0.0, key: int = 0) -> list[str]:
         """Pieces of one word after merges; candidates are dropped by a hash keyed with ``key``."""
@@ -136,73 +161,99 @@ class Pieces:
 
     def split_many(self, words: list[str], dropout: float = 0.0, key: int = 0) -> list[list[int]]:
         """Ids of the pieces of many words, as :meth:`split` would split each."""
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        out: list[list[int]] = [[]] * len(words)
-        start = 0
+        order, flat, counts = self._split_keyed(words, [key] * len(words), dropout)
+        ends, out = np.cumsum(counts).tolist(), [[]] * len(words)
+        for i, start, end in zip(order.tolist(), [0] + ends[:-1], ends):
+            out[i] = flat[start:end].tolist()
+        return out
+
+    def _split_keyed(self, words: list[str], keys: list[int], dropout: float
+                     ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order in which words are split, the ids of all in that order, and the number of ids of each."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        offsets = np.cumsum(lengths) - lengths
+        limit = int(dropout * 2 ** 64)
+        digests = np.fromiter(map(_digest, words, keys), np.uint64, len(words)) if limit else None
+        flat, counts, start = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
         while start < len(order):
-            width = len(words[order[start]])
+            width = int(lengths[order[start]])
             if width > LONG:
-                out[order[start]] = self.ids(self.split(words[order[start]], dropout, key))
+                i = order[start]
+                found = self.ids(self.split(words[i], dropout, keys[i]))
+                flat.append(np.array(found, np.int32))
+                counts.append(np.array([len(found)]))
                 start += 1
                 continue
-            end = start + 1
-            while end < len(order) and (longer := len(words[order[end]])) <= LONG and (
-                    end + 1 - start) * longer <= CELLS and longer <= width + 4:
-                end += 1
-            for i, found in zip(order[start:end], self._step([words[i] for i in order[start:end]], dropout, key)):
-                out[i] = found
+            end = min(int(np.searchsorted(lengths, width, "right", sorter=order)), start + max(1, CELLS // (width + 1)))
+            chosen = order[start:end]
+            if width:
+                symbols, found = self._step(codes[offsets[chosen] + np.arange(width)[:, None]],
+                                            None if digests is None else digests[chosen], limit)
+                ids, found = self._ids_of(symbols, found)
+            else:
+                ids, found = np.zeros(0, np.int32), np.zeros(len(chosen), np.int64)
+            flat.append(ids)
+            counts.append(found)
             start = end
-        return out
-
-    def _step(self, words: list[str], dropout: float, key: int) -> list[list[int]]:
-        n, width = len(words), max(1, max(map(len, words)))
-        lengths = np.array([len(w) for w in words])
-        columns = np.arange(width)
-        symbol = np.full((n, width), -1, np.int64)
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
-        symbol[columns < lengths[:, None]] = self.char[codes]
-        right = np.where(columns + 1 < lengths[:, None], columns + 1, -1)
-        left = np.repeat((columns - 1)[None, :], n, axis=0)
-        rank, pair = np.full((n, width), NONE, np.int32), np.zeros((n, width), np.int64)
-        rank[:, :-1], pair[:, :-1] = self._candidates(symbol[:, :-1], symbol[:, 1:])
-        limit = int(dropout * 2 ** 64)
-        digest = np.array([_digest(w, key) for w in words] if limit else [], np.uint64)
-        rows = np.arange(n)
+        return order, np.concatenate(flat), np.concatenate(counts)
+
+    def _step(self, codes: np.ndarray, digests: np.ndarray | None, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols left of words of one length, a word a column of ``codes``, and the number of each word's.
+
+        Cells are numbered through; the row below the last character stands for no character.
+        """
+        width, n = codes.shape
+        symbol = np.append(self.char[codes].ravel(), np.full(n, -1))
+        outside = np.arange(width * n, (width + 1) * n)
+        right = np.append(np.arange(n, (width + 1) * n), outside)
+        left = np.append(outside, np.arange(width * n))
+        best, pair = np.full((width + 1) * n, NONE, np.int32), np.zeros((width + 1) * n, np.int64)
+        inner = slice(0, (width - 1) * n)
+        best[inner], pair[inner] = self._candidates(symbol[inner], symbol[n:width * n])
+        best[inner] |= np.repeat(np.arange(width - 1, dtype=np.int32), n)
         while True:
-            at = rank[rows].argmin(axis=1)
-            open_ = rank[rows, at] < NONE
-            rows, at = rows[open_], at[open_]
+            top = best.reshape(width + 1, n).min(axis=0)
+            rows = np.flatnonzero(top != NONE)
             if not len(rows):
                 break
-            chosen, a, k = rows, at, pair[rows, at]
+            column = top[rows] & COLUMN
+            at = column * n + rows
+            k = pair[at]
             if limit:
-                dropped = _mixed_all(digest[rows] ^ (self.pair_hash[k] + a.astype(np.uint64) * np.uint64(GOLDEN))
+                dropped = _mixed_all(digests[rows] ^ (self.pair_hash[k] + column.astype(np.uint64) * np.uint64(GOLDEN))
                                      ) <= np.uint64(limit - 1)
-                rank[rows[dropped], at[dropped]] = NONE
-                chosen, a, k = rows[~dropped], at[~dropped], k[~dropped]
-            b = right[chosen, a]
-            after, before = right[chosen, b], left[chosen, a]
-            symbol[chosen, a] = self.pair_merged[k]
-            symbol[chosen, b], rank[chosen, b], right[chosen, a] = -1, NONE, after
-            inner = after >= 0
-            left[chosen[inner], after[inner]] = a[inner]
-            rank[chosen, a], pair[chosen, a] = self._candidates(
-                symbol[chosen, a], np.where(inner, symbol[chosen, after], -1))
-            inner = before >= 0
-            chosen, a, before = chosen[inner], a[inner], before[inner]
-            rank[chosen, before], pair[chosen, before] = self._candidates(symbol[chosen, before], symbol[chosen, a])
-        kept = symbol >= 0
-        flat, ends = symbol[kept], np.cumsum(kept.sum(axis=1)).tolist()
-        inside = flat < len(self.symbol)
-        ids = np.where(inside, self.symbol_id[np.where(inside, flat, 0)], -1).tolist()
-        out = [ids[a:b] for a, b in zip([0] + ends[:-1], ends)]
-        if -1 in ids:  # characters without a piece
-            flat = flat.tolist()
-            for i, (a, b) in enumerate(zip([0] + ends[:-1], ends)):
-                if -1 in out[i]:
-                    out[i] = self.ids(self.symbol[s] if s < len(self.symbol) else chr(s - len(self.symbol))
-                                      for s in flat[a:b])
-        return out
+                best[at[dropped]] = NONE
+                kept = ~dropped
+                column, at, k = column[kept], at[kept], k[kept]
+            gone, before, merged = right[at], left[at], self.pair_merged[k]
+            after = right[gone]
+            symbol[at], symbol[gone], best[gone] = merged, -1, NONE
+            right[at], left[after] = after, at
+            rank, pair[at] = self._candidates(merged, symbol[after])
+            best[at] = rank | column
+            rank, pair[before] = self._candidates(symbol[before], merged)
+            best[before] = rank | (before // n).astype(np.int32)
+        by_word = symbol[:width * n].reshape(width, n).T
+        left_over = by_word >= 0
+        return by_word[left_over], left_over.sum(axis=1)
+
+    def _ids_of(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of symbols and their number a word; a character without a piece has an id for each of its bytes."""
+        inside = symbols < len(self.symbol)
+        ids = np.where(inside, self.symbol_id[np.where(inside, symbols, 0)], -1).astype(np.int32)
+        odd = np.flatnonzero(ids < 0)
+        if not len(odd):
+            return ids, counts
+        spelt = [self.ids([self.symbol[s] if s < len(self.symbol) else chr(s - len(self.symbol))])
+                 for s in symbols[odd].tolist()]
+        times = np.ones(len(ids), np.int64)
+        times[odd] = list(map(len, spelt))
+        ids, ends = np.repeat(ids, times), np.append(0, np.cumsum(times))
+        ids[ids < 0] = list(chain.from_iterable(spelt))
+        bounds = np.append(0, np.cumsum(counts))
+        return ids, np.diff(ends[bounds])
 
     def ids(self, pieces: Iterable[str]) -> list[int]:
         out: list[int] = []
@@ -215,50 +266,89 @@ class Pieces:
         return out
 
     def encode(self, text: str, dropout: float = DROPOUT, seed: int = SEED, document: int = 0,
-               known: dict | None = None) -> list[int]:
+               known: Splits | None = None) -> list[int]:
         """Ids of a whole text. ``known`` remembers split words between calls."""
-        return next(self.encode_many([(document, text)], dropout, seed, known))
+        return next(self.encode_many([(document, text)], dropout, seed, known)).tolist()
 
     def encode_many(self, rows: Iterable[tuple[int, str]], dropout: float = DROPOUT, seed: int = SEED,
-                    known: dict | None = None) -> Iterator[list[int]]:
-        """Ids of the whole text of every (document, text), in order."""
-        known = {} if known is None else known
-        block: list[list[tuple[str, int]]] = []
+                    known: Splits | None = None) -> Iterator[np.ndarray]:
+        """Ids of the whole text of every (document, text), in order. ``known`` serves one dropout and seed only."""
+        known = known or Splits()
+        block: list[np.ndarray] = []
         size = 0
         for document, text in rows:
             words = WORD.findall(" " + text) if text else []
-            variants = _variants(len(words), seed, document) if dropout else np.zeros(len(words), np.int64)
-            block.append(list(zip(words, variants.tolist())))
+            wanted = np.fromiter(map(known.number.__getitem__, words), np.int64, len(words)) * VARIANTS
+            if dropout:
+                wanted += _variants(len(words), seed, document)
+            block.append(wanted)
             size += len(text)
             if size >= BLOCK:
                 yield from self._encode_block(block, dropout, seed, known)
                 block, size = [], 0
         yield from self._encode_block(block, dropout, seed, known)
 
-    def _encode_block(self, block: list[list[tuple[str, int]]], dropout: float, seed: int, known: dict
-                      ) -> Iterator[list[int]]:
-        wanted = set().union(*block)
-        missing = [w for w in wanted if w not in known]
-        if len(known) + len(missing) > REMEMBERED:
+    def _encode_block(self, block: list[np.ndarray], dropout: float, seed: int, known: Splits) -> Iterator[np.ndarray]:
+        if not block:
+            return
+        wanted = np.concatenate(block)
+        known.grow()
+        missing = np.unique(wanted[known.place[wanted] < 0])
+        if len(missing):
+            order, flat, counts = self._split_keyed(
+                *known.words_and_keys(missing, seed), dropout)
+            known.add(missing[order], flat, counts)
+        mark = known.number.get(MARK)
+        if mark is not None:  # a space mark of the text itself
+            said = [self.byte_id[b] for b in MARK.encode()]
+            known.add(mark * VARIANTS + np.arange(VARIANTS), np.array(said * VARIANTS, np.int32),
+                      np.full(VARIANTS, len(said)))
+        place = known.place[wanted]
+        starts = known.bounds[place]
+        counts = known.bounds[place + 1] - starts
+        ends = np.append(0, np.cumsum(counts))
+        ids = known.flat[np.repeat(starts - ends[:-1], counts) + np.arange(ends[-1])]
+        if len(known.number) > REMEMBERED:
             known.clear()
-            missing = list(wanted)
-        by_variant: dict[int, list[str]] = {}
-        for word, variant in missing:
-            if word == MARK:
-                known[word, variant] = [self.byte_id[b] for b in word.encode()]
-            else:
-                by_variant.setdefault(variant, []).append(word)
-        for variant, words in by_variant.items():
-            found = self.split_many([w.replace(" ", MARK) for w in words], dropout, seed * VARIANTS + variant)
-            known.update(zip(((w, variant) for w in words), found))
-        for words in block:
-            yield list(chain.from_iterable(map(known.__getitem__, words)))
+        documents = ends[np.append(0, np.cumsum(list(map(len, block))))].tolist()
+        for start, end in zip(documents, documents[1:]):
+            yield ids[start:end]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text that was encoded, whatever merges were dropped."""
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
         return b"".join(map(self.said.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
+class Splits:
+    """Words numbered as they come, and the ids of those of their variants that have been split."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        # Number of a split by word and variant, -1 where there is none; where the ids of each split begin.
+        self.place, self.bounds = np.full(0, -1, np.int32), np.zeros(1, np.int64)
+        self.flat = np.zeros(0, np.int32)
+
+    def grow(self) -> None:
+        """Makes room for the words numbered meanwhile."""
+        more = len(self.number) * VARIANTS - len(self.place)
+        self.place = np.append(self.place, np.full(more, -1, np.int32))
+
+    def words_and_keys(self, wanted: np.ndarray, seed: int) -> tuple[list[str], list[int]]:
+        words = list(self.number)
+        return ([words[w].replace(" ", MARK) for w in (wanted // VARIANTS).tolist()],
+                (seed * VARIANTS + wanted % VARIANTS).tolist())
+
+    def add(self, wanted: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> None:
+        self.place[wanted] = len(self.bounds) - 1 + np.arange(len(wanted))
+        self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(counts))
+        self.flat = np.append(self.flat, flat)
+
+
 def _digest(word: str, key: int) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), key)
 
@@ -289,7 +379,7 @@ def _variants(n: int, seed: int, document: int) -> np.ndarray:
 def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """(doc_id, text, ids) of every row of ``docs(doc_id, text)``."""
     def run(batches):
-        pieces, known = Pieces(model), {}
+        pieces, known = Pieces(model), Splits()
         for batch in batches:
             ids = list(pieces.encode_many(((-1 if d is None else d, t) for d, t in rows_of(batch, "doc_id", "text")),
                                           dropout, seed, known))
@@ -312,13 +402,14 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
 def ids_crc32(ids: Iterable[int]) -> int:
     """CRC-32 of ids as little-endian unsigned 32-bit numbers."""
-    return zlib.crc32(np.asarray(list(ids), "<u4").tobytes())
+    ids = ids if isinstance(ids, np.ndarray) else list(ids)
+    return zlib.crc32(np.asarray(ids, "<u4").tobytes())
 
 
 def encoding_digests(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """(doc_id, n_ids, n_words, ids_crc32, lossless) of every row: each text is encoded and decoded again."""
     def run(batches):
-        pieces, known = Pieces(model), {}
+        pieces, known = Pieces(model), Splits()
         for batch in batches:
             keyed = list(rows_of(batch, "doc_id", "text"))
             encoded = pieces.encode_many(((-1 if d is None else d, t) for d, t in keyed), dropout, seed, known)
