@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcstrata.operators.relational import null_safe_join
-from srcstrata.schemas import TABLES
+from srcstrata.schemas import TABLES, ForeignKey, Table
 from srcstrata.session import stored
 
 
@@ -31,16 +31,16 @@ def cascade_delete(tables: dict[str, DataFrame], root: str, ids: DataFrame
         if name == root or name not in tables:
             continue
         kept, gone = tables[name], []
-        for fk in table.foreign_keys:
+        for fk in _followed(table, root):
             if fk.on_delete == "cascade" and fk.parent in removed:
                 dead = _parent_keys(removed[fk.parent], fk)
                 gone.append(null_safe_join(tables[name], dead, fk.columns, "left_semi"))
                 kept = null_safe_join(kept, dead, fk.columns, "left_anti")
         named = _columns_named_by_children(name)
-        if gone and named and any(_refers_to(child, name) for child in tables):
+        if gone and named and any(_refers_to(child, name, root) for child in tables):
             removed[name] = stored(reduce(DataFrame.unionByName, [g.select(*named) for g in gone]
                                           ).distinct(), f"removed-{name}")
-        for fk in table.foreign_keys:
+        for fk in _followed(table, root):
             if fk.on_delete == "set_null" and fk.parent in removed:
                 kept = _empty_columns(kept, _parent_keys(removed[fk.parent], fk), fk)
         out[name] = kept.select(*tables[name].columns)
@@ -52,9 +52,21 @@ def _columns_named_by_children(parent: str) -> list[str]:
                    if fk.parent == parent for column in fk.parent_columns})
 
 
-def _refers_to(child: str, parent: str) -> bool:
+def _refers_to(child: str, parent: str, root: str) -> bool:
     return any(fk.parent == parent and fk.on_delete != "no_action"
-               for fk in TABLES[child].foreign_keys)
+               for fk in _followed(TABLES[child], root))
+
+
+def _followed(table: Table, root: str) -> list[ForeignKey]:
+    """The foreign keys to look at when rows of ``root`` go.
+
+    When whole repositories go, a table that names its repository loses the
+    same rows through that key as through longer keys that hold the repository.
+    """
+    whole = ForeignKey(("repository_id",), "repositories", ("id",))
+    if root != "repositories" or whole not in table.foreign_keys:
+        return list(table.foreign_keys)
+    return [whole, *(fk for fk in table.foreign_keys if "repository_id" not in fk.columns)]
 
 
 def _parent_keys(removed: DataFrame, fk) -> DataFrame:

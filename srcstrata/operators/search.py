@@ -44,8 +44,8 @@ def class_dependencies(named: DataFrame, definitions: DataFrame | None = None) -
     ``named`` comes from :func:`file_names`. One row per (file, referenced name)
     with ``target_files``, the number of other files that define the name. This
     is the whole edge set in factored form: a name defined in n files and used
-    in m is m rows and not n x m. See :func:`resolve_dependencies` for the rows
-    of the ``dependencies`` table. With the ``definitions`` of a stored scan the
+    in m is m rows and not n x m. See :func:`dependency_rows` for the rows of the
+    ``dependencies`` table. With the ``definitions`` of a stored scan the
     texts are read once, else once more for the class names.
     """
     definitions = class_definitions(named) if definitions is None else definitions
@@ -72,21 +72,15 @@ def dependency_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy(*_BRANCH).agg(F.sum("target_files").alias("dependency_count"))
 
 
-def resolve_dependencies(edges: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Rows of the ``dependencies`` table: each reference with one class it names.
+def dependency_rows(edges: DataFrame) -> DataFrame:
+    """Rows of the ``dependencies`` table: every reference, with the number of files it can mean.
 
-    Where several files of the branch define the name, the smallest path other
-    than the referring file is taken, so there is one row per reference.
+    The table keeps the factored form, so no target is left out and its
+    ``target_files`` add up to :func:`dependency_counts`; the targets themselves
+    are the classes of that name in the branch, other than the source file's.
     """
-    w = Window.partitionBy(*_BRANCH, "name").orderBy("path")
-    smallest = definitions.withColumn("n", F.row_number().over(w)).filter("n <= 2")
-    targets = smallest.groupBy(*_BRANCH, F.col("name").alias("target_class")).agg(
-        F.min("path").alias("first_path"), F.max("path").alias("second_path"))
-    return null_safe_join(edges, targets, (*_BRANCH, "target_class"), "inner").select(
-        *_BRANCH, "source_path", "source_class",
-        F.when(F.col("first_path") == F.col("source_path"), F.col("second_path"))
-        .otherwise(F.col("first_path")).alias("target_path"),
-        "target_class", F.lit("reference").alias("dependency_type"))
+    return edges.select(*_BRANCH, "source_path", "source_class", "target_class", "target_files",
+                        F.lit("reference").alias("dependency_type"))
 
 
 def symbol_search(classes: DataFrame, methods: DataFrame, prefix: str) -> DataFrame:

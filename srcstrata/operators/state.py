@@ -1,9 +1,11 @@
 """State changes as pure functions ``f(state, batch) -> new state``.
 
 Parquet has no MERGE, so a table is rebuilt as: state rows, updated where the
-batch has their key, plus the batch rows whose key is new. The update is a left
-join and the insert an anti join, both from the state's point of view, so a
-small batch is broadcast by the planner and the state is not shuffled.
+batch has their key, plus the batch rows whose key is new. A batch is cut to one
+row per key, compared with the state's keys once, and stored with the outcome;
+the update is then a left join of that small table into the state, the inserts
+are its unknown rows. Where the batch is small the planner broadcasts it, and the
+state is not shuffled.
 
 A batch may hold a key more than once; the reference applies rows one by one,
 so the last row by (event time, id) counts, and for insert-or-ignore the first.
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from srcstrata.operators.relational import null_safe_join, top1_per_group
 from srcstrata.operators.summary import default_branch_flag
+from srcstrata.session import stored
 
 
 def last_per_key(batch: DataFrame, keys: Sequence[str], event_order: Sequence[str]) -> DataFrame:
@@ -28,6 +31,20 @@ def first_per_key(batch: DataFrame, keys: Sequence[str], event_order: Sequence[s
     return top1_per_group(batch, keys, [F.col(c).asc_nulls_last() for c in event_order])
 
 
+def last_with_first_time(batch: DataFrame, keys: Sequence[str], first: str) -> DataFrame:
+    """The last row of every key by (event_time, event_id), with the first event time as ``first``."""
+    values = [c for c in batch.columns if c not in keys]
+    return batch.groupBy(*keys).agg(
+        F.max_by(F.struct(*values), F.struct("event_time", "event_id")).alias("__last"),
+        F.min("event_time").alias(first)).select(*keys, "__last.*", first)
+
+
+def tagged(state: DataFrame, batch: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """A batch unique on ``keys``, stored, with ``__known``: true where the state has the key, else null."""
+    present = null_safe_join(state.select(*keys), batch.select(*keys), keys, "left_semi").distinct()
+    return stored(null_safe_join(batch, present.withColumn("__known", F.lit(True)), keys, "left"), f"batch-{name}")
+
+
 def merge(state: DataFrame, batch: DataFrame, keys: Sequence[str], updates: dict[str, Column],
           inserts: DataFrame | None = None) -> DataFrame:
     """Applies a batch that is unique on ``keys`` (null keys equal).
@@ -77,22 +94,15 @@ def assign_ids(rows: DataFrame, keys: Sequence[str], used: DataFrame, buckets: i
             .drop("__bucket", "__offset"))
 
 
-def first_times(batch: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    """The first event time of every key of a batch; null keys are keys."""
-    return batch.groupBy(*keys).agg(F.min("event_time").alias(column))
-
-
 def upsert_repositories(state: DataFrame, batch: DataFrame) -> DataFrame:
     """Key ``url``: a match takes the name and the time, keeps id and created_at.
 
     ``batch``: url, name, event_time, event_id. A new row is created at its
     first event, so the state does not depend on how events are cut into batches.
     """
-    latest = last_per_key(batch, ["url"], ["event_time", "event_id"])
-    fresh = assign_ids(new_rows(state, latest, ["url"]), ["url"], state)
-    fresh = null_safe_join(fresh, first_times(batch, ["url"], "created_at"), ["url"], "left").withColumn(
-        "updated_at", F.col("event_time"))
-    return merge(state, latest, ["url"],
+    rows = tagged(state, last_with_first_time(batch, ["url"], "created_at"), ["url"], "repositories")
+    fresh = assign_ids(rows.filter("__known IS NULL"), ["url"], state).withColumn("updated_at", F.col("event_time"))
+    return merge(state, rows.filter("__known"), ["url"],
                  {"name": F.col("new_name"), "updated_at": F.col("new_event_time")}, fresh)
 
 
@@ -103,11 +113,10 @@ def upsert_commits(state: DataFrame, batch: DataFrame) -> DataFrame:
     committed_at, event_time, event_id. ``discovered_at`` stays the first.
     """
     keys = ["repository_id", "sha"]
-    latest = last_per_key(batch, keys, ["event_time", "event_id"])
-    fresh = assign_ids(new_rows(state, latest, keys), keys, state)
-    fresh = null_safe_join(fresh, first_times(batch, keys, "discovered_at"), keys, "left")
+    rows = tagged(state, last_with_first_time(batch, keys, "discovered_at"), keys, "commits")
+    fresh = assign_ids(rows.filter("__known IS NULL"), keys, state)
     changed = ["author_name", "author_email", "message", "committed_at"]
-    return merge(state, latest, keys, {c: F.col(f"new_{c}") for c in changed}, fresh)
+    return merge(state, rows.filter("__known"), keys, {c: F.col(f"new_{c}") for c in changed}, fresh)
 
 
 def upsert_branches(state: DataFrame, batch: DataFrame) -> DataFrame:
@@ -117,15 +126,13 @@ def upsert_branches(state: DataFrame, batch: DataFrame) -> DataFrame:
     branch becomes the default only where its repository has none.
     """
     keys = ["repository_id", "name"]
-    latest = last_per_key(batch, keys, ["event_time", "event_id"])
-    first_seen = batch.groupBy(*keys).agg(F.min("event_time").alias("first_seen_at"))
-    fresh = new_rows(state, latest, keys).join(first_seen, keys)
-    fresh = assign_ids(default_branch_flag(state, fresh), keys, state)
+    rows = tagged(state, last_with_first_time(batch, keys, "first_seen_at"), keys, "branches")
+    fresh = assign_ids(default_branch_flag(state, rows.filter("__known IS NULL")), keys, state)
     fresh = fresh.select(
         "id", *keys, "is_default", F.col("head_commit_sha").alias("last_seen_commit_sha"),
         F.col("head_commit_sha").alias("last_scanned_commit_sha"),
         F.col("first_seen_at").alias("created_at"), F.col("event_time").alias("updated_at"))
-    return merge(state, latest, keys, {
+    return merge(state, rows.filter("__known"), keys, {
         "last_seen_commit_sha": F.col("new_head_commit_sha"),
         "last_scanned_commit_sha": F.col("new_head_commit_sha"),
         "updated_at": F.col("new_event_time"),
@@ -139,7 +146,7 @@ def link_branch_commits(state: DataFrame, batch: DataFrame) -> DataFrame:
     """
     keys = ["branch_id", "commit_id"]
     first = first_per_key(batch, keys, ["first_seen_at", "repository_id"])
-    fresh = assign_ids(new_rows(state, first, keys), keys, state)
+    fresh = assign_ids(tagged(state, first, keys, "branch-commits").filter("__known IS NULL"), keys, state)
     return state.unionByName(fresh.select(*state.columns))
 
 
@@ -148,9 +155,10 @@ def upsert_daily_metrics(state: DataFrame, batch: DataFrame,
     """Key (repository_id, branch_id, date), null branches equal; the last row wins."""
     keys = ["repository_id", "branch_id", "date"]
     latest = last_per_key(batch, keys, list(event_order))
+    rows = tagged(state, latest, keys, "daily-metrics")
     changed = [c for c in state.columns if c not in keys]
-    return merge(state, latest, keys, {c: F.col(f"new_{c}") for c in changed},
-                 new_rows(state, latest, keys))
+    return merge(state, rows.filter("__known"), keys, {c: F.col(f"new_{c}") for c in changed},
+                 rows.filter("__known IS NULL"))
 
 
 def replace_branch_files(state: DataFrame, batch: DataFrame, scanned: DataFrame) -> DataFrame:

@@ -206,8 +206,7 @@ class Catalogue:
 
     @cached_property
     def dependencies(self) -> DataFrame:
-        return search.resolve_dependencies(search.class_dependencies(self.named),
-                                           search.class_definitions(self.named))
+        return search.dependency_rows(search.class_dependencies(self.named))
 
     def tables(self, *names: str) -> dict[str, DataFrame]:
         """The named tables, or all fourteen, with their declared columns.

@@ -334,11 +334,8 @@ VIEWS: dict[str, str] = {
                           and d.name = t.token and d.path <> f.path
         where f.first_class is not null group by all""",
     "dependencies": """
-        select e.repository_id, e.branch_id, e.source_path, e.source_class, min(d.path) as target_path,
-               d.name as target_class, 'reference' as dependency_type
-        from edges e join definitions d on d.repository_id = e.repository_id
-             and d.branch_id = e.branch_id and d.name = e.target_class and d.path <> e.source_path
-        group by all""",
+        select repository_id, branch_id, source_path, source_class, target_class, target_files,
+               'reference' as dependency_type from edges""",
     # --- events of the state changes -------------------------------------------------------
     "shipments": f"""
         select o_custkey * 2 as repository_id, o_custkey * 20 + {CODE} as branch_id,
@@ -356,8 +353,7 @@ KEYS = {
     "scan_runs": "id", "file_changes": "scan_run_id path", "analysis_artifacts": "id",
     "source_files": "repository_id branch_id path", "classes": "repository_id branch_id path name",
     "methods": "repository_id branch_id path class_name name",
-    "dependencies": "repository_id branch_id source_path source_class target_path target_class "
-                    "dependency_type",
+    "dependencies": "repository_id branch_id source_path source_class target_class dependency_type",
     "repository_metrics": "repository_id branch_id date", "risk_scores": "id", "technical_debt": "id",
 }
 
@@ -390,8 +386,7 @@ def _checks() -> str:
         ("classes", "method_count_not_negative", "method_count >= 0"),
         ("methods", "loc_not_negative", "loc >= 0"),
         ("methods", "complexity_not_negative", "complexity >= 0"),
-        ("dependencies", "no_self_reference",
-         "source_path <> target_path or source_class <> target_class"),
+        ("dependencies", "target_files_positive", "target_files > 0"),
         ("repository_metrics", "file_count_not_negative", "file_count >= 0"),
         ("repository_metrics", "class_count_not_negative", "class_count >= 0"),
         ("repository_metrics", "method_count_not_negative", "method_count >= 0"),
@@ -452,8 +447,7 @@ def _references() -> str:
          "repository_id branch_id path name"),
         ("dependencies", "repository_id branch_id source_path source_class", "classes",
          "repository_id branch_id path name"),
-        ("dependencies", "repository_id branch_id target_path target_class", "classes",
-         "repository_id branch_id path name"),
+        ("dependencies", "repository_id branch_id target_class", "classes", "repository_id branch_id name"),
     ]
     parts = []
     for table, child, parent, columns in keys:
@@ -482,7 +476,7 @@ def _required() -> str:
         "source_files": "repository_id path loc",
         "classes": "repository_id path name loc method_count",
         "methods": "repository_id path class_name name loc complexity",
-        "dependencies": "repository_id source_path source_class target_path target_class "
+        "dependencies": "repository_id source_path source_class target_class target_files "
                         "dependency_type",
         "repository_metrics": "repository_id date file_count class_count method_count dependency_count",
         "risk_scores": "id repository_id module_name score generated_at",

@@ -172,19 +172,19 @@ TABLES: dict[str, Table] = {
         foreign_keys=(ForeignKey((*FILE_KEY, "class_name"), "classes", (*FILE_KEY, "name")),)),
     "dependencies": Table(
         ("repository_id long*", "branch_id long", "source_path str*", "source_class str*",
-         "target_path str*", "target_class str*", "dependency_type str(100)*"),
-        key=("repository_id", "branch_id", "source_path", "source_class", "target_path",
-             "target_class", "dependency_type"),
+         "target_class str*", "target_files long*", "dependency_type str(100)*"),
+        key=("repository_id", "branch_id", "source_path", "source_class", "target_class",
+             "dependency_type"),
         unique=(Unique(("repository_id", "branch_id", "source_path", "source_class",
-                        "target_path", "target_class", "dependency_type"),
-                       nulls_distinct=False),),
-        checks={"no_self_reference":
-                "NOT (source_path = target_path AND source_class = target_class)"},
+                        "target_class", "dependency_type"), nulls_distinct=False),),
+        # Only other files are targets, so a row without any would be a class that names itself.
+        checks={"target_files_positive": "target_files > 0"},
         foreign_keys=(
             ForeignKey(("repository_id", "branch_id", "source_path", "source_class"),
                        "classes", (*FILE_KEY, "name")),
-            ForeignKey(("repository_id", "branch_id", "target_path", "target_class"),
-                       "classes", (*FILE_KEY, "name")))),
+            # A name may have several defining files, so it does not go with one of them.
+            ForeignKey(("repository_id", "branch_id", "target_class"), "classes",
+                       ("repository_id", "branch_id", "name"), "no_action"))),
     "repository_metrics": Table(
         ("repository_id long*", "branch_id long", "scan_run_id long", "date date*",
          "file_count int*", "class_count int*", "method_count int*", "dependency_count int*"),

@@ -123,11 +123,10 @@ def test_dependencies_count_every_pair(spark):
              for r in search.class_dependencies(named).collect()}
     assert edges == {("a.java", "B"): 2, ("a.java", "C"): 1, ("b2.java", "A"): 1,
                      ("b1.java", "B"): 1, ("b2.java", "B"): 1}
-    rows = search.resolve_dependencies(search.class_dependencies(named),
-                                       search.class_definitions(named)).collect()
-    assert {(r.source_path, r.target_class): r.target_path for r in rows} == {
-        ("a.java", "B"): "b1.java", ("a.java", "C"): "b2.java", ("b2.java", "A"): "a.java",
-        ("b1.java", "B"): "b2.java", ("b2.java", "B"): "b1.java"}
+    rows = search.dependency_rows(search.class_dependencies(named))
+    assert {(r.source_path, r.target_class): r.target_files for r in rows.collect()} == edges
+    counted = search.dependency_counts(search.class_dependencies(named)).first().dependency_count
+    assert rows.agg({"target_files": "sum"}).first()[0] == counted == 6
 
 
 def test_methods_are_the_pattern_s_in_linear_time(spark):
