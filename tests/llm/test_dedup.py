@@ -210,5 +210,36 @@ def test_runs_are_maximal(spark):
     assert rows(found) == [(2, 1, 4), (2, 5, 7)]
 
 
+def lines_by_common_prefixes(given, least):
+    """Lines of the longest prefix that a suffix shares with any earlier suffix, whatever its depth."""
+    documents_, out = {}, []
+    for i, t in given:
+        documents_.setdefault((i is not None, i or 0), [x for x in (t or "").split("\n") if x.strip()])
+    suffixes = [(key, s) for key in sorted(documents_) for s in range(len(documents_[key]))]
+    gone = set()
+    for n, (key, s) in enumerate(suffixes):
+        mine, depth = documents_[key], 0
+        for other, r in suffixes[:n]:
+            theirs, k = documents_[other], 0
+            while s + k < len(mine) and r + k < len(theirs) and mine[s + k] == theirs[r + k]:
+                k += 1
+            depth = max(depth, k)
+        if depth >= least:
+            gone |= {(key, s + k) for k in range(depth)}
+    for i, t in given:
+        key = (i is not None, i or 0)
+        out.append((i, len(documents_[key]), sum(k == key for k, _ in gone),
+                    "\n".join(x for k, x in enumerate(documents_[key]) if (key, k) not in gone)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_longest_common_prefixes_delete_the_same_lines(spark, least):
+    draw = random.Random(20 + least)
+    given = [(i, "\n".join(draw.choice("aabcdefg") for _ in range(draw.randrange(1, 25)))) for i in range(12)]
+    given += [(20, given[3][1] + "\nz\n" + given[4][1]), (None, given[5][1])]
+    assert rows(lines.deleted_runs(documents(spark, given), least)) == lines_by_common_prefixes(given, least)
+
+
 def test_lines_of_nothing(spark):
     assert lines.deleted_runs(documents(spark, [])).count() == 0
