@@ -1,13 +1,13 @@
 """Personal data and the terms that reveal it, in built-in functions only.
 
-Four kinds of entities are found by pattern. Around every entity the nearest
-words on either side are its context. Over the whole corpus, p(c), p(t) and
-p(c, t) are the shares of documents with entity c, with term t, and with t in
-a context of c. A term's disclosure is PMI(c; t) / IC(c): the share of the
-entity's information content that the term gives away (Sanchez and Batet 2016);
-1 means that who reads the term knows the entity. In contexts of c, terms at
-``GENERALISE`` or above are replaced by their class, at ``REMOVE`` or above they
-go. A pair counts from ``SUPPORT`` documents on, as one document proves nothing.
+Four kinds of entities are found by pattern. Over the whole corpus, p(c), p(t)
+and p(c, t) are the shares of documents with entity c, with term t, and with
+both, wherever they stand. A term's disclosure is PMI(c; t) / IC(c): the share of
+the entity's information content that the term gives away (Sanchez and Batet
+2016); 1 means that who reads the term knows the entity. In documents that hold
+c, every occurrence of a term at ``GENERALISE`` or above is replaced by its
+class, at ``REMOVE`` or above it goes. A pair counts from ``SUPPORT`` documents
+on, as one document proves nothing. Words inside entities are no terms.
 
 Defined cases: null text is empty and has no spans; documents without entities
 are left as they are; repeated rows count as documents and get equal spans; rows
@@ -20,10 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcstrata.llm.bloom import flagged, seen_once
+from srcstrata.llm.bloom import flagged, seen_once, seen_twice
 from srcstrata.session import stored
 
-WORDS_AROUND, SUPPORT, GENERALISE, REMOVE = 8, 3, 0.75, 0.95
+SUPPORT, GENERALISE, REMOVE = 3, 0.75, 0.95
 
 # The four kinds, in the order of the output. Possessive forms and the look-behind
 # match what the plain patterns match, without trying a run of characters again
@@ -101,45 +101,50 @@ def _named(kind: str) -> Column:
 
 _WORD_END = r"(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}])"
 _WORD = r"[\p{L}\p{N}]+$"
-_TERMS = "array<struct<term:string,start:int,end:int>>"
+_BETWEEN = r"[^\p{L}\p{N}]+"
 
 
-def _near(region: Column, start: Column, end: Column, forward: bool) -> Column:
-    """The nearest terms of a region as (term, start, end), counted from its start or its end."""
-    pieces = F.slice(F.split(region if forward else F.reverse(region), _WORD_END, WORDS_AROUND + 1), 1, WORDS_AROUND)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_TERMS).alias("out"))
+def _keys(entity: Column) -> Column:
+    return F.array(F.concat_ws(":", entity["kind"], F.lower(entity["value"])))
 
-    def step(acc, piece):
-        word = F.regexp_extract(piece, _WORD, 0)
-        after = acc["at"] + F.length(piece)
-        first = start + after - F.length(word) if forward else end - after
-        term = F.struct(F.lower(word if forward else F.reverse(word)).alias("term"), first.alias("start"),
-                        (first + F.length(word)).alias("end"))
-        return F.struct(after.alias("at"), F.when(F.length(word) > 0, F.concat(acc["out"], F.array(term)))
-                        .otherwise(acc["out"]).alias("out"))
-    return F.aggregate(pieces, empty, step, lambda acc: acc["out"])
 
+def _outside(text: str) -> Column:
+    """(at, said) of the pieces of a text between its entities."""
+    kind = "array<struct<at:int,said:string>>"
+
+    def piece(at, end):
+        said = F.substring(F.col(text), at + 1, F.greatest(end - at, F.lit(0)))
+        return F.array(F.struct(at.alias("at"), said.alias("said")))
+    return F.aggregate(
+        "__all", F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")),
+        lambda acc, e: F.struct(F.greatest(acc["at"], e["end"]).alias("at"),
+                                F.concat(acc["out"], piece(acc["at"], e["start"])).alias("out")),
+        lambda acc: F.concat(acc["out"], piece(acc["at"], F.length(text))))
 
-def _contexts(text: str) -> Column:
-    """(entity, term, start, end) for the words around every entity, none of them inside an entity."""
-    every, n = F.col("__all"), F.size("__all")
 
-    def regions(i):
-        a = F.when(i == 0, F.lit(0)).otherwise(F.get(every, i - 1)["end"])
-        b = F.when(i == n, F.length(text)).otherwise(F.get(every, i)["start"])
-        inner = F.when(b > a, F.substring(F.col(text), a + 1, b - a)).otherwise("")
+def _distinct_terms(said: Column) -> Column:
+    return F.filter(F.array_distinct(F.transform(F.split(said, _BETWEEN), F.lower)), lambda t: t != "")
 
-        def belongs(terms, entity, there):
-            named = F.concat_ws(":", entity["kind"], F.lower(entity["value"]))
-            rows = F.transform(terms, lambda t: F.struct(
-                named.alias("entity"), t["term"].alias("term"), t["start"].alias("start"), t["end"].alias("end")))
-            return F.when(there, rows).otherwise(F.array().cast(
-                "array<struct<entity:string,term:string,start:int,end:int>>"))
-        return F.concat(belongs(_near(inner, a, b, False), F.get(every, i), i < n),
-                        belongs(_near(inner, a, b, True), F.get(every, i - 1), i > 0))
-    terms = F.flatten(F.transform(F.sequence(F.lit(0), n), regions))
-    outside = F.filter(terms, lambda t: ~F.exists(every, lambda e: (t["start"] < e["end"]) & (t["end"] > e["start"])))
-    return F.when(n > 0, outside)
+
+def _terms(text: str) -> Column:
+    """Distinct terms of a text that stand outside of its entities."""
+    return _distinct_terms(F.array_join(F.transform(_outside(text), lambda p: p["said"]), " "))
+
+
+def _occurrences(text: str, revealing: str) -> Column:
+    """(start, end, disclosure) of every word outside of entities that the map ``revealing`` has."""
+    kind = "array<struct<start:int,end:int,disclosure:double>>"
+
+    def step(acc, piece):
+        word, end = F.regexp_extract(piece, _WORD, 0), acc["at"] + F.length(piece)
+        disclosure = F.try_element_at(F.col(revealing), F.lower(word))
+        span = F.struct((end - F.length(word)).alias("start"), end.alias("end"), disclosure.alias("disclosure"))
+        return F.struct(end.alias("at"), F.when(disclosure.isNotNull(), F.concat(acc["out"], F.array(span)))
+                        .otherwise(acc["out"]).alias("out"))
+    spans = F.flatten(F.transform(_outside(text), lambda p: F.aggregate(
+        F.split(p["said"], _WORD_END), F.struct(p["at"].alias("at"), F.array().cast(kind).alias("out")), step,
+        lambda acc: acc["out"])))
+    return F.when(F.size(revealing) > 0, spans).otherwise(F.array().cast(kind))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -147,58 +152,69 @@ def _keyed(docs: DataFrame) -> DataFrame:
         .withColumn("__hash", F.xxhash64("__text"))
 
 
-def disclosive_terms(contexts: DataFrame, texts: DataFrame, n_docs: int) -> DataFrame:
+def _mentions(held: DataFrame) -> DataFrame:
+    """(__id, __hash, entity, term): every key of a document with every term of it."""
+    keys = held.withColumn("entity", F.explode("__keys"))
+    recurring = flagged(keys, "entity", seen_twice(keys.select("entity"), "entity"), "__maybe").filter("__maybe")
+    return recurring.select("__id", "__hash", "entity", F.explode("__words").alias("term"))
+
+
+def disclosive_terms(held: DataFrame, texts: DataFrame, n_docs: int) -> DataFrame:
     """(entity, term, disclosure) at or above ``GENERALISE``.
 
-    ``contexts(__id, __hash, n, entity, term)`` has a row per mention, ``texts(__text)``
-    all documents. Pairs are counted first; a bounded filter of their terms then
-    picks the words of the corpus that have to be counted.
+    ``held(__id, __hash, __keys, __words, __inner)`` has a row per document with
+    entities, ``texts(__text)`` all documents. Pairs are counted first; a bounded
+    filter of their terms then picks the words of the corpus that have to be counted.
     """
-    mentions = contexts.select("__id", "__hash", "entity", "term").distinct()
-    copies = contexts.select("__id", "__hash", "rows").distinct()
-    weighted = mentions.join(copies.withColumnsRenamed({"__id": "__i", "__hash": "__h"}),
-                             F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")))
-    pairs = weighted.groupBy("entity", "term").agg(F.sum("rows").alias("both")).filter(F.col("both") >= SUPPORT)
+    pairs = (_mentions(held).groupBy("entity", "term").agg(F.count("*").alias("both"))
+             .filter(F.col("both") >= SUPPORT))
     pairs = stored(pairs, "pii-pairs")
-    entities = (weighted.groupBy("entity", "__id", "__hash").agg(F.max("rows").alias("rows"))
-                .groupBy("entity").agg(F.sum("rows").alias("n_entity")))
-    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("__text"), r"[^\p{L}\p{N}]+"))).alias("term"))
+    # Stored before it is joined, so that the pairs of a key that most documents have can be split.
+    entities = stored(held.select(F.explode("__keys").alias("entity")).groupBy("entity")
+                      .agg(F.count("*").alias("n_entity")), "pii-counts")
+    words = (texts.select(F.explode(_distinct_terms(F.col("__text"))).alias("term"), F.lit(1).alias("n"))
+             .union(held.select(F.explode("__inner"), F.lit(-1))))
     known = flagged(words, "term", seen_once(pairs.select("term").distinct(), "term"), "__maybe")
-    frequency = known.filter("__maybe").groupBy("term").agg(F.count("*").alias("n_term"))
-    content = -F.log2(F.col("n_entity") / F.lit(float(max(n_docs, 1))))
-    pmi = F.log2(F.col("both") * F.lit(float(n_docs)) / (F.col("n_entity") * F.col("n_term")))
+    frequency = known.filter("__maybe").groupBy("term").agg(F.sum("n").alias("n_term"))
+    n, both, n_term = F.lit(float(max(n_docs, 1))), F.col("both"), F.col("n_term")
+    share, rate = F.col("n_entity") / n, F.least(both / n_term, F.lit(1.0))
+    content = -F.log2(share)
     return (pairs.join(entities, "entity").join(frequency, "term")
-            .filter(content > 0).withColumn("disclosure", pmi / content)
+            .filter(content > 0).withColumn("disclosure", F.log2(rate / share) / content)
             .filter(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure"))
 
 
 def term_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every row's entities, and per (doc_id, text hash) the disclosive terms in contexts of its entities.
+    """Every row's entities, and per (doc_id, text hash) the terms that disclose one of its entities.
 
-    The first frame has ``__id``, ``__hash``, a column of spans per kind; the second ``__id``,
-    ``__hash`` and ``__terms``: (start, end, disclosure) in order.
+    The first frame has ``__id``, ``__hash``, a column of spans per kind, and ``__text`` where there are
+    any; the second ``__id``, ``__hash`` and ``__revealing``, a map from terms to their disclosure.
     """
     keyed = _keyed(docs)
-    base = stored(with_entities(keyed, "__text").withColumn("__near", _contexts("__text"))
-                  .drop("__text", "__all"), "pii-entities")
-    # Repeated rows have one key; each is a document of its own in the counts.
-    near = base.filter(F.size("__near") > 0).groupBy("__id", "__hash").agg(
-        F.any_value("__near").alias("__near"), F.count("*").alias("rows"))
-    contexts = stored(near.select("__id", "__hash", "rows", F.explode("__near").alias("x"))
-                      .select("__id", "__hash", "rows", "x.*"), "pii-contexts")
-    terms = disclosive_terms(contexts, keyed.select("__text"), docs.count())
-    hits = (contexts.join(terms, ["entity", "term"])
-            .groupBy("__id", "__hash", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-            .groupBy("__id", "__hash").agg(F.array_sort(F.collect_list(
-                F.struct("start", "end", "disclosure"))).alias("__terms")))
+    base = stored(with_entities(keyed, "__text").withColumn("__text", F.when(F.size("__all") > 0, F.col("__text"))),
+                  "pii-entities")
+    held = base.filter(F.size("__all") > 0).select(
+        "__id", "__hash", F.array_distinct(F.flatten(F.transform("__all", _keys))).alias("__keys"),
+        _terms("__text").alias("__words"), _distinct_terms(F.col("__text")).alias("__every"))
+    held = stored(held.withColumn("__inner", F.array_except("__every", "__words")).drop("__every"), "pii-terms")
+    terms = stored(disclosive_terms(held, keyed.select("__text"), docs.count()), "pii-disclosive")
+    pair = F.xxhash64("entity", "term")
+    wanted = seen_once(terms.select(pair.alias("__pair")), "__pair")
+    hits = (flagged(_mentions(held).withColumn("__pair", pair), "__pair", wanted, "__hit").filter("__hit")
+            .join(terms, ["entity", "term"])
+            .groupBy("__id", "__hash", "term").agg(F.max("disclosure").alias("disclosure"))
+            .groupBy("__id", "__hash").agg(F.map_from_entries(F.collect_list(
+                F.struct("term", "disclosure"))).alias("__revealing")))
     return base, hits
 
 
 def _joined(left: DataFrame, hits: DataFrame) -> DataFrame:
+    """``left`` with ``__terms``: (start, end, disclosure) of the disclosive terms of its ``__text``, in order."""
     found = hits.withColumnsRenamed({"__id": "__i", "__hash": "__h"})
     on = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h"))
-    return left.join(found, on, "left").drop("__i", "__h").withColumn("__terms", F.coalesce(
-        "__terms", F.array().cast("array<struct<start:int,end:int,disclosure:double>>")))
+    return (left.join(found, on, "left").drop("__i", "__h")
+            .withColumn("__revealing", F.coalesce("__revealing", F.create_map().cast("map<string,double>")))
+            .withColumn("__terms", _occurrences("__text", "__revealing")).drop("__revealing"))
 
 
 def _listed(kind: str, column: str) -> Column:
@@ -209,7 +225,7 @@ def detect(docs: DataFrame) -> DataFrame:
     """One row per document: counts per kind, hash of the pattern spans, all spans."""
     base, hits = term_spans(docs)
     patterns = F.concat(*[_listed(k, f"__{k}") for k in KINDS])
-    return _joined(base.drop("__near"), hits).select(
+    return _joined(base, hits).select(
         F.col("__id").alias("doc_id"), *[F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(F.array_join(patterns, ","), 256).alias("base_sha256"),
         F.array_join(F.concat(patterns, _listed("term", "__terms")), ",").alias("spans"))

@@ -206,6 +206,24 @@ def test_sanitised_texts(spark):
     assert pii.sanitise(documents(spark, [])).count() == 0 and pii.detect(documents(spark, [])).count() == 0
 
 
+def terms_in(found, text):
+    spans = [tuple(map(int, s.split(":")[1:])) for s in found.split(",") if s.startswith("term")]
+    return [text[a:b] for a, b in spans]
+
+
+def test_terms_far_from_the_entity(spark):
+    """Beyond other entities, any number of words away, and at every place."""
+    given = [(i, prose(40, i, 60)) for i in range(200)]
+    given += [(300 + i, f"Zorblatt {prose(30, 900 + i, 60)} z@x.org, +1 (487) 555-7209, Zorblatt. "
+                        f"{prose(30, 950 + i, 60)} ZORBLATT") for i in range(4)]
+    found = {r.doc_id: r.spans for r in pii.detect(documents(spark, given)).collect()}
+    after = {r.doc_id: r.text for r in pii.sanitise(documents(spark, given)).collect()}
+    for i, t in given:
+        names = [w for w in terms_in(found[i], t) if w.lower() == "zorblatt"]
+        assert names == (["Zorblatt", "Zorblatt", "ZORBLATT"] if i >= 300 else [])
+        assert "zorblatt" not in after[i].lower()
+
+
 def test_overlapping_spans_leave_nothing(spark):
     text = "call +1.2.3.4.5678 9012 or 4111 1111 1111 1111@x.org now"
     (row,) = pii.sanitise(documents(spark, [(1, text)])).collect()
