@@ -1,13 +1,17 @@
 """Personal data and the terms that reveal it, in built-in functions only.
 
-Four kinds of entities are found by pattern. Over the whole corpus, p(c), p(t)
-and p(c, t) are the shares of documents with entity c, with term t, and with
-both, wherever they stand. A term's disclosure is PMI(c; t) / IC(c): the share of
-the entity's information content that the term gives away (Sanchez and Batet
-2016); 1 means that who reads the term knows the entity. In documents that hold
-c, every occurrence of a term at ``GENERALISE`` or above is replaced by its
+Four kinds of entities are found by pattern. An entity counts by its literal
+value and by what it shares with others: the domain of an address, the network
+of an ip, the prefix of a number, and its kind. Over the whole corpus, p(c),
+p(t) and p(c, t) are the shares of documents with entity c, with term t, and
+with both, wherever they stand. A term's disclosure is PMI(c; t) / IC(c): the
+share of the entity's information content that the term gives away (Sanchez and
+Batet 2016); 1 means that who reads the term knows the entity. In documents that
+hold c, every occurrence of a term at ``GENERALISE`` or above is replaced by its
 class, at ``REMOVE`` or above it goes. A pair counts from ``SUPPORT`` documents
-on, as one document proves nothing. Words inside entities are no terms.
+on, as one document proves nothing; a shared key meets many terms by chance, so
+the chance of its count, times the pairs tried, must not be above ``CHANCE``.
+Words inside entities are no terms.
 
 Defined cases: null text is empty and has no spans; documents without entities
 are left as they are; repeated rows count as documents and get equal spans; rows
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 from srcstrata.llm.bloom import flagged, seen_once, seen_twice
 from srcstrata.session import stored
 
-SUPPORT, GENERALISE, REMOVE = 3, 0.75, 0.95
+SUPPORT, GENERALISE, REMOVE, CHANCE = 3, 0.75, 0.95, 0.01
 
 # The four kinds, in the order of the output. Possessive forms and the look-behind
 # match what the plain patterns match, without trying a run of characters again
@@ -102,10 +106,17 @@ def _named(kind: str) -> Column:
 _WORD_END = r"(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}])"
 _WORD = r"[\p{L}\p{N}]+$"
 _BETWEEN = r"[^\p{L}\p{N}]+"
+_LITERAL = "^[a-z]+:"
 
 
 def _keys(entity: Column) -> Column:
-    return F.array(F.concat_ws(":", entity["kind"], F.lower(entity["value"])))
+    """The literal value, what it shares with others (domain, network, prefix of a number), and its kind."""
+    value, digits = F.lower(entity["value"]), _digits(entity["value"])
+    shared = (F.when(entity["kind"] == "email", F.substring_index(value, "@", -1))
+              .when(entity["kind"] == "ip", F.substring_index(value, ".", 3))
+              .when(entity["kind"] == "card", F.substring(digits, 1, 6))
+              .otherwise(F.substring(digits, F.lit(1), F.length(digits) - 7)))
+    return F.array(F.concat_ws(":", entity["kind"], value), F.concat_ws("/", entity["kind"], shared), entity["kind"])
 
 
 def _outside(text: str) -> Column:
@@ -179,9 +190,13 @@ def disclosive_terms(held: DataFrame, texts: DataFrame, n_docs: int) -> DataFram
     n, both, n_term = F.lit(float(max(n_docs, 1))), F.col("both"), F.col("n_term")
     share, rate = F.col("n_entity") / n, F.least(both / n_term, F.lit(1.0))
     content = -F.log2(share)
+    # Chernoff's bound of the chance that this many of the term's documents have the entity.
+    rest = F.when(rate < 1, (1 - rate) * F.log((1 - rate) / (1 - share))).otherwise(0.0)
+    chance = F.exp(-n_term * (rate * F.log(rate / share) + rest))
+    sure = F.col("entity").rlike(_LITERAL) | (chance * F.lit(pairs.count()) <= CHANCE)
     return (pairs.join(entities, "entity").join(frequency, "term")
             .filter(content > 0).withColumn("disclosure", F.log2(rate / share) / content)
-            .filter(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure"))
+            .filter((F.col("disclosure") >= GENERALISE) & sure).select("entity", "term", "disclosure"))
 
 
 def term_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -211,6 +211,15 @@ def terms_in(found, text):
     return [text[a:b] for a, b in spans]
 
 
+def test_terms_that_reveal_a_shared_key(spark):
+    """Every address occurs once, and who writes from its domain is always called Zorblatt."""
+    given = [(i, prose(40, i, 60)) for i in range(200)] + [(250 + i, f"mail v{i}@other{i}.example.org") for i in range(9)]
+    given += [(300 + i, f"{prose(12, 900 + i, 60)} Zorblatt writes from u{i}@zorb.example.org") for i in range(8)]
+    found = {r.doc_id: r.spans for r in pii.detect(documents(spark, given)).collect()}
+    for i, t in given:
+        assert ("Zorblatt" in terms_in(found[i], t)) == (i >= 300), i
+
+
 def test_terms_far_from_the_entity(spark):
     """Beyond other entities, any number of words away, and at every place."""
     given = [(i, prose(40, i, 60)) for i in range(200)]
