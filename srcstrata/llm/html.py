@@ -10,9 +10,11 @@ never inside of content, so no region goes across them. The sample of labelled
 pages is bounded: ``SAMPLE`` pages with the smallest hash of their html.
 
 Elements that never are content (menus, headers, footers, forms, adverts,
-notices, comments and the like, by element name, role, or a class or id that
-says so) belong to no region: they neither score nor count for the weights, and
-their text is left out where a region spans them. Text of scripts, styles and comments is no text.
+notices, comments and the like, by element name, role, or a class or id with a
+token that says so) belong to no region: they neither score nor count for the
+weights, and their text is left out where a region spans them. Content elements
+and what holds the page's content are exempt, unless hidden. Text of scripts,
+styles and comments is no text.
 
 Defined cases: null html is empty; a page without words gives the empty text; of
 regions with equal sums the first and shortest counts; an element that is never
@@ -42,41 +44,74 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 # Elements that a new block closes when they are left open.
 CLOSED_BY_BLOCK = {"p"}
+# A class or id says boilerplate if one of its tokens consists of such words, and of words for places and boxes, only.
 SAYS_BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|side|footer|header|"
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|side|footer|header|"
     r"masthead|comments?|respond|replies|disqus|cookies?\w*|consent|gdpr|notices?|notification|alert|popup|modal|"
     r"newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|"
-    r"search|copyright|legal|disclaimer|hidden)(?:$|[\s_-])", re.IGNORECASE)
+    r"search|copyright|legal|disclaimer|hidden", re.IGNORECASE)
+NEUTRAL = re.compile(
+    r"|[0-9]+|site|page|main|global|primary|secondary|top|bottom|left|right|upper|lower|fixed|sticky|mobile|desktop|"
+    r"box|bar|wrap|wrapper|container|area|block|section|inner|outer|panel|slot|unit|list|links?|items?|buttons?|icons?|"
+    r"form|posts?|stories", re.IGNORECASE)
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?P<rawattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>.*?(?:</(?P=raw)\s*>|$)"
+    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?P<rawattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|$))"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
     re.DOTALL | re.IGNORECASE)
-ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+# Attributes one by one; a quoted value is part of its attribute, and quotes without a name are no attribute.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 
 
-def is_boilerplate(name: str, attributes: str) -> bool:
-    if name in BOILERPLATE:
+def says_boilerplate(value: str) -> bool:
+    for token in value.split():
+        parts = re.split("[_-]", token)
+        said = [SAYS_BOILERPLATE.fullmatch(p) is not None for p in parts]
+        if any(said) and all(x or NEUTRAL.fullmatch(p) for x, p in zip(said, parts)):
+            return True
+    return False
+
+
+def is_boilerplate(name: str, attributes: str, holds_content: bool = False) -> bool:
+    """Content elements, and what holds the page's content, are boilerplate only where they are hidden."""
+    if name in BOILERPLATE and not (name == "form" and holds_content):
         return True
-    if name in ("html", "body", "main") or not attributes:
+    if name in ("html", "body") or not attributes:
         return False
+    exempt = holds_content or name in CONTENT
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id") and SAYS_BOILERPLATE.search(value):
+        if key == "hidden" and name != "main" or key == "aria-hidden" and value == "true" and name != "main":
             return True
-        if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
+        if not exempt and (key in ("class", "id") and says_boilerplate(value) or key == "role" and value.lower() in ROLES):
             return True
     return False
 
 
-def tokens(page: str):
+def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
     """(kind, value, outside, content) of every text and tag in page order.
 
     Kind is ``text`` or the tag's name. ``outside`` says that the token lies in
-    a boilerplate element, ``content`` that it lies in a content element.
+    a boilerplate element, ``content`` that it lies in a content element. An
+    element that holds the page's main elements, or all of its articles where it
+    has no main element, is no boilerplate by its class, id or role.
+    """
+    around: dict[str, set[int]] = {}
+    found = list(_tokens(page, set(), around))
+    holders = around.get("main", around.get("article"))
+    return list(_tokens(page, holders, {})) if holders else found
+
+
+def _tokens(page: str, holders: set[int], around: dict[str, set[int]]):
+    """Tokens of a page; elements that start at ``holders`` hold content.
+
+    ``around`` gets, per kind of content element, where the elements start that
+    would be boilerplate by what they say and are open around all of that kind.
     """
     open_elements: list[tuple[str, bool, bool]] = [("", False, False)]  # name, outside, content
+    said: list[tuple[int, int]] = []  # depth and start of open elements that say they are boilerplate
+    surely = 0  # depth of the outermost open element that is boilerplate whatever it holds
     at = 0
     for found in TOKEN.finditer(page):
         if found.start() > at:
@@ -93,14 +128,28 @@ def tokens(page: str):
             if depth:
                 outside = open_elements[depth][1]
                 del open_elements[depth:]
+                while said and said[-1][0] >= depth:
+                    said.pop()
+                surely = 0 if surely >= depth else surely
             yield name, "", outside, open_elements[-1][2]
             continue
         if name not in INLINE and open_elements[-1][0] in CLOSED_BY_BLOCK and name != "br":
             open_elements.pop()
+            while said and said[-1][0] >= len(open_elements):
+                said.pop()
+            surely = 0 if surely >= len(open_elements) else surely
             _, outside, content = open_elements[-1]
-        away = outside or is_boilerplate(name, found["attrs"])
+        says = is_boilerplate(name, found["attrs"], found.start() in holders)
+        away = outside or says
         yield name, "", away, content
+        if name in CONTENT and not content and not surely:
+            starts = {start for _, start in said}
+            around[name] = around[name] & starts if name in around else starts
         if name not in VOID and not found["attrs"].endswith("/"):
+            if says and is_boilerplate(name, found["attrs"], True):
+                surely = surely or len(open_elements)
+            elif says:
+                said.append((len(open_elements), found.start()))
             open_elements.append((name, away, content or name in CONTENT))
     if at < len(page):
         yield "text", page[at:], *open_elements[-1][1:]
@@ -124,7 +173,7 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def main_text(page: str, weights: dict[str, float]) -> str:
     """Text of the best region, its blocks joined by one space."""
-    parts = list(tokens(page))
+    parts = tokens(page)
     scores = []
     for kind, value, outside, _ in parts:
         if outside:

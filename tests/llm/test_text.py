@@ -384,6 +384,40 @@ def test_pages_of_the_table(spark):
         assert found[r.page_id] == " ".join(plain.split())
 
 
+def extracted(page):
+    return html.main_text(page, {"word": 1.0, "tag": -1.0})
+
+
+@pytest.mark.parametrize("element", [
+    'div style="overflow: hidden"', 'div title="a hidden gem"', "div data-x='role=navigation hidden'", 'div = "x hidden y"',
+    'div class="content has-sidebar"', 'section class="no-sidebar"', 'div class="with-comments"', 'div id="article-legal"',
+    'div class="search-result"', 'article class="related"', 'main role="search" class="legal"'])
+def test_content_is_no_boilerplate(element):
+    assert extracted(f"<body><{element}><p>{'some words ' * 5}</p></{element.split()[0]}></body>") == ("some words " * 5).strip()
+
+
+@pytest.mark.parametrize("element", [
+    "div hidden", 'div HIDDEN=""', 'div aria-hidden="true"', 'div class="x cookie-notice"', 'div class="site-header"',
+    'div id="comments_list"', 'div role="navigation"', "div class=sidebar", "article hidden"])
+def test_boilerplate_stays_out(element):
+    given = f"<body><{element}><p>{'other words ' * 9}</p></{element.split()[0]}><p>{'some words ' * 5}</p></body>"
+    assert extracted(given) == ("some words " * 5).strip()
+
+
+def test_what_holds_the_content_is_no_boilerplate():
+    text = "some words " * 5
+    assert extracted(f'<form><div class="sidebar"><article>{text}</article></div></form>') == text.strip()
+    comment = f'<section id="comments"><article class="comment">{"other words " * 9}</article></section>'
+    assert extracted(f"<article>{text}</article>{comment}") == text.strip()
+    assert extracted(f'<div class="widget"><main>{text}</main></div>{comment}') == text.strip()
+    assert extracted(f'<div hidden><main>{"other words " * 9}</main></div>{text}') == text.strip()
+
+
+@pytest.mark.parametrize("raw", ['<svg width="1"/>', "<iframe/>", "<svg />", "<svg><path/></svg>", "<script>x</script>"])
+def test_raw_elements_that_close_themselves(raw):
+    assert extracted(f"<p>one two</p>{raw}<p>three four five six</p>") in ("one two three four five six", "three four five six")
+
+
 def test_best_region_against_all_regions():
     draw = np.random.default_rng(2)
     for n in range(40):
