@@ -5,8 +5,9 @@ with the highest sum, found in one linear scan, is the content (Pasternack and
 Roth 2009). Weights are fitted on labelled pages: pages whose own markup names
 their content element. Inside and outside of it, words and every tag are
 counted; a tag's weight is its log odds, kept below zero, and the weight of a
-word the log odds of words, kept above it. The content element's own tags are
-never inside of content, so no region goes across them. The sample of labelled
+word the log odds of words, kept above it. The tags of a page's outermost content
+elements count for no weight and no region goes across them; nested ones are
+weighted like other tags. The sample of labelled
 pages is bounded: ``SAMPLE`` pages with the smallest hash of their html.
 
 Elements that never are content (menus, headers, footers, forms, adverts,
@@ -175,9 +176,11 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     """Text of the best region, its blocks joined by one space."""
     parts = tokens(page)
     scores = []
-    for kind, value, outside, _ in parts:
+    for kind, value, outside, content in parts:
         if outside:
             scores.append(0.0)
+        elif kind in CONTENT and not content:
+            scores.append(NEVER)
         elif kind == "text":
             scores.append(weights["word"] * words_in(value))
         else:
@@ -197,10 +200,10 @@ def counted(page: str) -> dict[str, list[int]]:
     """Words and tags of a labelled page, inside and outside of its content."""
     counts: dict[str, list[int]] = {}
     for kind, value, outside, content in tokens(page):
-        if outside:
+        if outside or kind in CONTENT and not content:
             continue
         n = words_in(value) if kind == "text" else 1
-        place = 0 if content and kind not in CONTENT else 1
+        place = 0 if content else 1
         counts.setdefault("word" if kind == "text" else kind, [0, 0])[place] += n
     return counts
 
@@ -245,7 +248,7 @@ def weights_of(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     for name, (a, b) in counts.items():
         if name != "word":
             weights[name] = min(-LEAST, odds(a, b))
-    return weights | dict.fromkeys(CONTENT, NEVER)
+    return weights
 
 
 def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

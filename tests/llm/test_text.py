@@ -418,6 +418,20 @@ def test_raw_elements_that_close_themselves(raw):
     assert extracted(f"<p>one two</p>{raw}<p>three four five six</p>") in ("one two three four five six", "three four five six")
 
 
+def test_nested_content_elements(spark):
+    """Only the outer boundary of the outermost content element bars a region."""
+    a, b, c, d = (f"{w} words of a text " * 8 for w in ("First", "second", "third", "fourth"))
+    whole = " ".join(f"{a}{b}{c}{d}".split())
+    menu = "<nav>menu</nav><div>Site name</div>"
+    given = [f"{menu}<article><p>{a}</p><article>{b}</article><p>{c}</p><p>{d}</p></article><div>end</div>",
+             f"{menu}<main><p>{a}</p><article><p>{b}</p></article><article>{c}</article><article>{d}</article></main>",
+             f"{menu}<main><article>{a}<section><p>{b}</p></section></article><section>{c}</section>{d}</main><p>end</p>",
+             f"{menu}<article>{a}{b}{c}{d}</article><article>{'other words ' * 3}</article>"]
+    pages = spark.createDataFrame([(i, "u", p) for i, p in enumerate(given)], "page_id long, url string, html string")
+    assert [r.text for r in html.extract(pages).orderBy("page_id").collect()] == [whole] * 4
+    assert [html.main_text(p, {"word": 1.0, "tag": -1.0}) for p in given] == [whole] * 4
+
+
 def test_best_region_against_all_regions():
     draw = np.random.default_rng(2)
     for n in range(40):
