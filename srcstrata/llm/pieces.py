@@ -5,12 +5,13 @@ text with spaces as marks; no piece of such a model has a mark after another
 character, so merges never cross into the next mark and the text falls into
 words that are encoded alone. In a word, an agenda holds candidate merges, best
 score first, leftmost among equals. A candidate taken from the agenda is skipped
-if a keyed hash of (seed, variant, word, place, pair) falls below the dropout
-rate; the word enters as its digest, so that long words cost no more a step. The
-variant of a word is a keyed hash of (seed, document, place) modulo ``VARIANTS``,
-so a word that recurs is split in several ways, and the same run gives the same
-split wherever it is computed. Without dropout, ids equal those
-of the library.
+if a keyed hash of (seed, document, place of the word, word, place, pair) falls
+below the dropout rate, so every occurrence of a word has a dropout of its own,
+and the same run gives the same split wherever it is computed; the word enters
+as its digest, so that long words cost no more a step. The split without dropout
+and its candidates are remembered per word: an occurrence that drops none of
+them has that split, the others are stepped. Without dropout, ids equal those of
+the library.
 
 :meth:`Pieces.split` is the agenda of one word. :meth:`Pieces.split_many` steps
 the agendas of many words of one length together, as columns of arrays: each
@@ -29,7 +30,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 
 from srcstrata.llm.common import rows_of, texts
 
-DROPOUT, SEED, VARIANTS = 0.1, 42, 8
+DROPOUT, SEED = 0.1, 42
 MARK = "▁"
 # Words with the spaces before them; a space mark in the text itself stands alone.
 WORD = re.compile(f"{MARK}| *[^ {MARK}]+| +")
@@ -130,10 +131,12 @@ class Pieces:
 
     def split(self, word: str, dropout: float = 0.0, key: int = 0) -> list[str]:
         """Pieces of one word after merges; candidates are dropped by a hash keyed with ``key``."""
+        return self._split(word, int(dropout * 2 ** 64), _digest(word, key))
+
+    def _split(self, word: str, limit: int, digest: int) -> list[str]:
         parts = list(word)
         right = list(range(1, len(parts))) + [-1]
         left = list(range(-1, len(parts) - 1))
-        limit, digest = int(dropout * 2 ** 64), _digest(word, key)
         agenda: list[tuple[float, int, str, str]] = []
 
         def offer(a: int, b: int) -> None:
@@ -161,27 +164,30 @@ class Pieces:
 
     def split_many(self, words: list[str], dropout: float = 0.0, key: int = 0) -> list[list[int]]:
         """Ids of the pieces of many words, as :meth:`split` would split each."""
-        order, flat, counts = self._split_keyed(words, [key] * len(words), dropout)
+        lengths, offsets, codes = _coded(words)
+        digests = np.fromiter((_digest(w, key) for w in words), np.uint64, len(words))
+        order, flat, counts, _ = self._split_coded(codes, offsets, lengths, digests, int(dropout * 2 ** 64))
         ends, out = np.cumsum(counts).tolist(), [[]] * len(words)
         for i, start, end in zip(order.tolist(), [0] + ends[:-1], ends):
             out[i] = flat[start:end].tolist()
         return out
 
-    def _split_keyed(self, words: list[str], keys: list[int], dropout: float
-                     ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Order in which words are split, the ids of all in that order, and the number of ids of each."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
+    def _split_coded(self, codes: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, digests: np.ndarray | None,
+                     limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Order in which words are split, the ids of all in that order, the number of ids of each, and merges.
+
+        Words are ranges of ``codes``. Without ``limit``, the merges of words with columns are returned, as
+        (words, what the dropout hash takes of the pair and its place).
+        """
         order = np.argsort(lengths, kind="stable")
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
-        offsets = np.cumsum(lengths) - lengths
-        limit = int(dropout * 2 ** 64)
-        digests = np.fromiter(map(_digest, words, keys), np.uint64, len(words)) if limit else None
         flat, counts, start = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+        merges: list[tuple[np.ndarray, np.ndarray]] = []
         while start < len(order):
             width = int(lengths[order[start]])
             if width > LONG:
                 i = order[start]
-                found = self.ids(self.split(words[i], dropout, keys[i]))
+                word = codes[offsets[i]:offsets[i] + width].tobytes().decode("utf-32-le", "surrogatepass")
+                found = self.ids(self._split(word, limit, int(digests[i]) if limit else 0))
                 flat.append(np.array(found, np.int32))
                 counts.append(np.array([len(found)]))
                 start += 1
@@ -189,19 +195,24 @@ class Pieces:
             end = min(int(np.searchsorted(lengths, width, "right", sorter=order)), start + max(1, CELLS // (width + 1)))
             chosen = order[start:end]
             if width:
+                taken: list[tuple[np.ndarray, np.ndarray]] = []
                 symbols, found = self._step(codes[offsets[chosen] + np.arange(width)[:, None]],
-                                            None if digests is None else digests[chosen], limit)
+                                            digests[chosen] if limit else None, limit, taken)
+                merges += [(chosen[rows], pairs) for rows, pairs in taken]
                 ids, found = self._ids_of(symbols, found)
             else:
                 ids, found = np.zeros(0, np.int32), np.zeros(len(chosen), np.int64)
             flat.append(ids)
             counts.append(found)
             start = end
-        return order, np.concatenate(flat), np.concatenate(counts)
+        return order, np.concatenate(flat), np.concatenate(counts), merges
 
-    def _step(self, codes: np.ndarray, digests: np.ndarray | None, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    def _step(self, codes: np.ndarray, digests: np.ndarray | None, limit: int,
+              taken: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols left of words of one length, a word a column of ``codes``, and the number of each word's.
 
+        Without ``limit``, ``taken`` gets the merges of every round.
+
         Cells are numbered through; the row below the last character stands for no character.
         """
         width, n = codes.shape
@@ -222,11 +233,12 @@ class Pieces:
             at = column * n + rows
             k = pair[at]
             if limit:
-                dropped = _mixed_all(digests[rows] ^ (self.pair_hash[k] + column.astype(np.uint64) * np.uint64(GOLDEN))
-                                     ) <= np.uint64(limit - 1)
+                dropped = _mixed_all(digests[rows] ^ self._hashed(k, column)) <= np.uint64(limit - 1)
                 best[at[dropped]] = NONE
                 kept = ~dropped
                 column, at, k = column[kept], at[kept], k[kept]
+            else:
+                taken.append((rows, self._hashed(k, column)))
             gone, before, merged = right[at], left[at], self.pair_merged[k]
             after = right[gone]
             symbol[at], symbol[gone], best[gone] = merged, -1, NONE
@@ -239,6 +251,9 @@ class Pieces:
         left_over = by_word >= 0
         return by_word[left_over], left_over.sum(axis=1)
 
+    def _hashed(self, pair: np.ndarray, column: np.ndarray) -> np.ndarray:
+        return self.pair_hash[pair] + column.astype(np.uint64) * np.uint64(GOLDEN)
+
     def _ids_of(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of symbols and their number a word; a character without a piece has an id for each of its bytes."""
         inside = symbols < len(self.symbol)
@@ -275,45 +290,77 @@ class Pieces:
         """Ids of the whole text of every (document, text), in order. ``known`` serves one dropout and seed only."""
         known = known or Splits()
         block: list[np.ndarray] = []
+        places: list[np.ndarray] = []
         size = 0
         for document, text in rows:
             words = WORD.findall(" " + text) if text else []
-            wanted = np.fromiter(map(known.number.__getitem__, words), np.int64, len(words)) * VARIANTS
+            block.append(np.fromiter(map(known.number.__getitem__, words), np.int64, len(words)))
             if dropout:
-                wanted += _variants(len(words), seed, document)
-            block.append(wanted)
+                places.append(_places(len(words), seed, document))
             size += len(text)
             if size >= BLOCK:
-                yield from self._encode_block(block, dropout, seed, known)
-                block, size = [], 0
-        yield from self._encode_block(block, dropout, seed, known)
+                yield from self._encode_block(block, places, dropout, seed, known)
+                block, places, size = [], [], 0
+        yield from self._encode_block(block, places, dropout, seed, known)
 
-    def _encode_block(self, block: list[np.ndarray], dropout: float, seed: int, known: Splits) -> Iterator[np.ndarray]:
+    def _encode_block(self, block: list[np.ndarray], places: list[np.ndarray], dropout: float, seed: int,
+                      known: Splits) -> Iterator[np.ndarray]:
         if not block:
             return
-        wanted = np.concatenate(block)
-        known.grow()
-        missing = np.unique(wanted[known.place[wanted] < 0])
-        if len(missing):
-            order, flat, counts = self._split_keyed(
-                *known.words_and_keys(missing, seed), dropout)
-            known.add(missing[order], flat, counts)
-        mark = known.number.get(MARK)
-        if mark is not None:  # a space mark of the text itself
-            said = [self.byte_id[b] for b in MARK.encode()]
-            known.add(mark * VARIANTS + np.arange(VARIANTS), np.array(said * VARIANTS, np.int32),
-                      np.full(VARIANTS, len(said)))
-        place = known.place[wanted]
-        starts = known.bounds[place]
-        counts = known.bounds[place + 1] - starts
+        wanted, limit = np.concatenate(block), int(dropout * 2 ** 64)
+        self._remember(known, seed)
+        starts, counts, flat = known.bounds[wanted], known.counts[wanted], known.flat
+        if limit:
+            digests = known.digests[wanted] ^ np.concatenate(places)
+            again = np.flatnonzero(self._dropped(wanted, digests, limit, known))
+            words = wanted[again]
+            order, more, n, _ = self._split_coded(known.codes, known.offsets[words], known.lengths[words],
+                                                  digests[again], limit)
+            starts[again[order]] = len(flat) + np.cumsum(n) - n
+            counts[again[order]] = n
+            flat = np.append(flat, more)
         ends = np.append(0, np.cumsum(counts))
-        ids = known.flat[np.repeat(starts - ends[:-1], counts) + np.arange(ends[-1])]
+        ids = flat[np.repeat(starts - ends[:-1], counts) + np.arange(ends[-1])]
         if len(known.number) > REMEMBERED:
             known.clear()
         documents = ends[np.append(0, np.cumsum(list(map(len, block))))].tolist()
         for start, end in zip(documents, documents[1:]):
             yield ids[start:end]
 
+    def _remember(self, known: Splits, seed: int) -> None:
+        """Splits without dropout of the words numbered meanwhile."""
+        raw = known.unknown()
+        if not raw:
+            return
+        lengths, offsets, codes = _coded([w.replace(" ", MARK) for w in raw])
+        order, flat, counts, merges = self._split_coded(codes, offsets, lengths, None, 0)
+        by_word = np.empty(len(raw), np.int64)
+        by_word[order] = counts
+        starts = np.empty(len(raw), np.int64)
+        starts[order] = np.cumsum(counts) - counts
+        if MARK in raw:  # a space mark of the text itself
+            said = np.array([self.byte_id[b] for b in MARK.encode()], np.int32)
+            starts[raw.index(MARK)], by_word[raw.index(MARK)] = len(flat), len(said)
+            flat = np.append(flat, said)
+        owner = np.concatenate([m[0] for m in merges]) if merges else np.zeros(0, np.int64)
+        pairs = np.concatenate([m[1] for m in merges]) if merges else np.zeros(0, np.uint64)
+        digests = np.fromiter((_digest(w.replace(" ", MARK), seed) for w in raw), np.uint64, len(raw))
+        known.add(starts, by_word, flat, lengths, offsets, codes, digests,
+                  np.bincount(owner, minlength=len(raw)), pairs[np.argsort(owner, kind="stable")])
+
+    def _dropped(self, wanted: np.ndarray, digests: np.ndarray, limit: int, known: Splits) -> np.ndarray:
+        """Which occurrences drop a candidate of their word's plain split; long words always count as such."""
+        out = known.lengths[wanted] > LONG
+        at, left = known.pair_at[wanted], known.pair_n[wanted]
+        rows = np.flatnonzero(left > 0)
+        at, left, digests = at[rows], left[rows], digests[rows]
+        while len(rows):
+            gone = _mixed_all(digests ^ known.pairs[at]) <= np.uint64(limit - 1)
+            out[rows[gone]] = True
+            on = np.flatnonzero(~gone & (left > 1))
+            rows, at, left, digests = rows[on], at[on] + 1, left[on] - 1, digests[on]
+        return out
+
     def decode(self, ids: Iterable[int]) -> str:
         """The text that was encoded, whatever merges were dropped."""
         ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
@@ -321,7 +368,7 @@ class Pieces:
 
 
 class Splits:
-    """Words numbered as they come, and the ids of those of their variants that have been split."""
+    """Words numbered as they come; their characters, digests, and the ids and merges of their plain splits."""
 
     def __init__(self):
         self.clear()
@@ -329,24 +376,31 @@ class Splits:
     def clear(self) -> None:
         self.number: defaultdict[str, int] = defaultdict()
         self.number.default_factory = self.number.__len__
-        # Number of a split by word and variant, -1 where there is none; where the ids of each split begin.
-        self.place, self.bounds = np.full(0, -1, np.int32), np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        # Per word: where its ids begin and their number, its characters, its digest, its merges.
+        self.bounds, self.counts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.lengths, self.offsets, self.codes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.digests = np.zeros(0, np.uint64)
+        self.pair_at, self.pair_n, self.pairs = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+    def unknown(self) -> list[str]:
+        """The words numbered since the last call of :meth:`add`."""
+        return list(islice(self.number, len(self.bounds), None))
 
-    def grow(self) -> None:
-        """Makes room for the words numbered meanwhile."""
-        more = len(self.number) * VARIANTS - len(self.place)
-        self.place = np.append(self.place, np.full(more, -1, np.int32))
+    def add(self, starts, counts, flat, lengths, offsets, codes, digests, pair_n, pairs) -> None:
+        self.bounds = np.append(self.bounds, len(self.flat) + starts)
+        self.counts, self.flat = np.append(self.counts, counts), np.append(self.flat, flat)
+        self.lengths = np.append(self.lengths, lengths)
+        self.offsets = np.append(self.offsets, len(self.codes) + offsets)
+        self.codes, self.digests = np.append(self.codes, codes), np.append(self.digests, digests)
+        self.pair_at = np.append(self.pair_at, len(self.pairs) + np.cumsum(pair_n) - pair_n)
+        self.pair_n, self.pairs = np.append(self.pair_n, pair_n), np.append(self.pairs, pairs)
 
-    def words_and_keys(self, wanted: np.ndarray, seed: int) -> tuple[list[str], list[int]]:
-        words = list(self.number)
-        return ([words[w].replace(" ", MARK) for w in (wanted // VARIANTS).tolist()],
-                (seed * VARIANTS + wanted % VARIANTS).tolist())
 
-    def add(self, wanted: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> None:
-        self.place[wanted] = len(self.bounds) - 1 + np.arange(len(wanted))
-        self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(counts))
-        self.flat = np.append(self.flat, flat)
+def _coded(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths of words, where each begins, and the code points of all."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+    return lengths, np.cumsum(lengths) - lengths, codes
 
 
 def _digest(word: str, key: int) -> int:
@@ -369,11 +423,10 @@ def _mixed_all(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def _variants(n: int, seed: int, document: int) -> np.ndarray:
-    """Keyed hash of every word's place, modulo ``VARIANTS``."""
+def _places(n: int, seed: int, document: int) -> np.ndarray:
+    """Keyed hash of every word's place."""
     start = xxhash.xxh64_intdigest(f"{seed}:{document}".encode())
-    z = _mixed_all(np.arange(n, dtype=np.uint64) * np.uint64(GOLDEN) + np.uint64(start))
-    return (z % np.uint64(VARIANTS)).astype(np.int64)
+    return _mixed_all(np.arange(n, dtype=np.uint64) * np.uint64(GOLDEN) + np.uint64(start))
 
 
 def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:

@@ -328,6 +328,30 @@ def test_agendas_side_by_side_on_any_words(words, rate, key):
     assert loaded.split_many(words, rate, key) == [loaded.ids(loaded.split(w, rate, key)) for w in words]
 
 
+def test_every_occurrence_has_its_own_dropout(vocabulary):
+    """A word of one merge is split in a tenth of its occurrences, in any corpus and for any word."""
+    pairs = [w for w in vocabulary.id if len(w) == 2 and w[0] == "▁" and w[1].isascii() and w[1].isalpha()][:12]
+    for word in pairs:
+        split = [len(vocabulary.encode(" ".join([word[1]] * 500), 0.1, 42, d)) - 500 for d in range(8)]
+        assert 300 < sum(split) < 500 and len(set(split)) > 2, word
+    once = vocabulary.encode_many([(d, "unbelievable internationalisation") for d in range(400)], 0.3)
+    assert len({tuple(x.tolist()) for x in once}) > 64
+
+
+def test_occurrences_against_the_agenda_of_each(vocabulary):
+    texts = [(d, prose(60, d) + " unbelievable ▁ " + "ab" * 50 + " 日本語 é\x00😀x  two") for d in range(6)]
+    for rate in (0.0, 0.1, 0.6, 1.0):
+        for (d, text), ids in zip(texts, vocabulary.encode_many(texts, rate, 7)):
+            words, expected = pieces.WORD.findall(" " + text), []
+            for place, raw in zip(pieces._places(len(words), 7, d).tolist(), words):
+                word = raw.replace(" ", "▁")
+                expected += list("▁".encode()) if raw == "▁" else vocabulary.ids(
+                    vocabulary._split(word, int(rate * 2 ** 64), pieces._digest(word, 7) ^ place))
+                if raw == "▁":
+                    expected[-3:] = [vocabulary.byte_id[b] for b in expected[-3:]]
+            assert ids.tolist() == expected
+
+
 def test_encoding_as_a_job(spark, vocabulary):
     docs = documents(spark, awkward())
     encoded = pieces.encode(docs, MODEL)
