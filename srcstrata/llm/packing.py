@@ -11,7 +11,8 @@ its share, whatever the input's size.
 Token ids are those of the vocabulary file's tokenizer. They are computed by a
 faster library from the same file's vocabulary, whose merges are in the order of
 their ids, and remembered per word. Defined cases: null text is empty, a
-document of the end token alone; control strings in texts are ordinary text;
+document of the end token alone; the file's added tokens are found in texts, as
+its tokenizer finds them, and what stands between them is encoded alone;
 repeated rows and null ids are documents of their own; an empty table gives an
 empty one.
 """
@@ -43,21 +44,37 @@ def byte_characters() -> dict[str, int]:
 
 
 class Tokens:
-    """Token ids of whole texts by a byte-level BPE vocabulary file."""
+    """Token ids of whole texts by a byte-level BPE vocabulary file.
 
-    def __init__(self, path: str):
+    With ``added``, the file's added tokens get their ids where texts hold them;
+    without, they are ordinary text.
+    """
+
+    def __init__(self, path: str, added: bool = False):
         import tiktoken
         with open(path, encoding="utf-8") as f:
             loaded = json.load(f)
         byte_of = byte_characters()
-        special = {t["content"] for t in loaded.get("added_tokens", ())}
+        special = {t["content"]: t["id"] for t in loaded.get("added_tokens", ())}
+        if added and any(t.get(k) for t in loaded.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("an added token takes more or less than its own characters")
+        self.added = special if added else {}
+        self.between = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
         ranks = {bytes(byte_of[c] for c in token): i
                  for token, i in loaded["model"]["vocab"].items() if token not in special}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: tuple[dict[str, list[int]], dict[str, list[int]]] = {}, {}
 
     def ids(self, text: str) -> np.ndarray:
-        """Ids of a text. A single space between two other characters always begins a token."""
+        """Ids of a text."""
+        if not any(token in text for token in self.added):
+            return self._ordinary(text)
+        parts = [np.array([self.added[part]], "<u4") if part in self.added else self._ordinary(part)
+                 for part in self.between.split(text) if part]
+        return np.concatenate(parts)
+
+    def _ordinary(self, text: str) -> np.ndarray:
+        """Ids of ordinary text. A single space between two other characters always begins a token."""
         if ODD_SPACE.search(text):
             return np.array(self.encoding.encode_ordinary(text), "<u4")
         first, *rest = text.split(" ")
@@ -139,7 +156,7 @@ def _pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names), bins.max() + 1
 
     def run(batches):
-        tokens, (base, used) = Tokens(path), _numbers()
+        tokens, (base, used) = Tokens(path, added=True), _numbers()
         rows = []
         for batch in batches:
             for document, text in rows_of(batch, "doc_id", "text"):

@@ -496,6 +496,18 @@ def test_token_ids_of_any_text(text):
     assert tokens.ids(text).tolist() == reference.encode(text, add_special_tokens=False).ids
 
 
+ADDED = ["x <|endoftext|> y", "<|endoftext|>", " <|endoftext|><|endoftext|>\n\n a", "a  <|endoftext|>  b <|endoftext|", "it's"]
+
+
+def test_added_tokens_are_found_in_texts(spark):
+    plain = Tokenizer.from_file(VOCABULARY)
+    tokens = packing.Tokens(VOCABULARY, added=True)
+    for text in ADDED + AWKWARD_TEXTS:
+        assert tokens.ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+    given = list(enumerate(ADDED))
+    check_packing(spark, documents(spark, given), given, plain, 64)
+
+
 def check_packing(spark, docs, given, reference, capacity):
     found = packing.pack_documents(docs, VOCABULARY, capacity).collect()
     assert found or not given
