@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcstrata.llm import chat, exact, html, lines, packing, pieces, pii, rules, simhash, substrings
+from srcstrata.llm import (
+    alignment, chat, exact, html, lines, packing, pieces, pii, rules, simhash, spelling, substrings, token_counts)
 from srcstrata.llm.common import table, texts
 
 PACKING_VOCABULARY = "byte_bpe_50k.json"
@@ -70,6 +71,19 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path(PACKING_VOCABULARY))
 
 
+def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path(PACKING_VOCABULARY))
+
+
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.alignment_digests(table(spark, folder, "documents"), public_tokenizers.path(PACKING_VOCABULARY),
+                                       public_tokenizers.path(PIECES_MODEL))
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
 QUERIES = {q.__name__: q for q in (
     op1_chat_format, op2_simhash_dedup, op3_exact_dedup, op4_quality_rules, op5_pii, op6_pieces, op7_html_extract,
-    op8_substring_dedup, op9_line_dedup, op10_packing)}
+    op8_substring_dedup, op9_line_dedup, op10_packing, op11_token_counts, op12_alignment, op13_spelling)}
