@@ -27,8 +27,10 @@ read, whatever their names; an empty table gives an empty one.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections import Counter
+from collections.abc import Iterable
 from itertools import accumulate
 
 import numpy as np
@@ -40,20 +42,22 @@ from srcstrata.llm.common import rows_of, texts
 from srcstrata.llm.packing import byte_characters
 from srcstrata.session import stored
 
-REMEMBERED, BLOCK, BATCH = 300_000, 4_000_000, 4_000_000
+# Remembered stretches, links of a block, characters cut, stretches aligned and encoded as one text at a time.
+REMEMBERED, BLOCK, BATCH, TOGETHER, SIDE_BY_SIDE = 200_000, 1_500_000, 500_000, 8192, 32
 
 # A single space between two other characters begins a stretch.
 STRETCH = re.compile(r"(?<=\S)(?= \S)")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 _ALIGNED = ("block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
-            "places array<int>, times array<int>, pairs array<long>, held array<int>")
+            "places array<int>, times array<int>, pairs array<long>, held array<int>, of_block boolean")
 
 
 class Aligner:
     """Groups of tokens of both tokenizers over a stretch of text that begins with the added or a real space."""
 
     def __init__(self, path_a: str, path_b: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
         self.a = Tokenizer.from_file(path_a)
@@ -68,10 +72,19 @@ class Aligner:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if f else p.replace("▁", " ").encode()
                         for p, f in zip(pieces, self.fallback)]
 
+        self.is_byte = np.array(self.fallback)
+        self.size_a = np.zeros(1 + max(self.bytes_a), np.int64)
+        self.size_a[list(self.bytes_a)] = list(map(len, self.bytes_a.values()))
+        self.size_b = np.array(list(map(len, self.bytes_b)))
+
+    @staticmethod
+    def says(table, ids: list[int], text: str) -> bool:
+        return b"".join([table[i] for i in ids]) == text.encode()
+
     def encoded(self, stretches: list[str]):
         """(stretch, A's encoding, B's proto) of each."""
         return zip(stretches, self.a.encode_batch(stretches, add_special_tokens=False),
-                   self.b.encode([s[1:] for s in stretches], return_type="proto"))
+                   self.b.encode([s[1:] for s in stretches], return_type="proto", num_threads=1))
 
     def ends_a(self, stretch: str, encoding) -> list[int]:
         """Byte end of every token."""
@@ -94,10 +107,9 @@ class Aligner:
 
     def aligned(self, stretch: str, encoding, proto):
         """(n_a, n_b, groups as [(a ids, b ids)]), or None where the bytes of either differ from the stretch."""
-        raw, ids_a, pieces = stretch.encode(), encoding.ids, proto.pieces
+        ids_a, pieces = encoding.ids, proto.pieces
         ids_b = [p.id for p in pieces]
-        if (b"".join(map(self.bytes_a.__getitem__, ids_a)) != raw
-                or b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw):
+        if not self.says(self.bytes_a, ids_a, stretch) or not self.says(self.bytes_b, ids_b, stretch):
             return None
         ends_a, ends_b = self.ends_a(stretch, encoding), self.ends_b(pieces)
         groups, i, j = [], 0, 0
@@ -125,17 +137,27 @@ class Stretches:
         self.sizes = np.zeros((0, 4), np.int64)  # n_a, n_b, n_groups, n_links; -1 where bytes differ
         self.starts, self.pairs, self.times = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def learn_all(self, stretches: Iterable[str]) -> None:
+        """Aligns the stretches that are not remembered; all of these are afterwards."""
+        stretches = list(dict.fromkeys(stretches))
+        unknown = [s for s in stretches if s not in self.number]
+        if len(self.said) + len(unknown) > REMEMBERED:
+            self.clear()
+            unknown = stretches
+        for start in range(0, len(unknown), TOGETHER):
+            self.learn(unknown[start:start + TOGETHER])
+
     def learn(self, unknown: list[str]) -> None:
-        """Aligns new stretches together, those with the piece's own sign for a space one by one."""
+        """Aligns new stretches: side by side those that begin with one space and end without any, others one by one."""
         self.number.update(zip(unknown, range(len(self.said), len(self.said) + len(unknown))))
-        encoded = list(self.aligner.encoded(unknown))
-        plain = [i for i, s in enumerate(unknown) if "▁" not in s]
-        found = self._plain([encoded[i] for i in plain]) if plain else None
+        plain = [i for i, s in enumerate(unknown) if "▁" not in s and not s[-1].isspace() and not s[1].isspace()]
+        found = self._plain([unknown[i] for i in plain]) if plain else None
         if found is None:
             plain, found = [], ([], np.zeros((0, 4), np.int64), *[np.zeros(0, np.int64)] * 4)
         chosen = set(plain)
         odd = [i for i in range(len(unknown)) if i not in chosen]
-        other = self._odd([encoded[i] for i in odd])
+        other = self._odd(self.aligner.encoded([unknown[i] for i in odd])) if odd else (
+            [], np.zeros((0, 4), np.int64), *[np.zeros(0, np.int64)] * 4)
         said = dict(zip([*plain, *odd], [*found[0], *other[0]]))
         self.said += [said[i] for i in range(len(unknown))]
         order = np.argsort(np.array([*plain, *odd], np.int64))
@@ -148,45 +170,55 @@ class Stretches:
         self.pairs = np.append(self.pairs, np.concatenate([found[3], other[3]])[at])
         self.times = np.append(self.times, np.concatenate([found[4], other[4]])[at])
 
-    def _plain(self, encoded):
+    def _plain(self, stretches: list[str]):
         """(digest texts, sizes, counts, pairs, times) of stretches, or None where a token has other bytes than its
-        end says. Where characters are bytes, the spans are the ends."""
-        lengths = np.fromiter((len(s.encode()) for s, _, _ in encoded), np.int64, len(encoded))
-        base = (np.cumsum(lengths) - lengths).tolist()
-        ids_a, ids_b, to_a, to_b = [], [], [], []
-        for at, (s, a, b) in zip(base, encoded):
-            pieces, plain = b.pieces, s.isascii()
+        end says. ``SIDE_BY_SIDE`` of them are encoded as one text: both tokenizers cut it where they were cut."""
+        texts = ["".join(stretches[i:i + SIDE_BY_SIDE]) for i in range(0, len(stretches), SIDE_BY_SIDE)]
+        ids_a, from_a, to_a, ids_b, to_b, chars, at = [], [], [], [], [], 0, 0
+        for text, a, b in self.aligner.encoded(texts):
             ids_a += a.ids
+            spans = a.offsets
+            from_a += [chars + x for x, _ in spans]
+            to_a += [chars + y for _, y in spans]
+            pieces = b.pieces
             ids_b += [p.id for p in pieces]
-            to_a += [at + e for _, e in a.offsets] if plain else [at + e for e in self.aligner.ends_a(s, a)]
-            to_b += [at + 1 + p.end for p in pieces] if plain else [at + e for e in self.aligner.ends_b(pieces)]
-        raw = "".join([s for s, _, _ in encoded]).encode()
-        bytes_a, bytes_b = self.aligner.bytes_a, self.aligner.bytes_b
-        ends_a, ends_b = np.array(to_a, np.int64), np.array(to_b, np.int64)
-        for ids, ends, table in ((ids_a, ends_a, bytes_a), (ids_b, ends_b, bytes_b)):
-            said = [table[i] for i in ids]
-            if b"".join(said) != raw or (np.cumsum(np.fromiter(map(len, said), np.int64, len(said))) != ends).any():
-                return None
+            to_b += [at + 1 + p.end for p in pieces]
+            chars, at = chars + len(text), at + len(text.encode())
+        raw, whole = "".join(texts), self.aligner
+        if not whole.says(whole.bytes_a, ids_a, raw) or not whole.says(whole.bytes_b, ids_b, raw):
+            return None
+        codes = np.frombuffer(raw.encode("utf-32-le"), "<u4")
+        starts = np.append(0, np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)))
+        ids_a, ids_b, to_b = (np.array(x, np.int64) for x in (ids_a, ids_b, to_b))
+        from_a, to_a = np.array(from_a, np.int64), np.array(to_a, np.int64)
+        bytes_a, bytes_b = np.cumsum(whole.size_a[ids_a]), np.cumsum(whole.size_b[ids_b])
+        shared = np.append(from_a[1:] < to_a[:-1], False)  # the next token has bytes of this one's last character
+        odd = whole.is_byte[ids_b]
+        ends_a = np.where(shared, bytes_a, starts[to_a])
+        ends_b = np.where(odd | np.append(odd[1:], False), bytes_b, to_b)
+        if (ends_a != bytes_a).any() or (ends_b != bytes_b).any():
+            return None
+        upto = starts[np.cumsum(np.fromiter(map(len, stretches), np.int64, len(stretches)))]
         cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
         group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
         n_a, n_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
-        stretch = np.searchsorted(base, cuts, "left") - 1  # of a group
-        sizes = np.stack([np.bincount(stretch, w, len(encoded)).astype(np.int64)
+        stretch = np.searchsorted(upto, cuts, "left")  # of a group
+        sizes = np.stack([np.bincount(stretch, w, len(stretches)).astype(np.int64)
                           for w in (n_a, n_b, np.ones(len(cuts)), n_a * n_b)], 1)
-        often, from_a, from_b = n_b[group_a], np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
-        at = np.repeat(from_b[group_a] - (np.cumsum(often) - often), often) + np.arange(often.sum())
-        pairs = np.repeat(np.array(ids_a, np.int64), often) << 32 | np.array(ids_b, np.int64)[at]
+        often, first_a, first_b = n_b[group_a], np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        at = np.repeat(first_b[group_a] - (np.cumsum(often) - often), often) + np.arange(often.sum())
+        pairs = np.repeat(ids_a, often) << 32 | ids_b[at]
         where = np.repeat(stretch[group_a], often)
         order = np.lexsort((pairs, where))
         pairs, where = pairs[order], where[order]
         new = np.append(True, (pairs[1:] != pairs[:-1]) | (where[1:] != where[:-1])).nonzero()[0]
         text = self.text.__getitem__
-        said_a, said_b = list(map(text, ids_a)), list(map(text, ids_b))
+        said_a, said_b = list(map(text, ids_a.tolist())), list(map(text, ids_b.tolist()))
         groups = [f"{said_a[i]}|{said_b[j]}" if n == m == 1 else f"{','.join(said_a[i:i + n])}|{','.join(said_b[j:j + m])}"
-                  for i, n, j, m in zip(from_a.tolist(), n_a.tolist(), from_b.tolist(), n_b.tolist())]
+                  for i, n, j, m in zip(first_a.tolist(), n_a.tolist(), first_b.tolist(), n_b.tolist())]
         upto = np.cumsum(sizes[:, 2]).tolist()
         said = [";".join(groups[i:j]) for i, j in zip([0, *upto], upto)]
-        return (said, sizes, np.bincount(where[new], minlength=len(encoded)), pairs[new],
+        return (said, sizes, np.bincount(where[new], minlength=len(stretches)), pairs[new],
                 np.diff(np.append(new, len(pairs))))
 
     def _odd(self, encoded):
@@ -236,46 +268,61 @@ def stretches_of(text: str) -> list[str]:
     return STRETCH.split(" " + text) if text else []
 
 
-def _aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """A row per document with places in its block's list of pairs, and a row per block with that list."""
-    names = [x.split()[0] for x in _ALIGNED.split(", ")]
-    kinds = [pa.int64()] * 6 + [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()),
-                                pa.list_(pa.int32())]
+def _listed(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(
+        pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(_joined(arrays), kind))
+
+
+def _joined(arrays: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
+
+
+def _emitted(block: int, rows: list[tuple]) -> pa.RecordBatch:
+    """A block's documents, and a row with the list of its pairs and how many documents hold each."""
+    pairs = [r[-2] for r in rows]
+    listed, places, n = np.unique(_joined(pairs), return_inverse=True, return_counts=True)
+    none, upto = np.zeros(0, np.int64), np.cumsum([0, *map(len, pairs)])
+    columns = list(zip(*rows))
+    last = pa.array([False] * len(rows) + [True])
+
+    def of_block(values: np.ndarray, kind) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array([0] * (len(rows) + 1) + [len(values)], pa.int32()),
+                                        pa.array(values, kind))
+    fixed = [pa.array([*c, None], k) for c, k in zip(columns[:-2], [pa.int64()] * 5 + [pa.string()])]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([block] * (len(rows) + 1), pa.int64()), *fixed,
+         pa.ListArray.from_arrays(pa.array([*upto, upto[-1]], pa.int32()), pa.array(places, pa.int32())),
+         _listed([*columns[-1], none], pa.int32()), of_block(listed, pa.int64()), of_block(n, pa.int32()), last],
+        names=[x.split()[0] for x in _ALIGNED.split(", ")])
+
+
+def _aligned_batches(batches, aligner: Aligner, block: int):
+    known = Stretches(aligner)
+    rows, links, none = [], 0, np.zeros(0, np.int64)
+    for batch in batches:
+        for part in _parts(rows_of(batch, "doc_id", "text")):
+            cut = [(d, t, stretches_of(t)) for d, t in part]
+            known.learn_all(s for _, _, c in cut for s in c)
+            for document, text, stretches in cut:
+                found = known.whole(text, stretches)
+                if found is None:
+                    rows.append((document, 0, 0, 0, 0, "", none, none))
+                    continue
+                sizes, digest, pairs, times = found
+                rows.append((document, *sizes.tolist(), digest, pairs, times))
+                links += len(pairs)
+                if links >= BLOCK:
+                    yield _emitted(block, rows)
+                    block, rows, links = block + 1, [], 0
+    if rows:
+        yield _emitted(block, rows)
 
-    def emit(block, rows):
-        """Batches of a block's documents and the row of its pairs."""
-        listed, n = np.unique(np.concatenate([np.zeros(0, np.int64), *[r[-2] for r in rows]]), return_counts=True)
-        out = [(block, *r[:-2], np.searchsorted(listed, r[-2]), r[-1], None, None) for r in rows]
-        out.append((block, *[None] * 8, listed, n))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
+def _aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """A row per document with places in its block's list of pairs, and a row per block with that list."""
     def run(batches):
         from pyspark import TaskContext
-        block, known = TaskContext.get().partitionId() << 32, Stretches(Aligner(path_a, path_b))
-        rows, links, none = [], 0, np.zeros(0, np.int64)
-        for batch in batches:
-            for part in _parts(rows_of(batch, "doc_id", "text")):
-                cut = [(d, t, stretches_of(t)) for d, t in part]
-                unknown = list(dict.fromkeys(s for _, _, c in cut for s in c if s not in known.number))
-                if unknown and len(known.said) + len(unknown) > REMEMBERED:
-                    known.clear()
-                    unknown = list(dict.fromkeys(s for _, _, c in cut for s in c))
-                if unknown:
-                    known.learn(unknown)
-                for document, text, stretches in cut:
-                    found = known.whole(text, stretches)
-                    if found is None:
-                        rows.append((document, 0, 0, 0, 0, "", none, none))
-                        continue
-                    sizes, digest, pairs, times = found
-                    rows.append((document, *sizes.tolist(), digest, pairs, times))
-                    links += len(pairs)
-                    if links >= BLOCK:
-                        yield emit(block, rows)
-                        block, rows, links = block + 1, [], 0
-        if rows:
-            yield emit(block, rows)
-
+        return _aligned_batches(batches, Aligner(path_a, path_b), TaskContext.get().partitionId() << 32)
     return texts(docs).mapInArrow(run, _ALIGNED)
 
 
@@ -296,14 +343,14 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> tuple[DataFrame, DataFra
     """(documents, pairs): (block, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, places, times), and
     (block, place, pair, n, best): a block's pairs with the number of documents that hold them in all blocks."""
     rows = stored(_aligned(docs, path_a, path_b), "aligned")
-    listed = rows.filter("pairs IS NOT NULL").select(
+    listed = rows.filter("of_block").select(
         "block", F.posexplode(F.arrays_zip("pairs", "held")).alias("place", "p")).select(
         "block", "place", F.col("p.pairs").alias("pair"), F.col("p.held").cast("long").alias("held"))
     totals = stored(listed.groupBy("pair").agg(F.sum("held").alias("n")), "pair-totals")
     of_a = F.shiftright("pair", 32)
     top = totals.groupBy(of_a.alias("a")).agg(F.max("n").alias("most"))
     judged = totals.join(top, of_a == F.col("a")).select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
-    return (rows.filter("pairs IS NULL").drop("pairs", "held"),
+    return (rows.filter("NOT of_block").drop("pairs", "held", "of_block"),
             listed.drop("held").join(judged, "pair"))
 
 
