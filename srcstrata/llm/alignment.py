@@ -30,11 +30,11 @@ import hashlib
 import os
 import re
 from collections import Counter
-from collections.abc import Iterable
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,10 +43,14 @@ from srcstrata.llm.packing import byte_characters
 from srcstrata.session import stored
 
 # Remembered stretches, links of a block, characters cut, stretches aligned and encoded as one text at a time.
-REMEMBERED, BLOCK, BATCH, TOGETHER, SIDE_BY_SIDE = 200_000, 1_500_000, 500_000, 8192, 32
+REMEMBERED, BLOCK, BATCH, TOGETHER, SIDE_BY_SIDE = 300_000, 1_500_000, 500_000, 8192, 32
 
 # A single space between two other characters begins a stretch.
 STRETCH = re.compile(r"(?<=\S)(?= \S)")
+# A word and the signs after it: A always begins a token there, and B if no piece has both.
+WORD_AND_SIGNS = regex.compile(r"( \p{L}+)([^\w\s▁]+)")
+WORD_BEFORE_SIGN = regex.compile(r"\p{L}[^\w\s▁]")
+WORD = " a"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 _ALIGNED = ("block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
@@ -68,6 +72,9 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece goes on after a space: texts cannot be aligned in stretches")
+        signed = [p for i, p in enumerate(pieces) if not (
+            self.b.is_control(i) or self.b.is_unknown(i) or self.b.is_byte(i)) and WORD_BEFORE_SIGN.search(p)]
+        self.cuts_words = not signed  # no piece goes on from a word into the signs after it
         self.fallback = [bool(_BYTE.fullmatch(p)) for p in pieces]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if f else p.replace("▁", " ").encode()
                         for p, f in zip(pieces, self.fallback)]
@@ -137,38 +144,64 @@ class Stretches:
         self.sizes = np.zeros((0, 4), np.int64)  # n_a, n_b, n_groups, n_links; -1 where bytes differ
         self.starts, self.pairs, self.times = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn_all(self, stretches: Iterable[str]) -> None:
-        """Aligns the stretches that are not remembered; all of these are afterwards."""
-        stretches = list(dict.fromkeys(stretches))
-        unknown = [s for s in stretches if s not in self.number]
-        if len(self.said) + len(unknown) > REMEMBERED:
-            self.clear()
-            unknown = stretches
-        for start in range(0, len(unknown), TOGETHER):
-            self.learn(unknown[start:start + TOGETHER])
+    def learn_all(self, stretches: list[str], numbers: list[int | None]) -> np.ndarray:
+        """Numbers of stretches, with those aligned now that had none."""
+        if None in numbers:
+            unknown = list(dict.fromkeys(s for s, n in zip(stretches, numbers) if n is None))
+            if len(self.said) + len(unknown) > REMEMBERED:
+                self.clear()
+                unknown = list(dict.fromkeys(stretches))
+            for start in range(0, len(unknown), TOGETHER):
+                self.learn(unknown[start:start + TOGETHER])
+            numbers = list(map(self.number.__getitem__, stretches))
+        return np.array(numbers, np.int64)
 
     def learn(self, unknown: list[str]) -> None:
-        """Aligns new stretches: side by side those that begin with one space and end without any, others one by one."""
-        self.number.update(zip(unknown, range(len(self.said), len(self.said) + len(unknown))))
+        """Aligns new stretches: a word and the signs after it from what both are, others from their text."""
+        split = [WORD_AND_SIGNS.fullmatch(s) if self.aligner.cuts_words else None for s in unknown]
+        whole = dict.fromkeys(s if m is None else m[1] for s, m in zip(unknown, split))
+        signs = dict.fromkeys(m[2] for m in split if m is not None)
+        self._learn_whole([s for s in whole if s not in self.number], [s for s in signs if s not in self.number])
+        joined = [(s, m) for s, m in zip(unknown, split) if m is not None]
+        if not joined:
+            return
+        number = self.number
+        parts = np.array([(number[m[1]], number[m[2]]) for _, m in joined], np.int64)
+        sizes = self.sizes[parts].sum(1)
+        sizes[(self.sizes[parts, 0] < 0).any(1)] = -1
+        said = [f"{self.said[i]};{self.said[j]}" for i, j in parts.tolist()]
+        at, n = self.places(parts.ravel())
+        self._add([s for s, _ in joined], said, sizes, n.reshape(-1, 2).sum(1), self.pairs[at], self.times[at])
+
+    def _learn_whole(self, unknown: list[str], signs: list[str]) -> None:
+        """Side by side those that begin with one space and end without any, others one by one."""
         plain = [i for i, s in enumerate(unknown) if "▁" not in s and not s[-1].isspace() and not s[1].isspace()]
         found = self._plain([unknown[i] for i in plain]) if plain else None
         if found is None:
-            plain, found = [], ([], np.zeros((0, 4), np.int64), *[np.zeros(0, np.int64)] * 4)
+            plain = []
+        else:
+            self._add([unknown[i] for i in plain], *found)
         chosen = set(plain)
-        odd = [i for i in range(len(unknown)) if i not in chosen]
-        other = self._odd(self.aligner.encoded([unknown[i] for i in odd])) if odd else (
-            [], np.zeros((0, 4), np.int64), *[np.zeros(0, np.int64)] * 4)
-        said = dict(zip([*plain, *odd], [*found[0], *other[0]]))
-        self.said += [said[i] for i in range(len(unknown))]
-        order = np.argsort(np.array([*plain, *odd], np.int64))
-        counts = np.concatenate([found[2], other[2]])
-        starts = (np.cumsum(counts) - counts)[order]
-        counts = counts[order]
-        at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        self.sizes = np.concatenate([self.sizes, np.concatenate([found[1], other[1]])[order]])
+        odd = [s for i, s in enumerate(unknown) if i not in chosen]
+        if odd:
+            self._add(odd, *self._odd([self.aligner.aligned(*x) for x in self.aligner.encoded(odd)]))
+        if signs:  # after a word, which is taken off again
+            after = [self.aligner.aligned(*x) for x in self.aligner.encoded([f"{WORD}{s}" for s in signs])]
+            word, = (self.aligner.aligned(*x) for x in self.aligner.encoded([WORD]))
+            self._add(signs, *self._odd([None if x is None else (
+                x[0] - word[0], x[1] - word[1], x[2][len(word[2]):]) for x in after]))
+
+    def _add(self, stretches: list[str], said, sizes, counts, pairs, times) -> None:
+        self.number.update(zip(stretches, range(len(self.said), len(self.said) + len(stretches))))
+        self.said += said
+        self.sizes = np.concatenate([self.sizes, sizes])
         self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(counts))
-        self.pairs = np.append(self.pairs, np.concatenate([found[3], other[3]])[at])
-        self.times = np.append(self.times, np.concatenate([found[4], other[4]])[at])
+        self.pairs, self.times = np.append(self.pairs, pairs), np.append(self.times, times)
+
+    def places(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pairs of numbered stretches are, one after the other, and how many each has."""
+        n = self.starts[numbers + 1] - self.starts[numbers]
+        return np.repeat(self.starts[numbers] - (np.cumsum(n) - n), n) + np.arange(n.sum()), n
 
     def _plain(self, stretches: list[str]):
         """(digest texts, sizes, counts, pairs, times) of stretches, or None where a token has other bytes than its
@@ -221,11 +254,11 @@ class Stretches:
         return (said, sizes, np.bincount(where[new], minlength=len(stretches)), pairs[new],
                 np.diff(np.append(new, len(pairs))))
 
-    def _odd(self, encoded):
-        """The same one by one, with ends refined by bytes."""
+    @staticmethod
+    def _odd(aligned: list):
+        """The same of stretches that were aligned one by one."""
         said, sizes, counts, pairs, times = [], [], [], [], []
-        for stretch, encoding, proto in encoded:
-            found = self.aligner.aligned(stretch, encoding, proto)
+        for found in aligned:
             if found is None:
                 said.append("")
                 sizes.append((-1, -1, -1, -1))
@@ -246,21 +279,35 @@ class Stretches:
         return (said, np.array(sizes, np.int64).reshape(-1, 4),
                 *[np.array(x, np.int64) for x in (counts, pairs, times)])
 
-    def whole(self, text: str, stretches: list[str]):
-        """Sizes, digest text, distinct pairs and how often each is linked; None without tokens."""
-        if not stretches:
-            return None
-        numbers = np.fromiter(map(self.number.__getitem__, stretches), np.int64, len(stretches))
-        sizes = self.sizes[numbers].sum(0)
-        if (self.sizes[numbers, 0] < 0).any():
-            return None
-        used, often = np.unique(numbers, return_counts=True)
-        n = self.starts[used + 1] - self.starts[used]
-        at = np.repeat(self.starts[used] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        pairs, place = np.unique(self.pairs[at], return_inverse=True)
-        times = np.bincount(place, self.times[at] * np.repeat(often, n), len(pairs)).astype(np.int64)
-        digest = hashlib.sha256(";".join([self.said[i] for i in numbers.tolist()]).encode()).hexdigest()
-        return sizes, digest, pairs, times
+    def whole(self, texts: list[str]):
+        """Per text: its sizes, digest, distinct pairs and how often each is linked; None where it has no tokens."""
+        cut = [stretches_of(t) for t in texts]
+        flat = list(chain.from_iterable(cut))
+        numbers = self.learn_all(flat, list(map(self.number.get, flat)))
+        ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
+        starts = np.append(0, ends[:-1])
+        sums = np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(
+            np.column_stack([self.sizes[numbers], self.sizes[numbers, 0] < 0]), axis=0)])
+        sizes = sums[ends] - sums[starts]
+        held = (sizes[:, 4] == 0) & (ends > starts)
+        owner = np.repeat(np.arange(len(texts)), ends - starts)
+        kept = held[owner]
+        at, n = self.places(numbers[kept])
+        owner, pairs, times = np.repeat(owner[kept], n), self.pairs[at], self.times[at]
+        order = np.lexsort((pairs, owner))
+        owner, pairs, times = owner[order], pairs[order], times[order]
+        new = np.append(True, (owner[1:] != owner[:-1]) | (pairs[1:] != pairs[:-1])).nonzero()[0] if len(order) else order
+        owner, pairs = owner[new], pairs[new]
+        times = np.add.reduceat(times, new) if len(new) else times
+        bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+        said, listed = self.said.__getitem__, numbers.tolist()
+        for i, (has, start, end, low, high) in enumerate(zip(
+                held.tolist(), starts.tolist(), ends.tolist(), bounds.tolist(), bounds[1:].tolist())):
+            if not has:
+                yield None
+                continue
+            digest = hashlib.sha256(";".join(map(said, listed[start:end])).encode()).hexdigest()
+            yield sizes[i, :4].tolist(), digest, pairs[low:high], times[low:high]
 
 
 def stretches_of(text: str) -> list[str]:
@@ -301,15 +348,12 @@ def _aligned_batches(batches, aligner: Aligner, block: int):
     rows, links, none = [], 0, np.zeros(0, np.int64)
     for batch in batches:
         for part in _parts(rows_of(batch, "doc_id", "text")):
-            cut = [(d, t, stretches_of(t)) for d, t in part]
-            known.learn_all(s for _, _, c in cut for s in c)
-            for document, text, stretches in cut:
-                found = known.whole(text, stretches)
+            for (document, _), found in zip(part, known.whole([t for _, t in part])):
                 if found is None:
                     rows.append((document, 0, 0, 0, 0, "", none, none))
                     continue
                 sizes, digest, pairs, times = found
-                rows.append((document, *sizes.tolist(), digest, pairs, times))
+                rows.append((document, *sizes, digest, pairs, times))
                 links += len(pairs)
                 if links >= BLOCK:
                     yield _emitted(block, rows)
