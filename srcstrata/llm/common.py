@@ -34,5 +34,15 @@ def hex64(value: Column) -> Column:
     return F.lpad(F.lower(F.hex(value)), 16, "0")
 
 
+def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns named c0, c1, ... and the new name of each old one.
+
+    Whatever the input's names, they then cannot clash with columns an operator
+    adds; ``toDF`` of the old names brings them back.
+    """
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*inner), dict(zip(reversed(docs.columns), reversed(inner)))
+
+
 def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*(batch.column(n).to_pylist() for n in names))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcstrata.llm.bloom import flagged, seen_twice
-from srcstrata.llm.common import lower_ascii
+from srcstrata.llm.common import lower_ascii, plain_names
 from srcstrata.session import stored
 
 HASH = "__text_sha256"
@@ -54,8 +54,9 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    hashed = docs.withColumn(HASH, text_hash(F.col("text")))
+    plain, name = plain_names(docs)
+    hashed = plain.withColumns({"doc_id": F.col(name["doc_id"]).cast("long"), HASH: text_hash(F.col(name["text"]))})
     alone, maybe, groups = _split(hashed)
     kept = (maybe.join(groups, (F.col(HASH) == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__keep_id")))
             .dropDuplicates([HASH]))
-    return alone.select(docs.columns).unionByName(kept.select(docs.columns))
+    return alone.select(plain.columns).unionByName(kept.select(plain.columns)).toDF(*docs.columns)

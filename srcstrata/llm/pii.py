@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcstrata.llm.bloom import flagged, seen_once, seen_twice
+from srcstrata.llm.common import plain_names
 from srcstrata.session import stored
 
 SUPPORT, GENERALISE, REMOVE, CHANCE = 3, 0.75, 0.95, 0.01
@@ -173,7 +174,7 @@ def _mentions(held: DataFrame) -> DataFrame:
 def disclosive_terms(held: DataFrame, texts: DataFrame, n_docs: int) -> DataFrame:
     """(entity, term, disclosure) at or above ``GENERALISE``.
 
-    ``held(__id, __hash, __keys, __words, __inner)`` has a row per document with
+    ``held(__id, __hash, __keys, __words, __inner, __cut)`` has a row per document with
     entities, ``texts(__text)`` all documents. Pairs are counted first; a bounded
     filter of their terms then picks the words of the corpus that have to be counted.
     """
@@ -183,8 +184,10 @@ def disclosive_terms(held: DataFrame, texts: DataFrame, n_docs: int) -> DataFram
     # Stored before it is joined, so that the pairs of a key that most documents have can be split.
     entities = stored(held.select(F.explode("__keys").alias("entity")).groupBy("entity")
                       .agg(F.count("*").alias("n_entity")), "pii-counts")
+    # A term counts in a document where it stands outside of entities, here as in the pairs: words cut by an entity's
+    # border count as what is left of them.
     words = (texts.select(F.explode(_distinct_terms(F.col("__text"))).alias("term"), F.lit(1).alias("n"))
-             .union(held.select(F.explode("__inner"), F.lit(-1))))
+             .union(held.select(F.explode("__inner"), F.lit(-1))).union(held.select(F.explode("__cut"), F.lit(1))))
     known = flagged(words, "term", seen_once(pairs.select("term").distinct(), "term"), "__maybe")
     frequency = known.filter("__maybe").groupBy("term").agg(F.sum("n").alias("n_term"))
     n, both, n_term = F.lit(float(max(n_docs, 1))), F.col("both"), F.col("n_term")
@@ -211,7 +214,8 @@ def term_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = base.filter(F.size("__all") > 0).select(
         "__id", "__hash", F.array_distinct(F.flatten(F.transform("__all", _keys))).alias("__keys"),
         _terms("__text").alias("__words"), _distinct_terms(F.col("__text")).alias("__every"))
-    held = stored(held.withColumn("__inner", F.array_except("__every", "__words")).drop("__every"), "pii-terms")
+    held = stored(held.withColumns({"__inner": F.array_except("__every", "__words"),
+                                    "__cut": F.array_except("__words", "__every")}).drop("__every"), "pii-terms")
     terms = stored(disclosive_terms(held, keyed.select("__text"), docs.count()), "pii-disclosive")
     pair = F.xxhash64("entity", "term")
     wanted = seen_once(terms.select(pair.alias("__pair")), "__pair")
@@ -278,12 +282,12 @@ def sanitise(docs: DataFrame) -> DataFrame:
     their terms and shuffled.
     """
     _, hits = term_spans(docs)
-    names = docs.columns
-    found = with_entities(docs.withColumns({
-        "__id": F.col("doc_id").cast("long"), "__text": F.coalesce("text", F.lit("")),
-        "__hash": F.xxhash64(F.coalesce("text", F.lit("")))}), "__text")
-    clean = found.filter(F.size("__all") == 0).select(names)
-    changed = _joined(found.filter(F.size("__all") > 0), hits).withColumn("text", _rewritten("__text"))
-    if "n_chars" in names:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.unionByName(changed.select(names))
+    plain, name = plain_names(docs)
+    text = F.coalesce(F.col(name["text"]), F.lit(""))
+    found = with_entities(plain.withColumns({
+        "__id": F.col(name["doc_id"]).cast("long"), "__text": text, "__hash": F.xxhash64(text)}), "__text")
+    clean = found.filter(F.size("__all") == 0).select(plain.columns)
+    changed = _joined(found.filter(F.size("__all") > 0), hits).withColumn(name["text"], _rewritten("__text"))
+    if "n_chars" in name:
+        changed = changed.withColumn(name["n_chars"], F.length(name["text"]).cast(docs.schema["n_chars"].dataType))
+    return clean.unionByName(changed.select(plain.columns)).toDF(*docs.columns)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from srcstrata.llm.common import plain_names
+
 # Rules fail where the condition holds. The position in this list is the bit.
 RULES = [
     ("few_words", "n_words < 50"),
@@ -147,7 +149,6 @@ def keep(docs: DataFrame, policy: str = "v1") -> DataFrame:
 
     Columns are renamed while they pass through, so any names will do.
     """
-    inner = [f"c{i}" for i in range(len(docs.columns))]
-    renamed = docs.toDF(*inner)
-    held = renamed.withColumn("text", F.col(inner[docs.columns.index("text")]))
-    return ledger(held, inner).filter(passes(policy)).select(inner).toDF(*docs.columns)
+    plain, name = plain_names(docs)
+    held = plain.withColumn("text", F.col(name["text"]))
+    return ledger(held, plain.columns).filter(passes(policy)).select(plain.columns).toDF(*docs.columns)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcstrata.llm.bloom import flagged, seen_once
-from srcstrata.llm.common import hex64, texts
+from srcstrata.llm.common import hex64, plain_names, texts
 from srcstrata.llm.components import components
 from srcstrata.session import stored
 
@@ -195,9 +195,10 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
     drop = stored(verdicts.filter("doc_id IS NOT NULL").groupBy("doc_id")
                   .agg(F.min(F.col("doc_id") != F.col("component_id")).alias("goes"))
                   .filter("goes").select("doc_id"), "simhash-drop")
-    marked = flagged(docs.withColumn("__id", F.col("doc_id").cast("long")), "__id",
+    plain, name = plain_names(docs)
+    marked = flagged(plain.withColumn("__id", F.col(name["doc_id"]).cast("long")), "__id",
                      seen_once(drop, "doc_id"), "__maybe")
     gone = drop.withColumnRenamed("doc_id", "__gone")
     checked = marked.filter("__maybe").join(gone, F.col("__id") == F.col("__gone"), "left_anti")
-    return (marked.filter("__id IS NULL OR NOT __maybe").select(docs.columns)
-            .unionByName(checked.filter("__id IS NOT NULL").select(docs.columns)))
+    return (marked.filter("__id IS NULL OR NOT __maybe").select(plain.columns)
+            .unionByName(checked.filter("__id IS NOT NULL").select(plain.columns)).toDF(*docs.columns))
