@@ -3,17 +3,18 @@
 A page is a sequence of tokens: words score positive, tags negative. The region
 with the highest sum, found in one linear scan, is the content (Pasternack and
 Roth 2009). Weights are fitted on labelled pages: pages whose own markup names
-their content element. Inside and outside of it, words and every tag are
-counted; a tag's weight is its log odds, kept below zero, and the weight of a
-word the log odds of words, kept above it. The tags of a page's outermost content
-elements count for no weight and no region goes across them; nested ones are
-weighted like other tags. The sample of labelled
-pages is bounded: ``SAMPLE`` pages with the smallest hash of their html.
+their content element. Inside of it and everywhere else, menus, headers, footers and
+adverts included, words and every tag are counted; a tag's weight is its log
+odds, kept below zero, and the weight of a word the log odds of words, kept
+above it. No tag bars a region: articles side by side are one region where
+their words outweigh the tags between them. The sample of labelled pages is
+bounded: ``SAMPLE`` pages with the smallest hash of their html, and the ``NAMES``
+most frequent of their tag names, others having the weight of unknown tags.
 
 Elements that never are content (menus, headers, footers, forms, adverts,
 notices, comments and the like, by element name, role, or a class or id with a
-token that says so) belong to no region: they neither score nor count for the
-weights, and their text is left out where a region spans them. Content elements
+token that says so) score nothing, and their text is left out where a region
+spans them. Content elements
 and what holds the page's content are exempt, unless hidden. Text of scripts,
 styles and comments is no text.
 
@@ -34,9 +35,9 @@ from pyspark.sql import functions as F
 
 from srcstrata.llm.common import rows_of
 
-SAMPLE, LEAST, NEVER = 2000, 0.01, -1e6
+SAMPLE, NAMES, LEAST = 2000, 10_000, 0.01
 CONTENT = {"article", "main"}
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select")
+RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select")
 BOILERPLATE = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "head", "figure-ad",
                "label", "fieldset", "option", "input", "address"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i",
@@ -55,11 +56,9 @@ NEUTRAL = re.compile(
     r"|[0-9]+|site|page|main|global|primary|secondary|top|bottom|left|right|upper|lower|fixed|sticky|mobile|desktop|"
     r"box|bar|wrap|wrapper|container|area|block|section|inner|outer|panel|slot|unit|list|links?|items?|buttons?|icons?|"
     r"form|posts?|stories", re.IGNORECASE)
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?P<rawattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|$))"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
-    re.DOTALL | re.IGNORECASE)
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+ATTRIBUTES = re.compile(r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+")
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW}
 # Attributes one by one; a quoted value is part of its attribute, and quotes without a name are no attribute.
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
@@ -98,62 +97,123 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
     element that holds the page's main elements, or all of its articles where it
     has no main element, is no boilerplate by its class, id or role.
     """
-    around: dict[str, set[int]] = {}
+    around: dict[str, _Common] = {}
     found = list(_tokens(page, set(), around))
-    holders = around.get("main", around.get("article"))
+    common = around.get("main", around.get("article"))
+    holders = set(common.starts[:common.length]) if common else ()
     return list(_tokens(page, holders, {})) if holders else found
 
 
-def _tokens(page: str, holders: set[int], around: dict[str, set[int]]):
+def scanned(page: str):
+    """(kind, value, start) of every piece in page order: ``text``, ``raw``, ``open`` and ``close`` with the tag's name,
+    ``open`` with its attributes as a fourth.
+
+    Linear in the page: a piece is consumed once. A tag whose quotes never close
+    ends at its first ``>``, and so do the tags after it; what looks like a tag
+    but has no ``>`` after it is text; a comment or raw element that never ends
+    goes to the end.
+    """
+    at, said, strict, last = 0, 0, True, page.rfind(">")
+    while (start := page.find("<", at)) >= 0:
+        name = None
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            end = len(page) if end < 0 else end + 3
+        elif page.startswith(("<!", "<?"), start):
+            closing = "]]>" if page.startswith("<![CDATA[", start) else ">"
+            end = page.find(closing, start)
+            end = len(page) if end < 0 else end + len(closing)
+        else:
+            name = NAME.match(page, start + 1) if start < last else None
+            if name is None:
+                at = start + 1
+                continue
+            end = ATTRIBUTES.match(page, name.end()).end() if strict else -1
+            if end < 0 or end == len(page) or page[end] != ">":
+                strict, end = False, page.find(">", name.end())
+            end += 1
+        if start > said:
+            yield "text", page[said:start], said
+        if name is not None:
+            value, attributes = name[0].lower(), page[name.end():end - 1]
+            if value[0] == "/":
+                yield "close", value[1:], start
+            elif value in RAW_END:
+                if not attributes.endswith("/"):
+                    closed = RAW_END[value].search(page, end)
+                    end = closed.end() if closed else len(page)
+                yield "raw", value, start
+            else:
+                yield "open", value, start, attributes
+        at = said = end
+    if said < len(page):
+        yield "text", page[said:], said
+
+
+class _Common:
+    """Elements open around all places of a kind, as the length of a part of the first place's stack."""
+
+    def __init__(self, starts: list[int]):
+        self.starts, self.length, self.low = starts, len(starts), len(starts)
+
+
+def _tokens(page: str, holders: set[int], around: dict[str, _Common]):
     """Tokens of a page; elements that start at ``holders`` hold content.
 
     ``around`` gets, per kind of content element, where the elements start that
     would be boilerplate by what they say and are open around all of that kind.
     """
     open_elements: list[tuple[str, bool, bool]] = [("", False, False)]  # name, outside, content
+    opened: dict[str, int] = {}  # how many open elements have a name
     said: list[tuple[int, int]] = []  # depth and start of open elements that say they are boilerplate
     surely = 0  # depth of the outermost open element that is boilerplate whatever it holds
-    at = 0
-    for found in TOKEN.finditer(page):
-        if found.start() > at:
-            yield "text", page[at:found.start()], *open_elements[-1][1:]
-        at = found.end()
-        name = (found["name"] or "").lower()
-        if not name:
-            if found["raw"]:
-                yield found["raw"].lower(), "", True, open_elements[-1][2]
-            continue
+
+    def close(depth: int) -> None:
+        nonlocal surely
+        for name, _, _ in open_elements[depth:]:
+            opened[name] -= 1
+        del open_elements[depth:]
+        if said and said[-1][0] >= depth:
+            while said and said[-1][0] >= depth:
+                said.pop()
+            for common in around.values():
+                common.low = min(common.low, len(said))
+        surely = 0 if surely >= depth else surely
+
+    for kind, name, start, *rest in scanned(page):
         _, outside, content = open_elements[-1]
-        if found["close"]:
-            depth = next((i for i in range(len(open_elements) - 1, 0, -1) if open_elements[i][0] == name), 0)
-            if depth:
+        if kind == "text":
+            yield "text", name, outside, content
+            continue
+        if kind == "raw":
+            yield name, "", True, content
+            continue
+        if kind == "close":
+            if opened.get(name):
+                depth = next(i for i in range(len(open_elements) - 1, 0, -1) if open_elements[i][0] == name)
                 outside = open_elements[depth][1]
-                del open_elements[depth:]
-                while said and said[-1][0] >= depth:
-                    said.pop()
-                surely = 0 if surely >= depth else surely
+                close(depth)
             yield name, "", outside, open_elements[-1][2]
             continue
+        attributes = rest[0]
         if name not in INLINE and open_elements[-1][0] in CLOSED_BY_BLOCK and name != "br":
-            open_elements.pop()
-            while said and said[-1][0] >= len(open_elements):
-                said.pop()
-            surely = 0 if surely >= len(open_elements) else surely
+            close(len(open_elements) - 1)
             _, outside, content = open_elements[-1]
-        says = is_boilerplate(name, found["attrs"], found.start() in holders)
+        says = is_boilerplate(name, attributes, start in holders)
         away = outside or says
         yield name, "", away, content
         if name in CONTENT and not content and not surely:
-            starts = {start for _, start in said}
-            around[name] = around[name] & starts if name in around else starts
-        if name not in VOID and not found["attrs"].endswith("/"):
-            if says and is_boilerplate(name, found["attrs"], True):
+            if name not in around:
+                around[name] = _Common([s for _, s in said])
+            common = around[name]
+            common.length = common.low
+        if name not in VOID and not attributes.endswith("/"):
+            if says and is_boilerplate(name, attributes, True):
                 surely = surely or len(open_elements)
             elif says:
-                said.append((len(open_elements), found.start()))
+                said.append((len(open_elements), start))
             open_elements.append((name, away, content or name in CONTENT))
-    if at < len(page):
-        yield "text", page[at:], *open_elements[-1][1:]
+            opened[name] = opened.get(name, 0) + 1
 
 
 def words_in(text: str) -> int:
@@ -176,11 +236,9 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     """Text of the best region, its blocks joined by one space."""
     parts = tokens(page)
     scores = []
-    for kind, value, outside, content in parts:
+    for kind, value, outside, _ in parts:
         if outside:
             scores.append(0.0)
-        elif kind in CONTENT and not content:
-            scores.append(NEVER)
         elif kind == "text":
             scores.append(weights["word"] * words_in(value))
         else:
@@ -200,19 +258,17 @@ def counted(page: str) -> dict[str, list[int]]:
     """Words and tags of a labelled page, inside and outside of its content."""
     counts: dict[str, list[int]] = {}
     for kind, value, outside, content in tokens(page):
-        if outside or kind in CONTENT and not content:
-            continue
         n = words_in(value) if kind == "text" else 1
-        place = 0 if content else 1
+        place = 0 if content and not outside else 1
         counts.setdefault("word" if kind == "text" else kind, [0, 0])[place] += n
     return counts
 
 
-def fitted(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
+def fitted(pages: DataFrame, sample: int = SAMPLE, names: int = NAMES) -> dict[str, float]:
     """Weights of words and tags; ``tag`` is the weight of a tag that no labelled page has.
 
     Reads the ``sample`` labelled pages with the smallest hash of their html;
-    what comes to the driver is one row per tag name.
+    what comes to the driver is a row for each of the ``names`` most frequent tags.
     """
     def count(batches):
         for batch in batches:
@@ -233,7 +289,7 @@ def fitted(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
     labelled = labelled.filter(F.col("hash") <= F.lit(cut).cast("long")).select("html")
     rows = (labelled.mapInArrow(count, "name string, inside long, outside long").groupBy("name")
             .agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-            .orderBy(F.desc(F.col("inside") + F.col("outside")), "name").limit(500).collect())
+            .orderBy(F.desc(F.col("inside") + F.col("outside")), "name").limit(names).collect())
     return weights_of({r["name"]: (r["inside"], r["outside"]) for r in rows})
 
 

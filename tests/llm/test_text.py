@@ -443,19 +443,45 @@ def test_raw_elements_that_close_themselves(raw):
 
 
 def test_nested_content_elements(spark):
-    """Only the outer boundary of the outermost content element bars a region."""
+    """Content elements side by side and in each other are one region."""
     a, b, c, d = (f"{w} words of a text " * 8 for w in ("First", "second", "third", "fourth"))
     whole = " ".join(f"{a}{b}{c}{d}".split())
     menu = "<nav>menu</nav><div>Site name</div>"
     given = [f"{menu}<article><p>{a}</p><article>{b}</article><p>{c}</p><p>{d}</p></article><div>end</div>",
              f"{menu}<main><p>{a}</p><article><p>{b}</p></article><article>{c}</article><article>{d}</article></main>",
              f"{menu}<main><article>{a}<section><p>{b}</p></section></article><section>{c}</section>{d}</main><p>end</p>",
-             f"{menu}<article>{a}{b}{c}{d}</article><article>{'other words ' * 3}</article>"]
+             f"{menu}<article>{a}{b}</article><nav>more</nav><article>{c}{d}</article>"]
     pages = spark.createDataFrame([(i, "u", p) for i, p in enumerate(given)], "page_id long, url string, html string")
     assert [r.text for r in html.extract(pages).orderBy("page_id").collect()] == [whole] * 4
     assert [html.main_text(p, {"word": 1.0, "tag": -1.0}) for p in given] == [whole] * 4
 
 
+def test_weights_decide_where_nothing_is_named(spark):
+    """Pages of the table with their articles' tags and all named elements turned into plain ones."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = html.fitted(pages)
+    named = re.compile(r"<(/?)(?:article|main|nav|header|footer|aside|section)\b[^>]*>|(<div) class=[^>]*>")
+    right = whole = 0
+    for r in pages.collect():
+        expected = html.main_text(r.html, weights)
+        plain = named.sub(lambda m: f"<{m[1]}div>" if m[2] is None else "<div>", r.html)
+        assert "<article" not in plain and "class=" not in plain
+        right += html.main_text(plain, weights) == expected
+        whole += html.main_text(plain, {"word": 1.0, "tag": 0.0}) == expected
+    assert right >= 0.98 * pages.count() and whole == 0
+
+
+@pytest.mark.parametrize("hostile", [
+    "<script " * 125_000, "<a " * 330_000, "<div>" * 100_000 + "</b>" * 125_000, "<a title='>" * 90_000, "<p>" * 330_000,
+    "<div class=ads>" * 30_000 + "<article></article>" * 28_000, "<!-- " * 200_000, "<" * 1_000_000, "</" * 500_000,
+    "<a" + " " * 1_000_000, "<a<" * 300_000 + ">", '<a "x' * 170_000 + ">", "&#" * 500_000])
+def test_long_hostile_pages_take_seconds(hostile):
+    import time
+    start = time.time()
+    html.main_text(hostile, {"word": 1.0, "tag": -1.0})
+    assert time.time() - start < 30  # a megabyte; one or two seconds on an idle machine
+
+
 def test_best_region_against_all_regions():
     draw = np.random.default_rng(2)
     for n in range(40):
