@@ -95,8 +95,8 @@ def url_problem(url: Column) -> Column:
 
 
 def instant(c: Column) -> Column:
-    """ISO-8601 text with an offset to a timestamp."""
-    return F.to_timestamp(c)
+    """ISO-8601 text with an offset to a timestamp; null where it is none."""
+    return F.try_to_timestamp(c)
 
 
 def short_commit(sha: Column) -> Column:

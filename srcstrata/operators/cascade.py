@@ -19,8 +19,7 @@ def cascade_delete(tables: dict[str, DataFrame], root: str, ids: DataFrame
     Tables are visited parents first. Through a CASCADE key a row goes with its
     parent; through a SET NULL key only the named columns are emptied. The keys
     removed from a parent are stored, so that its children neither find them
-    again nor have to guess their size; the tables themselves stay lazy. An
-    emptied branch is part of a file's key, so its classes go with the file.
+    again nor have to guess their size; the tables themselves stay lazy.
     """
     ids = ids.select("id").distinct()
     unknown = ids.join(tables[root].select("id"), "id", "left_anti")
@@ -84,8 +83,8 @@ def _carry_keys(out: dict[str, DataFrame], removed: dict[str, DataFrame], root:
                 ) -> dict[str, DataFrame]:
     """Classes, methods and dependencies follow their file's emptied branch.
 
-    They hold the file's natural key, so the branch column of that key is
-    emptied along with it; otherwise they would lose their file.
+    They name the branch next to the file's key, so it is emptied along with the
+    file's; the key stays, and with it the file they belong to.
     """
     if root != "branches":
         return out

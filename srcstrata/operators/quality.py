@@ -121,23 +121,46 @@ def foreign_key_violations(tables: dict[str, DataFrame]) -> DataFrame:
 
     A null where the parent's column is NOT NULL is no reference and passes. Where
     the parent's column may be null, as a file's branch, null is part of the key.
+
+    Every table is read once: a row gives an entry for each key it holds and each
+    key it names. All entries are aggregated together by (key, values), counts per
+    naming column before the one shuffle, so a key that most rows name is a row
+    per task by then.
     """
-    parts = []
+    named_by: dict[tuple[str, tuple[str, ...]], list[tuple[str, ForeignKey]]] = {}
     for name, table in TABLES.items():
         for fk in table.foreign_keys:
             if name in tables and fk.parent in tables:
-                parts.append(_missing_parents(name, tables[name], tables[fk.parent], fk))
-    return _union(parts)
+                named_by.setdefault((fk.parent, fk.parent_columns), []).append((name, fk))
+    if not named_by:
+        raise ValueError("no table with its parent")
+    keys = list(named_by)
+    values = [f"k{i}" for i in range(max(len(columns) for _, columns in keys))]
 
+    def entry(key: int, slot: int, columns) -> Column:
+        padded = [F.col(c).cast("string") for c in columns] + [F.lit(None).cast("string")] * (len(values) - len(columns))
+        return F.struct(F.lit(key).alias("key"), F.lit(slot).alias("slot"), *[c.alias(v) for c, v in zip(padded, values)])
 
-def _missing_parents(name: str, child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFrame:
-    always = TABLES[fk.parent].required
-    named = child.dropna(subset=[c for c, p in zip(fk.columns, fk.parent_columns) if p in always]
-                         ).groupBy(*fk.columns).agg(F.count("*").alias("n"))
-    keys = parent.select(*[F.col(p).alias(c) for c, p in zip(fk.columns, fk.parent_columns)])
-    return null_safe_join(named, keys, fk.columns, "left_anti").select(
-        F.lit(name).alias("table_name"), F.lit(_reference_rule(fk)).alias("rule"),
-        key_text(fk.columns).alias("key"), F.col("n").cast("string").alias("detail"))
+    parts = []
+    for name, rows in tables.items():
+        entries = [entry(i, -1, columns) for i, (parent, columns) in enumerate(keys) if parent == name]
+        for i, key in enumerate(keys):
+            for slot, (child, fk) in enumerate(named_by[key]):
+                if child == name:
+                    always = [c for c, p in zip(fk.columns, fk.parent_columns) if p in TABLES[fk.parent].required]
+                    named = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in always], F.lit(True))
+                    entries.append(F.when(named, entry(i, slot, fk.columns)))
+        if entries:
+            parts.append(rows.select(F.explode(F.array(*entries)).alias("e")).filter("e IS NOT NULL").select("e.*"))
+    slots = range(max(map(len, named_by.values())))
+    counted = _union(parts).groupBy("key", *values).agg(
+        F.max(F.col("slot") < 0).alias("held"), *[F.sum((F.col("slot") == s).cast("long")).alias(f"n{s}") for s in slots])
+    rule = {(i, s): (child, _reference_rule(fk), key_text(values[:len(fk.columns)]))
+            for i, key in enumerate(keys) for s, (child, fk) in enumerate(named_by[key])}
+    hits = F.array(*[F.when((F.col("key") == i) & (F.col(f"n{s}") > 0), F.struct(
+        F.lit(child).alias("table_name"), F.lit(said).alias("rule"), text.alias("key"),
+        F.col(f"n{s}").cast("string").alias("detail"))) for (i, s), (child, said, text) in rule.items()])
+    return counted.filter("NOT held").select(F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("hit")).select("hit.*")
 
 
 def orphan_rows(child: DataFrame, parent: DataFrame, columns, parent_columns) -> DataFrame:

@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcstrata.functions import patterns as P
 from srcstrata.functions.text import fallback_class_name
+from srcstrata.operators.bitmap import bitmap, maybe_in
 from srcstrata.operators.relational import null_safe_join
-from srcstrata.operators.symbols import class_matches, method_matches
+from srcstrata.operators.symbols import class_matches, file_key, method_matches
 from srcstrata.schemas import FILE_KEY
+from srcstrata.session import shared_folder, stored
 
 _BRANCH = ("repository_id", "branch_id")
 
@@ -27,9 +29,9 @@ def file_names(files: DataFrame) -> DataFrame:
         F.array_distinct(F.flatten(F.transform(
             lines, lambda line: F.regexp_extract_all(line, F.lit(P.IDENTIFIER), F.lit(0))))
         ).alias("tokens"))
-    stored = F.when(F.size("names") > 0, F.array_distinct("names")).when(
+    kept = F.when(F.size("names") > 0, F.array_distinct("names")).when(
         F.col("n_methods") > 0, F.array(fallback_class_name(F.col("path")))).otherwise(F.col("names"))
-    return found.select(*FILE_KEY, stored.alias("class_names"), "tokens")
+    return found.select(*FILE_KEY, kept.alias("class_names"), "tokens")
 
 
 def class_definitions(named: DataFrame) -> DataFrame:
@@ -59,9 +61,11 @@ def class_dependencies(named: DataFrame, definitions: DataFrame | None = None) -
             tagged(F.array_intersect("tokens", names), 1),
             tagged(F.array_except("tokens", names), 0)))).alias("use"),
     ).filter("use IS NOT NULL").select(*FILE_KEY, "source_class", "use.*")
-    defined = (definitions.groupBy(*_BRANCH, F.col("name").alias("target_class"))
-               .agg(F.count("*").alias("n_files")))
-    return (null_safe_join(uses, defined, (*_BRANCH, "target_class"), "inner")
+    key = (*_BRANCH, "target_class")
+    defined = stored(definitions.groupBy(*_BRANCH, F.col("name").alias("target_class"))
+                     .agg(F.count("*").alias("n_files")), "definitions")
+    # Most tokens are no class's name; a bounded bitmap of the names keeps these out of the shuffle.
+    return (null_safe_join(maybe_in(uses, bitmap(defined, *key), *key), defined, key, "inner")
             .withColumn("target_files", F.col("n_files") - F.col("own")).filter("target_files > 0")
             .select(*_BRANCH, F.col("path").alias("source_path"), "source_class", "target_class",
                     "target_files"))
@@ -80,7 +84,7 @@ def dependency_rows(edges: DataFrame) -> DataFrame:
     are the classes of that name in the branch, other than the source file's.
     """
     return edges.select(*_BRANCH, "source_path", "source_class", "target_class", "target_files",
-                        F.lit("reference").alias("dependency_type"))
+                        F.lit("reference").alias("dependency_type"), file_key("source_path"))
 
 
 def symbol_search(classes: DataFrame, methods: DataFrame, prefix: str) -> DataFrame:
@@ -91,80 +95,106 @@ def symbol_search(classes: DataFrame, methods: DataFrame, prefix: str) -> DataFr
     return hits(classes, "class").unionByName(hits(methods, "method"))
 
 
-# Request vectors handled per pass: 4096 x 1024 doubles are 32 MB per task.
-QUERIES_PER_PASS = 4096
+# Requests of a block, and vectors a task holds at a time: their product is 32 MB of doubles.
+REQUESTS_PER_BLOCK, VECTORS_PER_PASS = 256, 16_384
 
 
 def semantic_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Exact cosine top-k: ``query_id, rank, vec_id``; equal scores by id.
 
-    ``queries`` (query_id, embedding) are search requests; ``vectors`` (vec_id,
-    embedding) may be of any size. Each task scores Arrow batches against the
-    requests with one matrix product and keeps k rows per request, so no pair
-    is emitted; the rows of all tasks are then ranked. More requests than fit
-    one pass are answered in further passes. A zero vector has no cosine and is
-    never returned.
+    ``queries`` (query_id, embedding) are search requests, ``vectors`` (vec_id,
+    embedding) what is searched; both may be of any size. The requests are
+    written to the shared folder in blocks. A task reads its vectors once, and
+    for every ``VECTORS_PER_PASS`` of them streams the blocks against them with
+    one matrix product each, keeping k rows per request: no pair is emitted,
+    nothing passes the driver, and a task holds one block next to its vectors.
+    The rows of all tasks are then cut to k per request before they are shuffled
+    and ranked. Vectors without any length have no cosine and are never returned;
+    nulls, and embeddings of another length than the request's, have none either.
     """
-    passes = []
-    chunk: list = []
-    for row in queries.select("query_id", F.col("embedding").cast("array<double>")).toLocalIterator():
-        chunk.append(row)
-        if len(chunk) == QUERIES_PER_PASS:
-            passes.append(_one_pass(chunk, vectors, k))
-            chunk = []
-    if chunk or not passes:
-        passes.append(_one_pass(chunk, vectors, k))
-    best = passes[0]
-    for further in passes[1:]:
-        best = best.unionByName(further)
-    return best
-
-
-def _one_pass(requests: list, vectors: DataFrame, k: int) -> DataFrame:
-    ids = np.array([r[0] for r in requests], dtype=np.int64)
-    matrix = np.array([r[1] for r in requests], dtype=np.float64)
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, q = shared.value
-        kept: dict[int, list] = {int(i): [] for i in query_ids}
-        for batch in batches:
-            if len(batch) and len(query_ids):
-                _score_batch(batch, query_ids, q, k, kept)
-        rows = [(i, v, s) for i, top in kept.items() for s, v in ((-n, v) for n, v in top)]
-        yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype(
-            {"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    local = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")
-                           ).mapInPandas(search, "query_id long, vec_id long, score double")
+    folder = shared_folder(queries.sparkSession, "requests")
+    (queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>"))
+     .filter("embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL)")
+     .write.option("maxRecordsPerFile", REQUESTS_PER_BLOCK).parquet(folder))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, matrix in _passes(batches):
+            for query_ids, requests in _blocks(folder, matrix.shape[1]):
+                yield _best(query_ids, requests, ids, matrix, k)
+
+    found = (vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+             .filter("embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL)")
+             .mapInArrow(search, "query_id long, vec_id long, score double"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
-    return (local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id"))
 
 
-def _score_batch(batch: pd.DataFrame, query_ids, q, k: int, kept: dict[int, list]) -> None:
-    """Adds a batch's best rows to ``kept``: lists of (-score, vec_id), ascending.
+def _matrices(batch, name: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of a batch's embeddings, per length; those without any length are left out."""
+    ids, column = batch.column(name).to_numpy(zero_copy_only=False), batch.column("embedding")
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lengths = np.diff(column.offsets.to_numpy())
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    starts = np.cumsum(lengths) - lengths
+    for width in np.unique(lengths[lengths > 0]):
+        at = np.flatnonzero(lengths == width)
+        matrix = values[starts[at][:, None] + np.arange(width)]
+        long = (matrix * matrix).sum(axis=1) > 0
+        yield ids[at][long], matrix[long]
+
+
+def _passes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Vectors of one length, ``VECTORS_PER_PASS`` at a time or what there is."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for batch in batches:
+        for ids, matrix in _matrices(batch, "vec_id"):
+            parts = held.setdefault(matrix.shape[1], [])
+            parts.append((ids, matrix))
+            if sum(len(i) for i, _ in parts) >= VECTORS_PER_PASS:
+                yield tuple(map(np.concatenate, zip(*held.pop(matrix.shape[1]))))
+    for parts in held.values():
+        yield tuple(map(np.concatenate, zip(*parts)))
+
+
+def _blocks(folder: str, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The stored requests of one length, a block at a time."""
+    from pyarrow import fs
+    from pyarrow import parquet as pq
+    system, base = fs.FileSystem.from_uri(folder) if "://" in folder else (
+        fs.LocalFileSystem(), folder.removeprefix("file:"))
+    for info in system.get_file_info(fs.FileSelector(base)):
+        if not info.base_name.endswith(".parquet"):
+            continue
+        with system.open_input_file(info.path) as stream:
+            for batch in pq.ParquetFile(stream).iter_batches(REQUESTS_PER_BLOCK):
+                for ids, matrix in _matrices(batch, "query_id"):
+                    if matrix.shape[1] == width:
+                        yield ids, matrix
+
+
+def _best(query_ids: np.ndarray, requests: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int) -> pa.RecordBatch:
+    """(query_id, vec_id, score) of the k best vectors of every request.
 
     The matrix product only preselects. Its last bits depend on a row's place in
-    the batch, so the preselected rows are scored again row by row: equal
+    the block, so the preselected rows are scored again row by row: equal
     vectors then get equal scores and are ordered by id.
     """
-    v = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-    vec_ids = batch["vec_id"].to_numpy()
-    v_norm = np.sqrt((v * v).sum(axis=1))
-    v, vec_ids, v_norm = v[v_norm > 0], vec_ids[v_norm > 0], v_norm[v_norm > 0]
-    q_norm = np.sqrt((q * q).sum(axis=1))
-    if not len(v):
-        return
-    rough = (v @ q.T) / v_norm[:, None]
-    for j, query_id in enumerate(query_ids):
-        if q_norm[j] == 0:
-            continue
-        column = rough[:, j]
-        floor = np.partition(column, len(column) - k)[len(column) - k] if len(column) > k else -np.inf
-        near = np.flatnonzero(column >= floor - 1e-9 * q_norm[j])
-        exact = (v[near] * q[j]).sum(axis=1) / (v_norm[near] * q_norm[j])
-        top = kept[int(query_id)]
-        top.extend(zip((-exact).tolist(), vec_ids[near].tolist()))
-        top.sort()
-        del top[k:]
+    norms, lengths = np.sqrt((matrix * matrix).sum(axis=1)), np.sqrt((requests * requests).sum(axis=1))
+    rough = (requests @ matrix.T) / norms  # a row per request
+    floor = np.full(len(requests), -np.inf)
+    if len(ids) > k:
+        floor = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k]
+    request, vector = np.nonzero(rough >= (floor - 1e-9 * lengths)[:, None])
+    score = np.empty(len(request))
+    for start in range(0, len(request), VECTORS_PER_PASS):
+        r, v = request[start:start + VECTORS_PER_PASS], vector[start:start + VECTORS_PER_PASS]
+        score[start:start + VECTORS_PER_PASS] = (matrix[v] * requests[r]).sum(axis=1) / (norms[v] * lengths[r])
+    order = np.lexsort((ids[vector], -score, request))
+    request, vector, score = request[order], vector[order], score[order]
+    first = np.searchsorted(request, request, "left")
+    kept = np.arange(len(request)) - first < k
+    return pa.RecordBatch.from_arrays(
+        [pa.array(query_ids[request[kept]], pa.int64()), pa.array(ids[vector[kept]], pa.int64()), pa.array(score[kept])],
+        names=["query_id", "vec_id", "score"])

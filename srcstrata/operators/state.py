@@ -175,11 +175,13 @@ def replace_branch_files(state: DataFrame, batch: DataFrame, scanned: DataFrame)
 def start_scan_runs(state: DataFrame, started: DataFrame) -> DataFrame:
     """Adds running scans; a scan id already known is a replay and changes nothing.
 
-    ``started``: id, repository_id, branch_id, head_commit_sha, trigger_type, started_at.
+    ``started``: id, repository_id, branch_id, head_commit_sha, trigger_type, started_at,
+    and base_commit_sha where it is known.
     """
     rows = first_per_key(started, ["id"], ["started_at"])
+    base = F.col("base_commit_sha") if "base_commit_sha" in started.columns else F.lit(None).cast("string")
     rows = rows.withColumns({
-        "status": F.lit("running"), "base_commit_sha": F.lit(None).cast("string"),
+        "status": F.lit("running"), "base_commit_sha": base,
         "completed_at": F.lit(None).cast(state.schema["completed_at"].dataType),
         "error_message": F.lit(None).cast("string")})
     return state.unionByName(new_rows(state, rows, ["id"]).select(*state.columns))

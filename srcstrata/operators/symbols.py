@@ -20,6 +20,12 @@ from srcstrata.operators.relational import null_safe_join
 from srcstrata.schemas import FILE_KEY
 
 
+def file_key(path: str = "path") -> Column:
+    """Surrogate key of a file: a hash of its natural key, made when it is scanned and kept from then on."""
+    return F.sha2(F.concat_ws("/", "repository_id", F.coalesce(F.col("branch_id").cast("string"), F.lit("")), path), 256
+                  ).alias("file_key")
+
+
 def with_lines(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumn("lines", split_lines(F.col(content))).drop(content)
 
@@ -162,20 +168,20 @@ def _tagged(column: str, kind: str) -> Column:
 
 def class_rows(symbols: DataFrame) -> DataFrame:
     """Rows of ``classes``: loc is the file's, method_count what is attached."""
-    return symbols.filter("kind = 'class'").select(*FILE_KEY, "name", "loc", "method_count")
+    return symbols.filter("kind = 'class'").select(*FILE_KEY, "name", "loc", "method_count", file_key())
 
 
 def method_rows(symbols: DataFrame) -> DataFrame:
     """Rows of ``methods``; no length or complexity is measured, both are 0."""
     return symbols.filter("kind = 'method'").select(
-        *FILE_KEY, "class_name", "name", F.lit(0).alias("loc"), F.lit(0).alias("complexity"))
+        *FILE_KEY, "class_name", "name", F.lit(0).alias("loc"), F.lit(0).alias("complexity"), file_key())
 
 
 def file_rows(matched: DataFrame, scan_run_id: Column | None = None) -> DataFrame:
     """Rows of ``source_files``."""
     scan = F.lit(None).cast("long") if scan_run_id is None else scan_run_id
     return matched.select("repository_id", "branch_id", scan.alias("scan_run_id"), "path",
-                          "language", "loc")
+                          "language", "loc", file_key())
 
 
 def parse_tree(matched: DataFrame) -> DataFrame:
@@ -220,9 +226,9 @@ def scan_totals(matched: DataFrame, keys: Sequence[str] = ("repository_id", "bra
 
 
 def file_class_method_join(files: DataFrame, classes: DataFrame, methods: DataFrame) -> DataFrame:
-    """Files with their classes and methods through the natural keys."""
-    f = files.select(*FILE_KEY, "language")
-    c = classes.select(*FILE_KEY, F.col("name").alias("class_name"))
-    m = methods.select(*FILE_KEY, "class_name", F.col("name").alias("method_name"))
-    return null_safe_join(null_safe_join(f, c, FILE_KEY, "inner"), m,
-                          (*FILE_KEY, "class_name"), "inner")
+    """Files with their classes and methods through the file's key."""
+    f = files.select(*FILE_KEY, "language", "file_key")
+    c = classes.select("file_key", F.col("name").alias("class_name"))
+    m = methods.select("file_key", "class_name", F.col("name").alias("method_name"))
+    return f.join(c, "file_key").join(m, ["file_key", "class_name"]).select(
+        *FILE_KEY, "language", "class_name", "method_name")

@@ -244,7 +244,10 @@ class Catalogue:
             "case when page_id % 4 <> 1 then 'main' end as branch_name",
             "md5(url) as head_commit_sha",
             "case page_id % 2 when 0 then '2026-01-02T03:04:05+02:00' "
-            "else '2026-01-02T03:04:05Z' end as committed_at")
+            "else '2026-01-02T03:04:05Z' end as committed_at",
+            "case when page_id % 6 <> 2 then concat(' Author ', page_id % 9, ' ') end as author_name",
+            "case page_id % 4 when 0 then ' ' else concat('a', page_id % 9, '@example.org') end as author_email",
+            "concat('change of ', url, chr(10), ' ') as message")
 
     @cached_property
     def paths(self) -> DataFrame:
@@ -296,13 +299,51 @@ class Catalogue:
 
     @cached_property
     def query_vectors(self) -> DataFrame:
-        """One request per label: the mean of its vectors."""
-        means = self.raw("embeddings").select("label", F.posexplode("embedding").alias("pos", "x")
-                                              ).groupBy("label", "pos").agg(
-            F.round(F.avg(F.col("x").cast("double")), 6).alias("m"))
-        return means.groupBy(F.col("label").cast("long").alias("query_id")).agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"])
-            .alias("embedding"))
+        """The requests: every vector whose id is divisible by 20."""
+        return self.raw("embeddings").filter("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding")
+
+    @cached_property
+    def checkouts(self) -> tuple[DataFrame, DataFrame]:
+        """(manifest, files) of trees of fifty documents each, at two commits.
+
+        The second commit lacks toxic documents, some files moved and some grew.
+        """
+        documents = self.raw("documents").selectExpr(
+            "doc_id", "concat('/trees/', doc_id div 50) as root", "coalesce(text, '') as text",
+            "concat(source, '/', doc_id, '.', " + _array(EXTENSIONS) + "[cast(doc_id % 4 as int)]) as name")
+        toxic = self.raw("labels").filter("toxic = 1")
+        first = documents.selectExpr("root", "1 as commit", "concat('src/', name) as path", "text")
+        second = documents.join(toxic, "doc_id", "left_anti").selectExpr(
+            "root", "2 as commit", "concat(case when doc_id % 11 = 0 then 'moved/' else 'src/' end, name) as path",
+            "case when doc_id % 5 = 0 then concat(text, chr(10), 'extra') else text end as text")
+        files = first.unionByName(second).selectExpr(
+            "commit", "root", "path", "cast(octet_length(text) as long) as size", "cast(text as binary) as content")
+        roots = documents.select("root").distinct().withColumn("commit", F.explode(F.array(F.lit(1), F.lit(2))))
+        manifest = roots.selectExpr(
+            "commit", "root", "concat('https://git.example', root, '.git') as url",
+            "cast(null as string) as origin_url", "cast(null as string) as name", "'main' as branch_name",
+            "md5(concat(root, commit)) as head_commit_sha", "'An Author' as author_name",
+            "'a@example.org' as author_email", "concat('commit ', commit) as message",
+            "'2026-01-02T03:04:05Z' as committed_at", "cast(substr(root, 8) as long) * 2 + commit as scan_run_id",
+            "'manual' as trigger_type", "timestamp'2026-01-03 00:00:00' + make_interval(0, 0, 0, commit) "
+            "as scanned_at")
+        return manifest, files
+
+    @cached_property
+    def scan_stream(self) -> DataFrame:
+        """Orders as a stream of finished scans with their files."""
+        # The last letter as a pattern: the table may be one file or a folder of parts.
+        raw = self.spark.readStream.schema(self.raw("orders").schema).parquet(f"{self.folder}/orders.parque[t]")
+        return raw.selectExpr(
+            "o_orderkey as scan_run_id", "concat('https://git.example/r', o_custkey, '.git') as url",
+            "concat('r', o_custkey, ' ', o_orderstatus) as name", "o_orderpriority as branch_name",
+            "md5(concat(o_custkey, '/', year(o_orderdate))) as head_commit_sha",
+            "concat('Author ', o_orderkey % 7) as author_name", "'a@example.org' as author_email",
+            "concat('order ', o_orderkey) as message", "o_orderdate as committed_at", "'scheduled' as trigger_type",
+            "case when o_orderkey % 13 = 0 then 'unreadable root' end as error_message", "o_orderdate as event_time",
+            "case when o_orderkey % 13 <> 0 then transform(sequence(0, cast(o_orderkey % 4 as int)), i -> named_struct("
+            "'path', concat('src/f', i, '.java'), 'language', 'Java', 'loc', cast(i + o_orderkey % 10 as int))) end "
+            "as files")
 
     def scan_events(self, raw: DataFrame) -> DataFrame:
         """Scan events; the event time is cast because watermarks need ``timestamp``."""

@@ -200,17 +200,21 @@ VIEWS: dict[str, str] = {
         left join (select path, count(*) as nm from method_hits group by path) m on m.path = l.path""",
     "classes": """
         select f.repository_id, f.branch_id, f.path, c.name, f.loc,
-               cast(case when c.seq = 0 then f.nm else 0 end as int) as method_count
+               cast(case when c.seq = 0 then f.nm else 0 end as int) as method_count,
+               sha256(f.repository_id || '/' || coalesce(cast(f.branch_id as varchar), '') || '/' || f.path) as file_key
         from class_names c join per_file f on f.path = c.path
         union all
-        select repository_id, branch_id, path, first_class, loc, cast(nm as int)
+        select repository_id, branch_id, path, first_class, loc, cast(nm as int),
+               sha256(repository_id || '/' || coalesce(cast(branch_id as varchar), '') || '/' || path) as file_key
         from per_file where nc = 0 and nm > 0""",
     "methods": """
         select f.repository_id, f.branch_id, f.path, f.first_class as class_name, m.name,
-               0 as loc, 0 as complexity
+               0 as loc, 0 as complexity,
+               sha256(f.repository_id || '/' || coalesce(cast(f.branch_id as varchar), '') || '/' || f.path) as file_key
         from method_names m join per_file f on f.path = m.path""",
     "source_files": """
-        select repository_id, branch_id, scan_run_id, path, language, loc from locs""",
+        select repository_id, branch_id, scan_run_id, path, language, loc,
+               sha256(repository_id || '/' || coalesce(cast(branch_id as varchar), '') || '/' || path) as file_key from locs""",
     "totals": """
         select repository_id, branch_id, cast(count(*) as int) as file_count,
                cast(sum(case when nc = 0 and nm > 0 then 1 else nc end) as int) as class_count,
@@ -335,7 +339,8 @@ VIEWS: dict[str, str] = {
         where f.first_class is not null group by all""",
     "dependencies": """
         select repository_id, branch_id, source_path, source_class, target_class, target_files,
-               'reference' as dependency_type from edges""",
+               'reference' as dependency_type,
+               sha256(repository_id || '/' || coalesce(cast(branch_id as varchar), '') || '/' || source_path) as file_key from edges""",
     # --- events of the state changes -------------------------------------------------------
     "shipments": f"""
         select o_custkey * 2 as repository_id, o_custkey * 20 + {CODE} as branch_id,
@@ -405,9 +410,9 @@ def _uniques() -> str:
         ("commits", "repository_id id", True), ("branch_commits", "branch_id commit_id", True),
         ("file_changes", "scan_run_id path", True), ("analysis_artifacts", "uri", True),
         ("source_files", "repository_id branch_id path", False),
-        ("classes", "repository_id branch_id path name", False),
-        ("methods", "repository_id branch_id path class_name name", False),
-        ("dependencies", KEYS["dependencies"], False),
+        ("source_files", "file_key", True), ("classes", "file_key name", True),
+        ("methods", "file_key class_name name", True),
+        ("dependencies", "file_key source_class target_class dependency_type", True),
         ("repository_metrics", "repository_id branch_id date", False),
     ]
     parts = []
@@ -442,11 +447,9 @@ def _references() -> str:
                   "technical_debt"):
         keys += [(table, *repo), (table, *branch), (table, *scan)]
     keys += [
-        ("classes", "repository_id branch_id path", "source_files", "repository_id branch_id path"),
-        ("methods", "repository_id branch_id path class_name", "classes",
-         "repository_id branch_id path name"),
-        ("dependencies", "repository_id branch_id source_path source_class", "classes",
-         "repository_id branch_id path name"),
+        ("classes", "file_key", "source_files", "file_key"),
+        ("methods", "file_key class_name", "classes", "file_key name"),
+        ("dependencies", "file_key source_class", "classes", "file_key name"),
         ("dependencies", "repository_id branch_id target_class", "classes", "repository_id branch_id name"),
     ]
     parts = []
@@ -473,11 +476,11 @@ def _required() -> str:
         "scan_runs": "id repository_id branch_id head_commit_sha status trigger_type started_at",
         "file_changes": "scan_run_id path change_type additions deletions",
         "analysis_artifacts": "id repository_id artifact_type format uri generated_at",
-        "source_files": "repository_id path loc",
-        "classes": "repository_id path name loc method_count",
-        "methods": "repository_id path class_name name loc complexity",
+        "source_files": "repository_id path loc file_key",
+        "classes": "repository_id path name loc method_count file_key",
+        "methods": "repository_id path class_name name loc complexity file_key",
         "dependencies": "repository_id source_path source_class target_class target_files "
-                        "dependency_type",
+                        "dependency_type file_key",
         "repository_metrics": "repository_id date file_count class_count method_count dependency_count",
         "risk_scores": "id repository_id module_name score generated_at",
         "technical_debt": "id repository_id module_name type severity description created_at",
@@ -579,7 +582,7 @@ _REPLACED = """
     select * from source_files s where not exists
       (select 1 from rescanned r where r.repository_id = s.repository_id and r.branch_id = s.branch_id)
     union all
-    select repository_id, branch_id, scan_run_id, path, language, loc + 1 from source_files s
+    select repository_id, branch_id, scan_run_id, path, language, loc + 1, file_key from source_files s
     where exists (select 1 from rescanned r where r.repository_id = s.repository_id
                   and r.branch_id = s.branch_id)
       and repository_id not in (select id from delete_ids)
@@ -604,8 +607,17 @@ _QUERIES: dict[str, str] = {
     "commit_metadata_load": """
         select page_id, coalesce(branch_name, 'HEAD') as branch_name, head_commit_sha,
                case page_id % 2 when 0 then timestamp '2026-01-02 01:04:05'
-               else timestamp '2026-01-02 03:04:05' end as committed_at from manifest""",
+               else timestamp '2026-01-02 03:04:05' end as committed_at,
+               case when page_id % 6 <> 2 then 'Author ' || page_id % 9 end as author_name,
+               case when page_id % 4 <> 0 then 'a' || page_id % 9 || '@example.org' end as author_email,
+               'change of ' || url || chr(10) || ' ' as message, cast(null as varchar) as problem
+        from manifest join pages using (page_id)""",
     "write_scan_snapshot": _REPLACED,
+    "read_scan_version": f"""
+        select repository_id, branch_id, cast(1 as bigint) as version, count(*) as n_files,
+               cast(sum(loc) as bigint) as loc from source_files group by 1, 2
+        union all
+        select repository_id, branch_id, 2, count(*), cast(sum(loc) as bigint) from ({_REPLACED}) group by 1, 2""",
     "detect_language": r"""
         select * from (select doc_id, path,
             case when e = 'java' then 'Java' when e in ('kt', 'kts') then 'Kotlin'
@@ -808,15 +820,82 @@ _QUERIES: dict[str, str] = {
         union all
         select path, null, 'deleted', 0, cast(n as int) from gone
         where path not in (select old_path from pairs)""",
+    "incremental_scan": r"""
+        with d as (select doc_id, doc_id // 50 as k, coalesce(text, '') as text, source || '/' || doc_id || '.'
+                          || ['java', 'js', 'py', 'go'][doc_id % 4 + 1] as name from documents),
+        b as (select *, sha256(content) as sha, case when ls[-1] = '' then ls[:-2] else ls end as l
+              from (select k, 'src/' || name as path, text as content,
+                           regexp_split_to_array(text, '
+|
+|
+') as ls from d where strlen(text) <= 1000000)),
+        h as (select *, sha256(content) as sha, case when ls[-1] = '' then ls[:-2] else ls end as l
+              from (select *, regexp_split_to_array(content, '
+|
+|
+') as ls from (
+                  select k, case when doc_id % 11 = 0 then 'moved/' else 'src/' end || name as path,
+                         case when doc_id % 5 = 0 then text || chr(10) || 'extra' else text end as content
+                  from d where doc_id not in (select doc_id from labels where toxic = 1)))
+              where strlen(content) <= 1000000),
+        new as (select *, len(l) as n, row_number() over (partition by k, sha order by path) as r
+                from h where not exists (select 1 from b where b.k = h.k and b.path = h.path)),
+        old as (select *, len(l) as n, row_number() over (partition by k, sha order by path) as r
+                from b where not exists (select 1 from h where h.k = b.k and h.path = b.path)),
+        pairs as (select n.k, n.path, o.path as old_path from new n join old o on o.k = n.k and o.sha = n.sha and o.r = n.r),
+        smallest as (select k, sha, min(path) as old_path from b group by 1, 2),
+        grown as (select b.k, b.path, b.l as bl, h.l as hl from b join h on h.k = b.k and h.path = b.path where h.sha <> b.sha),
+        counted as (select k, path, sum(case when d > 0 then d else 0 end) as a, sum(case when d < 0 then -d else 0 end) as r
+                    from (select k, path, line, sum(s) as d
+                          from (select k, path, unnest(hl) as line, 1 as s from grown
+                                union all select k, path, unnest(bl), -1 from grown) group by 1, 2, 3) group by 1, 2),
+        changes as (
+            select g.k, g.path, cast(null as varchar) as old_path, 'modified' as change_type,
+                   cast(coalesce(a, 0) as int) as additions, cast(coalesce(r, 0) as int) as deletions
+            from grown g left join counted c on c.k = g.k and c.path = g.path
+            union all select k, path, old_path, 'renamed', 0, 0 from pairs
+            union all
+            select n.k, n.path, s.old_path, case when s.sha is null then 'added' else 'copied' end,
+                   case when s.sha is null then cast(n.n as int) else 0 end, 0
+            from new n left join smallest s on s.k = n.k and s.sha = n.sha
+            where not exists (select 1 from pairs p where p.k = n.k and p.path = n.path)
+            union all
+            select k, path, null, 'deleted', 0, cast(n as int) from old o
+            where not exists (select 1 from pairs p where p.k = o.k and p.old_path = o.path)),
+        parsed as (select h.k, count(*) as n from h left join b on b.k = h.k and b.path = h.path and b.sha = h.sha
+                   where b.k is null group by 1),
+        scanned as (select k, count(*) as n from h group by 1)
+        select cast(c.k as varchar) as tree, path, old_path, change_type, additions, deletions,
+               md5('/trees/' || c.k || '1') as base_commit_sha, md5('/trees/' || c.k || '2') as head_commit_sha,
+               case when s.n is not null then cast(coalesce(p.n, 0) as int) end as parsed_files
+        from changes c left join parsed p on p.k = c.k left join scanned s on s.k = c.k""",
+    "scan_state_stream": """
+        with e as (select o_orderkey as id, o_custkey as c, 'https://git.example/r' || o_custkey || '.git' as url,
+                          'r' || o_custkey || ' ' || o_orderstatus as name, o_orderpriority as branch,
+                          md5(o_custkey || '/' || year(o_orderdate)) as sha, o_orderdate as t,
+                          o_orderkey % 13 = 0 as bad from orders),
+        r as (select c, url, name from e qualify row_number() over (partition by c order by t desc, id desc) = 1),
+        b as (select c, branch, sha from e qualify row_number() over (partition by c, branch order by t desc, id desc) = 1),
+        a as (select c, branch, min(t) as first_scan, max(t) as last_scan, count(*) as n_scans,
+                     count_if(bad) as n_failed, count(distinct sha) as n_commits from e group by 1, 2),
+        f as (select c, branch, id, id % 4 + 1 as n_files, (id % 4) * (id % 4 + 1) // 2 + (id % 4 + 1) * (id % 10) as loc
+              from e where not bad qualify row_number() over (partition by c, branch order by t desc, id desc) = 1),
+        m as (select c, branch, count(*) as n_days, sum(id % 4 + 1) as day_files
+              from (select * from e where not bad
+                    qualify row_number() over (partition by c, branch, cast(t as date) order by t desc, id desc) = 1)
+              group by 1, 2)
+        select r.url, r.name, a.branch, row_number() over (partition by a.c order by first_scan, a.branch) = 1 as is_default,
+               b.sha as head_commit_sha, first_scan, last_scan, n_commits, n_scans, cast(n_failed as bigint) as n_failed,
+               coalesce(n_files, 0) as n_files, cast(coalesce(loc, 0) as bigint) as loc, f.id as files_of,
+               coalesce(n_days, 0) as n_days, cast(coalesce(day_files, 0) as bigint) as day_files
+        from a join r on r.c = a.c join b on b.c = a.c and b.branch = a.branch
+        left join f on f.c = a.c and f.branch = a.branch left join m on m.c = a.c and m.branch = a.branch""",
     "class_dependencies": "select * from edges",
     "dependency_counts": """
         select repository_id, branch_id, cast(sum(target_files) as bigint) as dependency_count
         from edges group by 1, 2""",
     "semantic_topk": """
-        with means as (select label, pos, round(avg(x), 6) as m
-             from (select label, unnest(embedding)::double as x,
-                          generate_subscripts(embedding, 1) as pos from embeddings) group by 1, 2),
-        q as (select cast(label as bigint) as query_id, list(m order by pos) as v from means group by 1)
+        with q as (select vec_id as query_id, embedding::double[] as v from embeddings where vec_id % 20 = 0)
         select query_id, cast(rank as int) as rank, vec_id
         from (select q.query_id, e.vec_id, row_number() over (partition by q.query_id
                      order by list_cosine_similarity(e.embedding::double[], q.v) desc, e.vec_id) as rank

@@ -12,11 +12,13 @@ from srcstrata.functions import language as L
 from srcstrata.functions import text as X
 from srcstrata.operators import cascade, diff, quality, search, state, summary, symbols
 from srcstrata.operators.relational import null_safe_join
+from srcstrata.plans import scan
 from srcstrata.plans.adapters import CUT, Catalogue, daily_metrics
 from srcstrata.schemas import FILE_KEY, TABLES
 from srcstrata.session import shared_folder, stored
 from srcstrata.sources import listings, source_tree, tables
-from srcstrata.streaming import scan_events
+from srcstrata.sources.versions import VersionedTables
+from srcstrata.streaming import scan_events, scan_state
 
 QUERIES: dict[str, Callable[[Catalogue], DataFrame]] = {}
 
@@ -87,17 +89,30 @@ def branch_listing_parse(c):
 @query
 def commit_metadata_load(c):
     return _naive(listings.load_commit_metadata(c.manifest), "committed_at").select(
-        "page_id", "branch_name", "head_commit_sha", "committed_at")
+        "page_id", *listings.COMMIT_COLUMNS, "problem")
 
 
 @query
 def write_scan_snapshot(c):
-    folder = shared_folder(c.spark, "snapshot")
+    store = VersionedTables(c.spark, shared_folder(c.spark, "snapshot"))
     old, new, scanned = _rescan(c)
-    first = old.select("repository_id", "branch_id").distinct()
-    tables.write_snapshot(old, first, folder)
-    tables.write_snapshot(new, scanned, folder)
-    return tables.read_snapshot(c.spark, folder, "source_files")
+    store.commit({"source_files": store.replace(old)})
+    store.replace_branches({"source_files": new}, scanned)
+    return store.read("source_files")
+
+
+@query
+def read_scan_version(c):
+    """A branch's files before and after the rescan, from two versions of the same store."""
+    store = VersionedTables(c.spark, shared_folder(c.spark, "versions"))
+    old, new, scanned = _rescan(c)
+    first = store.commit({"source_files": store.replace(old)})
+    second = store.replace_branches({"source_files": new}, scanned)
+
+    def sums(version: int) -> DataFrame:
+        return store.read("source_files", version).groupBy("repository_id", "branch_id").agg(
+            F.lit(version).cast("long").alias("version"), F.count("*").alias("n_files"), F.sum("loc").alias("loc"))
+    return sums(first).unionByName(sums(second))
 
 
 # --- projections, filters, predicates ----------------------------------------------
@@ -544,6 +559,49 @@ def symbol_search(c):
     return search.symbol_search(t["classes"], t["methods"], PREFIX)
 
 
+@query
+def incremental_scan(c):
+    """What changed between two commits of every tree, by parsing changed files only."""
+    manifest, files = c.checkouts
+    tables = {name: c.spark.createDataFrame([], table.schema) for name, table in TABLES.items()}
+    index = c.spark.createDataFrame([], scan.INDEX_SCHEMA)
+    for commit in (1, 2):
+        tables, report, index = scan.scan_incrementally(
+            tables, index, manifest.filter(F.col("commit") == commit).drop("commit"),
+            files.filter(F.col("commit") == commit).drop("commit"))
+    scans = report.select("scan_run_id", F.col("name").alias("tree"), "parsed_files")
+    based = tables["scan_runs"].select(F.col("id").alias("scan_run_id"), "base_commit_sha", "head_commit_sha")
+    return (tables["file_changes"].join(based, "scan_run_id").join(scans, "scan_run_id")
+            .select("tree", "path", "old_path", "change_type", "additions", "deletions", "base_commit_sha",
+                    "head_commit_sha", "parsed_files"))
+
+
+@query
+def scan_state_stream(c):
+    """Every branch as the stream of finished scans left it."""
+    base = shared_folder(c.spark, "scan-state")
+    store = VersionedTables(c.spark, f"{base}/tables")
+    scan_state.start_scan_state(c.scan_stream, store, f"{base}/checkpoint").awaitTermination()
+    t = scan_state.read_state(store)
+    branch = ["repository_id", "branch_id"]
+    counts = [
+        t["branch_commits"].groupBy(*branch).agg(F.count("*").alias("n_commits")),
+        t["scan_runs"].groupBy(*branch).agg(F.count("*").alias("n_scans"), F.count_if(
+            F.col("status") == "failed").alias("n_failed")),
+        t["source_files"].groupBy(*branch).agg(F.count("*").alias("n_files"), F.sum("loc").alias("loc"),
+                                               F.max("scan_run_id").alias("files_of")),
+        t["repository_metrics"].groupBy(*branch).agg(F.count("*").alias("n_days"), F.sum("file_count").alias("day_files"))]
+    rows = t["branches"].select(
+        "repository_id", F.col("id").alias("branch_id"), F.col("name").alias("branch"), "is_default", F.col(
+            "last_seen_commit_sha").alias("head_commit_sha"), F.col("created_at").alias("first_scan"),
+        F.col("updated_at").alias("last_scan"))
+    for part in counts:
+        rows = rows.join(part, branch, "left")
+    named = t["repositories"].select(F.col("id").alias("repository_id"), "url", "name")
+    return _naive(rows.join(named, "repository_id").drop("repository_id", "branch_id")
+                  .na.fill(0, ["n_files", "loc", "n_days", "day_files"]), "first_scan", "last_scan")
+
+
 def _event_stream(c: Catalogue) -> DataFrame:
     schema = c.raw("events").schema
     # The last letter as a pattern: the table may be one file or a folder of parts.

@@ -1,7 +1,9 @@
 """The fourteen catalogue tables, their keys and their rules, as data.
 
-Leaf tables (files, classes, methods, dependencies) are keyed by natural keys,
-so scanning needs no sequence; the others keep a surrogate ``id``.
+Leaf tables (files, classes, methods, dependencies) have natural keys and, in
+place of a sequence, a ``file_key``: the hash of the file's natural key when it was
+scanned, which stays when a deleted branch is emptied from that key. The others
+keep a surrogate ``id``.
 """
 
 from __future__ import annotations
@@ -153,35 +155,33 @@ TABLES: dict[str, Table] = {
         foreign_keys=(_REPOSITORY, _BRANCH_OR_NULL, _SCAN)),
     "source_files": Table(
         ("repository_id long*", "branch_id long", "scan_run_id long", "path str*",
-         "language str(100)", "loc int*"),
-        key=FILE_KEY, unique=(Unique(FILE_KEY, nulls_distinct=False),),
+         "language str(100)", "loc int*", "file_key str(64)*"),
+        key=FILE_KEY, unique=(Unique(FILE_KEY, nulls_distinct=False), Unique(("file_key",))),
         checks={**_not_negative("loc"), **_not_blank("path")},
         foreign_keys=(_REPOSITORY, _BRANCH_OR_NULL, _SCAN_OR_NULL)),
     "classes": Table(
         ("repository_id long*", "branch_id long", "path str*", "name str(255)*", "loc int*",
-         "method_count int*"),
-        key=(*FILE_KEY, "name"), unique=(Unique((*FILE_KEY, "name"), nulls_distinct=False),),
+         "method_count int*", "file_key str(64)*"),
+        key=(*FILE_KEY, "name"), unique=(Unique(("file_key", "name")),),
         checks=_not_negative("loc", "method_count"),
-        foreign_keys=(ForeignKey(FILE_KEY, "source_files", FILE_KEY),)),
+        foreign_keys=(ForeignKey(("file_key",), "source_files", ("file_key",)),)),
     "methods": Table(
         ("repository_id long*", "branch_id long", "path str*", "class_name str*",
-         "name str(255)*", "loc int*", "complexity int*"),
+         "name str(255)*", "loc int*", "complexity int*", "file_key str(64)*"),
         key=(*FILE_KEY, "class_name", "name"),
-        unique=(Unique((*FILE_KEY, "class_name", "name"), nulls_distinct=False),),
+        unique=(Unique(("file_key", "class_name", "name")),),
         checks=_not_negative("loc", "complexity"),
-        foreign_keys=(ForeignKey((*FILE_KEY, "class_name"), "classes", (*FILE_KEY, "name")),)),
+        foreign_keys=(ForeignKey(("file_key", "class_name"), "classes", ("file_key", "name")),)),
     "dependencies": Table(
         ("repository_id long*", "branch_id long", "source_path str*", "source_class str*",
-         "target_class str*", "target_files long*", "dependency_type str(100)*"),
+         "target_class str*", "target_files long*", "dependency_type str(100)*", "file_key str(64)*"),
         key=("repository_id", "branch_id", "source_path", "source_class", "target_class",
              "dependency_type"),
-        unique=(Unique(("repository_id", "branch_id", "source_path", "source_class",
-                        "target_class", "dependency_type"), nulls_distinct=False),),
+        unique=(Unique(("file_key", "source_class", "target_class", "dependency_type")),),
         # Only other files are targets, so a row without any would be a class that names itself.
         checks={"target_files_positive": "target_files > 0"},
         foreign_keys=(
-            ForeignKey(("repository_id", "branch_id", "source_path", "source_class"),
-                       "classes", (*FILE_KEY, "name")),
+            ForeignKey(("file_key", "source_class"), "classes", ("file_key", "name")),
             # A name may have several defining files, so it does not go with one of them.
             ForeignKey(("repository_id", "branch_id", "target_class"), "classes",
                        ("repository_id", "branch_id", "name"), "no_action"))),

@@ -34,12 +34,29 @@ def rejected_lines(parsed: DataFrame) -> DataFrame:
     return parsed.filter(~F.col("is_valid"))
 
 
+COMMIT_COLUMNS = ["branch_name", "head_commit_sha", "author_name", "author_email", "message", "committed_at"]
+
+
 def load_commit_metadata(manifest: DataFrame) -> DataFrame:
-    """Head commits of a manifest: repository key columns plus parsed commit time.
+    """Head commits of a manifest: its columns, the six of the commit read, and ``problem``.
 
-    A detached head carries the branch name ``HEAD``, as git reports it.
+    A detached head, or no branch name, is the branch ``HEAD``, as git reports it. Names are
+    stripped, blank ones are null; the message stays as it is. A row without a
+    commit id, or with a time that is no ISO-8601 time, has a problem and is
+    never dropped here; :func:`rejected_commits` lists such rows.
     """
-    return manifest.withColumns({
-        "branch_name": F.coalesce("branch_name", F.lit("HEAD")),
-        "committed_at": instant(F.col("committed_at")),
-    })
+    sha, time = strip(F.col("head_commit_sha")), F.col("committed_at")
+    parsed = instant(F.col("committed_at"))
+    no_time = F.coalesce(has_text(time.cast("string")), F.lit(False)) & parsed.isNull()
+    problem = (F.when(~F.coalesce(has_text(sha), F.lit(False)), "no commit id")
+               .when(no_time, F.concat(F.lit("time: "), time.cast("string"))))
+
+    def named(column: str):
+        return F.when(has_text(F.col(column)), strip(F.col(column)))
+    return manifest.withColumn("problem", problem).withColumns({
+        "branch_name": F.coalesce(named("branch_name"), F.lit("HEAD")), "head_commit_sha": sha,
+        "author_name": named("author_name"), "author_email": named("author_email"), "committed_at": parsed})
+
+
+def rejected_commits(loaded: DataFrame) -> DataFrame:
+    return loaded.filter("problem IS NOT NULL")

@@ -1,12 +1,17 @@
-"""Source trees as a Spark data source.
+"""Source trees as DataFrames.
 
 The built-in file sources drop names that start with ``_`` or ``.``, even when
 listed explicitly, and such files are source files here (``__init__.py``).
 
-``spark.read.format("source_tree").option("path", root).load()`` reads one
-tree; :func:`list_trees` and :func:`read_files` do the same for a DataFrame of
-roots. Directories are listed by the tasks: the driver expands only as many
-directories as it needs to get enough units of work.
+Folders are listed by tasks, in rounds (:func:`list_entries`): a task lists the
+folders dealt to it and goes on below them until it has listed its share; what
+it has not entered by then is dealt out anew, until nothing is left. The driver
+lists nothing, and neither the depth nor the size of a tree is fixed anywhere.
+Every entry that is not read has a row with the reason. :func:`read_files` reads
+listed files in tasks of about ``GROUP_BYTES``.
+
+``spark.read.format("source_tree").option("path", root)`` reads one tree as well,
+a task per folder below the root.
 """
 
 from __future__ import annotations
@@ -15,18 +20,23 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from srcstrata.functions.language import MAX_SOURCE_BYTES, SKIPPED_NAMES
+from srcstrata.session import stored
 
 SCHEMA = "path string, size long, content binary"
 GROUP_BYTES = 64 * 1024 * 1024
-GROUP_FILES = 4096
+BATCH_BYTES = 16 * 1024 * 1024
+# Folders that a task lists in one round, and rows of a batch of entries.
+FOLDERS_PER_TASK, ENTRIES = 256, 4096
 
 
 def _local(root: str) -> str:
@@ -34,6 +44,7 @@ def _local(root: str) -> str:
     return root.removeprefix("file://").removeprefix("file:")
 
 
+@lru_cache(maxsize=64)
 def _remote(root: str):
     """(file system, base path) for a URI such as s3:// or hdfs://; None for a mounted path."""
     if "://" not in root:
@@ -43,11 +54,12 @@ def _remote(root: str):
     return system, base.rstrip("/")
 
 
-def _entries(root: str, folder: str) -> Iterator[tuple[str, bool, int]]:
-    """(name, is directory, size) of one folder below the root.
+def _entries(root: str, folder: str) -> Iterator[tuple[str, bool, int | None, str | None]]:
+    """(name, is directory, size, reason) of one folder below the root.
 
-    Skipped names are pruned here. A symlink to a file counts as a file, a
-    symlink to a directory is not entered, an unreadable size drops the file.
+    A reason says why the entry is not read: a skipped name, or a size that
+    cannot be read. A symlink to a file counts as a file, one to a directory is
+    no entry.
     """
     remote = _remote(root)
     if remote is not None:
@@ -55,21 +67,26 @@ def _entries(root: str, folder: str) -> Iterator[tuple[str, bool, int]]:
         system, base = remote
         where = f"{base}/{folder}".rstrip("/")
         for info in system.get_file_info(fs.FileSelector(where, recursive=False)):
-            name = info.base_name
-            if name not in SKIPPED_NAMES and info.type in (fs.FileType.File, fs.FileType.Directory):
-                yield name, info.type == fs.FileType.Directory, info.size or 0
+            is_folder = info.type == fs.FileType.Directory
+            if info.base_name in SKIPPED_NAMES:
+                yield info.base_name, is_folder, None, "skipped folder"
+            elif is_folder or info.type == fs.FileType.File:
+                yield info.base_name, is_folder, None if is_folder else info.size or 0, None
         return
     with os.scandir(os.path.join(root, folder)) as found:
         for entry in found:
-            if entry.name in SKIPPED_NAMES:
-                continue
             try:
-                if entry.is_dir(follow_symlinks=False):
-                    yield entry.name, True, 0
+                is_folder = entry.is_dir(follow_symlinks=False)
+                if entry.name in SKIPPED_NAMES:
+                    yield entry.name, is_folder, None, "skipped folder"
+                elif is_folder:
+                    yield entry.name, True, None, None
                 elif entry.is_file():
-                    yield entry.name, False, entry.stat().st_size
+                    yield entry.name, False, entry.stat().st_size, None
+                elif entry.is_symlink() and not os.path.exists(entry.path):
+                    yield entry.name, False, None, "unreadable size"
             except OSError:
-                continue
+                yield entry.name, False, None, "unreadable size"
 
 
 def _walk(root: str, folder: str) -> Iterator[tuple[str, int]]:
@@ -77,12 +94,13 @@ def _walk(root: str, folder: str) -> Iterator[tuple[str, int]]:
     pending = [folder]
     while pending:
         here = pending.pop()
-        for name, is_folder, size in _entries(root, here):
+        for name, is_folder, size, reason in _entries(root, here):
             path = f"{here}/{name}" if here else name
-            if is_folder:
-                pending.append(path)
-            else:
-                yield path, size
+            if reason is None:
+                if is_folder:
+                    pending.append(path)
+                else:
+                    yield path, size
 
 
 def _read(root: str, path: str) -> bytes:
@@ -107,28 +125,12 @@ class SourceTreeReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root = _local(options["path"])
         self.cap = int(options.get("maxFileBytes", MAX_SOURCE_BYTES))
-        self.target = int(options.get("numPartitions", 64))
 
     def partitions(self) -> list[TreePart]:
-        folders, parts, files, packed = [""], [], [], 0
-        while folders and len(folders) < self.target:
-            deeper = []
-            for folder in folders:
-                for name, is_folder, size in _entries(self.root, folder):
-                    path = f"{folder}/{name}" if folder else name
-                    if is_folder:
-                        deeper.append(path)
-                    elif size <= self.cap:
-                        files.append((path, size))
-                        packed += size
-                        if packed >= GROUP_BYTES or len(files) == GROUP_FILES:
-                            parts.append(TreePart(files=tuple(files)))
-                            files, packed = [], 0
-            folders = deeper
-        if files:
-            parts.append(TreePart(files=tuple(files)))
-        shares = [TreePart(tuple(folders[i::self.target])) for i in range(self.target)]
-        return parts + [share for share in shares if share.folders] or [TreePart()]
+        """The files of the root folder, and each folder in it."""
+        here = [(n, d, size) for n, d, size, reason in _entries(self.root, "") if reason is None]
+        return [TreePart(files=tuple((n, size) for n, d, size in here if not d)),
+                *[TreePart(folders=(n,)) for n, d, _ in here if d]]
 
     def read(self, partition: TreePart) -> Iterator[tuple[str, int, bytes]]:
         walked = (found for folder in partition.folders for found in _walk(self.root, folder))
@@ -152,12 +154,14 @@ class SourceTree(DataSource):
         return SourceTreeReader(self.options)
 
 
-def read_tree(spark: SparkSession, root: str, **options) -> DataFrame:
-    spark.dataSource.register(SourceTree)
-    reader = spark.read.format("source_tree").option("path", root)
-    for key, value in options.items():
-        reader = reader.option(key, str(value))
-    return reader.load()
+def read_tree(spark: SparkSession, root: str, max_file_bytes: int = MAX_SOURCE_BYTES, **listing) -> DataFrame:
+    """One tree: path, size and bytes of its files up to the size cap. An unreadable root fails the job."""
+    roots = spark.createDataFrame([(root,)], "root string")
+    entries = list_entries(roots, max_file_bytes, **listing)
+    unreadable = F.col("reason").isin(UNREADABLE)
+    checked = entries.withColumn("reason", F.when(unreadable, F.raise_error(F.concat_ws(": ", "reason", "root", "path")))
+                                 .otherwise(F.col("reason"))).filter("reason IS NULL").drop("reason")
+    return read_files(checked).select("path", F.octet_length("content").cast("long").alias("size"), "content")
 
 
 def _tasks(df: DataFrame, partitions: int | None) -> int:
@@ -165,67 +169,81 @@ def _tasks(df: DataFrame, partitions: int | None) -> int:
     return partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def list_trees(roots: DataFrame, max_file_bytes: int = MAX_SOURCE_BYTES,
-               fan_out_levels: int = 2, partitions: int | None = None) -> DataFrame:
-    """Files of many trees: the columns of ``roots`` (with ``root``) and path, size.
+# Reasons that say that a scan has not seen its whole tree.
+UNREADABLE = ["unreadable root", "unreadable folder"]
+
+
+def list_entries(roots: DataFrame, max_file_bytes: int = MAX_SOURCE_BYTES, folders_per_task: int = FOLDERS_PER_TASK,
+                 partitions: int | None = None) -> DataFrame:
+    """Every entry of many trees: the columns of ``roots`` (with ``root``), path, size, reason.
 
-    A tree of any size is spread over tasks: its upper folder levels are listed
-    first and the folders found there are dealt out again before they are walked.
-    A root named by several rows is listed once for each distinct row.
+    The reason is null for files to read; else ``skipped folder``, ``size``,
+    ``unreadable size``, ``unreadable folder`` or ``unreadable root``, which touch
+    their own tree only. Every round is stored, so a folder is listed once
+    whatever reads the result. A root named by several rows is listed once for
+    each distinct row.
     """
     roots = roots.distinct()
     keys = roots.columns
     tasks = _tasks(roots, partitions)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in roots.schema)
-    schema += ", folder string, path string, size long"
-
-    def rows(record: tuple, found) -> Iterator[tuple]:
-        for folder, path, size in found:
-            if path is None or size <= max_file_bytes:
-                yield (*record, folder, path, size)
-
-    def one_level(record: tuple, root: str, folder: str):
-        for name, is_folder, size in _entries(root, folder):
-            path = f"{folder}/{name}" if folder else name
-            yield (path, None, None) if is_folder else (None, path, size)
-
-    def step(deep: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for record in batch.itertuples(index=False, name=None):
-                    keyed, folder = record[:len(keys)], record[len(keys)]
-                    root = _local(keyed[keys.index("root")])
-                    found = (((None, p, s) for p, s in _walk(root, folder)) if deep
-                             else one_level(keyed, root, folder))
-                    yield from _frames(rows(keyed, found), [*keys, "folder", "path", "size"])
-        return run
-
-    open_folders = roots.withColumn("folder", F.lit(""))
-    files = None
-    for level in range(fan_out_levels + 1):
-        dealt = open_folders.repartition(tasks, "root", "folder")
-        found = dealt.mapInPandas(step(level == fan_out_levels), schema)
+    kinds = roots.schema.add("folder", "string").add("path", "string").add("size", "long").add("reason", "string")
+    arrow = [pa.string(), pa.string(), pa.int64(), pa.string()]
+
+    def listed(root: str, folder: str):
+        """(folder, path, size, reason) of one folder."""
+        try:
+            for name, is_folder, size, reason in _entries(root, folder):
+                path = f"{folder}/{name}" if folder else name
+                if is_folder and reason is None:
+                    yield path, None, None, None
+                elif reason is None and size > max_file_bytes:
+                    yield None, path, size, "size"
+                else:
+                    yield None, path, size, reason
+        except OSError:
+            yield None, folder, None, "unreadable folder" if folder else "unreadable root"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = folders_per_task
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keyed = [batch.column(k).slice(i, 1) for k in keys]
+                root = _local(batch.column("root")[i].as_py() or "")
+                pending, out = [batch.column("folder")[i].as_py()], []
+
+                def emit():
+                    repeated = [c.take(pa.array([0] * len(out))) for c in keyed]
+                    return pa.RecordBatch.from_arrays(
+                        [*repeated, *[pa.array(c, k) for c, k in zip(zip(*out), arrow)]],
+                        names=[*keys, "folder", "path", "size", "reason"])
+                # The first folder is always listed, so that every round gets further.
+                while pending and (left > 0 or not out and len(pending) == 1):
+                    left -= 1
+                    for folder, *entry in listed(root, pending.pop()):
+                        if folder is not None:
+                            pending.append(folder)
+                        else:
+                            out.append((None, *entry))
+                        if len(out) >= ENTRIES:
+                            yield emit()
+                            out = []
+                out += [(folder, None, None, None) for folder in pending]
+                if out:
+                    yield emit()
+
+    frontier, entries = roots.withColumn("folder", F.lit("")), None
+    while True:
+        found = stored(frontier.repartition(tasks, "root", "folder").mapInArrow(run, kinds), "listing")
         here = found.filter("path IS NOT NULL").drop("folder")
-        files = here if files is None else files.unionByName(here)
-        open_folders = found.filter("path IS NULL").select(*keys, "folder")
-    return files
-
+        entries = here if entries is None else entries.unionByName(here)
+        frontier = found.filter("path IS NULL").select(*keys, "folder")
+        if frontier.isEmpty():
+            return entries
 
-def _frames(rows: Iterator[tuple], columns: list[str], size: int = 4096) -> Iterator[pd.DataFrame]:
-    block = []
-    for row in rows:
-        block.append(row)
-        if len(block) == size:
-            yield _frame(block, columns)
-            block = []
-    if block:
-        yield _frame(block, columns)
 
-
-def _frame(block: list[tuple], columns: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(block, columns=columns)
-    out["size"] = out["size"].astype("Int64")
-    return out
+def list_trees(roots: DataFrame, max_file_bytes: int = MAX_SOURCE_BYTES, **listing) -> DataFrame:
+    """The files to read of many trees: the columns of ``roots`` (with ``root``), path, size."""
+    return list_entries(roots, max_file_bytes, **listing).filter("reason IS NULL").drop("reason")
 
 
 def _read_or_null(root: str, path: str) -> bytes | None:
@@ -236,22 +254,33 @@ def _read_or_null(root: str, path: str) -> bytes | None:
 
 
 def read_files(files: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Adds ``content`` to listed files (root, path, size); null where a file cannot be read.
+    """Adds ``content`` to listed files (root, path, size); null where a file cannot be read, or has a ``reason``.
 
-    Files are dealt out by path, at most 1 MB each, so tasks get even shares.
+    The number of tasks follows the listed bytes. Files are dealt out by path and
+    small next to a task's share, so shares are even.
     """
-    dealt = files.repartition(_tasks(files, partitions), "root", "path")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known = F.coalesce(F.col("size"), F.lit(0))
+    if partitions is None:
+        total = files.agg(F.sum(known)).first()[0] or 0
+        partitions = max(_tasks(files, None), -(-total // GROUP_BYTES))
+    dealt = files.repartition(partitions, "root", "path")
+    names, wanted = files.columns, "reason" in files.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # Small slices keep a batch of file contents well below task memory.
-            for start in range(0, len(batch), 32):
-                part = batch.iloc[start:start + 32].copy()
-                part["content"] = [_read_or_null(r, p) for r, p in zip(part["root"], part["path"])]
-                yield part
-
-    return dealt.mapInPandas(run, schema + ", content binary")
+            roots, paths = batch.column("root").to_pylist(), batch.column("path").to_pylist()
+            reasons = batch.column("reason").to_pylist() if wanted else [None] * len(paths)
+            held, first, size = [], 0, 0
+            for i, (root, path, reason) in enumerate(zip(roots, paths, reasons)):
+                held.append(None if reason is not None else _read_or_null(root, path))
+                size += len(held[-1] or b"")
+                if size >= BATCH_BYTES or i == len(paths) - 1:
+                    part = batch.slice(first, len(held))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held, pa.binary())],
+                                                     names=[*names, "content"])
+                    held, first, size = [], i + 1, 0
+
+    return dealt.mapInArrow(run, files.schema.add("content", "binary"))
 
 
 def _write(root: str, path: str, content: bytes) -> None:

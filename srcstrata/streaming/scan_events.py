@@ -10,6 +10,8 @@ from srcstrata.operators.relational import top1_per_group
 
 EVENT_COLUMNS = ["scan_run_id", "repository_id", "head_commit_sha", "status", "trigger_type",
                  "started_at"]
+EVENT_SCHEMA = ("scan_run_id long, repository_id long, head_commit_sha string, status string, "
+                "trigger_type string, started_at timestamp")
 
 
 def _latest(events: DataFrame) -> DataFrame:
@@ -37,8 +39,11 @@ def start_latest_scans(events: DataFrame, log: str, checkpoint: str) -> Streamin
 
 
 def read_latest_scans(spark: SparkSession, log: str) -> DataFrame:
-    """Latest scan per repository over all batches of the log."""
-    changes = spark.read.parquet(log)
+    """Latest scan per repository over all batches of the log; empty where no batch was written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(log)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], EVENT_SCHEMA)
+    changes = spark.read.schema(EVENT_SCHEMA).parquet(log)
     return top1_per_group(changes, ["repository_id"], [
         F.col("started_at").desc(), F.col("scan_run_id").desc()]).select(*EVENT_COLUMNS)
 

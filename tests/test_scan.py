@@ -116,19 +116,41 @@ def test_children_of_files_without_branch(spark):
 
     when = dt.datetime(2026, 1, 1)
     add("repositories", *({"id": i, "name": "r", "url": str(i), "created_at": when, "updated_at": when} for i in (1, 2)))
-    files = [{"repository_id": r, "branch_id": None, "path": "A", "loc": 1} for r in (1, 2)]
+    files = [{"repository_id": r, "branch_id": None, "path": "A", "loc": 1, "file_key": f"key {r}"} for r in (1, 2)]
     add("source_files", *files)
     add("classes", *({**f, "name": "A", "method_count": 1} for f in files),
-        {**files[0], "path": "gone", "name": "X", "method_count": 0})
+        {**files[0], "path": "gone", "file_key": "gone", "name": "X", "method_count": 0})
     add("methods", *({**f, "class_name": "A", "name": "m", "complexity": 0} for f in files))
     assert [(r.table_name, r.key, r.detail) for r in quality.foreign_key_violations(tables).collect()] == [
-        ("classes", "1||gone", "1")]
+        ("classes", "gone", "1")]
     after, _ = cascade.delete_repositories(tables, spark.createDataFrame([(1,)], "id long"))
     for name in ("source_files", "methods"):
         assert [r.repository_id for r in after[name].collect()] == [2]
     assert sorted((r.repository_id, r.path) for r in after["classes"].collect()) == [(1, "gone"), (2, "A")]
 
 
+def test_two_deleted_branches_keep_their_files_apart(spark, tmp_path):
+    configure(spark)
+    tables = {name: spark.createDataFrame([], table.schema) for name, table in TABLES.items()}
+    day = dt.datetime(2026, 3, 1, 12)
+    for i, branch in enumerate(("a", "b", "c")):
+        write(tmp_path / branch, {"A.java": f"class A{branch} {{\n  void f(int x) {{\n"})
+        tables, _ = run(spark, tables, [(str(tmp_path / branch), "https://h/o/r", None, None, branch, str(i) * 40, None,
+                                         None, None, None, i + 1, "manual", day + dt.timedelta(days=i))])
+    dead = tables["branches"].filter("name <> 'c'").select("id")
+    after, unknown = cascade.delete_branches(tables, dead)
+    assert unknown.count() == 0
+    # The natural keys of two files are alike now, which is reported; their classes and methods are not mixed up.
+    assert {r.rule for r in quality.unique_violations(after).collect()} == {"unique_repository_id_branch_id_path"}
+    assert quality.foreign_key_violations(after).count() == 0
+    owner = {r.file_key: r.branch_id for r in after["source_files"].collect()}
+    assert len(owner) == 3 and sum(b is None for b in owner.values()) == 2
+    assert len({(r.file_key, r.name) for r in after["classes"].collect()}) == 3
+    assert all(owner[r.file_key] == r.branch_id for name in ("classes", "methods") for r in after[name].collect())
+    gone, _ = cascade.delete_repositories(after, after["repositories"].select("id"))
+    assert all(gone[name].count() == 0 for name in TABLES)
+
+
 def test_dropped_files_have_a_reason(spark):
     files = spark.createDataFrame([("r", "A.java", 1), ("r", "build/A.java", 1), ("r", "x.md", 1),
                                    ("r", "B.java", 2_000_000), ("r", "C.java", None)],

@@ -69,7 +69,8 @@ def test_topk_against_brute_force(spark, monkeypatch):
                               "vec_id long, embedding array<double>").repartition(7)
     q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(queries)],
                               "query_id long, embedding array<double>")
-    monkeypatch.setattr(search, "QUERIES_PER_PASS", 3)  # several passes
+    monkeypatch.setattr(search, "REQUESTS_PER_BLOCK", 3)
+    monkeypatch.setattr(search, "VECTORS_PER_PASS", 17)
     got = {}
     for r in search.semantic_topk(q, v, 4).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
@@ -81,6 +82,59 @@ def test_topk_against_brute_force(spark, monkeypatch):
     assert got == expected
 
 
+def test_topk_reads_the_vectors_once_and_takes_odd_rows(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, None), (4, []), (5, [0.5, 0.5]), (6, [None, 1.0])],
+                              "vec_id long, embedding array<double>")
+    q = spark.range(10_000).selectExpr("id as query_id", "array(1D, cast(id as double)) as embedding").unionByName(
+        spark.createDataFrame([(-1, None), (-2, [2.0]), (-3, [])], "query_id long, embedding array<double>"))
+    found = search.semantic_topk(q, v, 1)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {r.query_id: r.vec_id for r in found.collect()}
+    assert len(got) == 10_001 and got[-2] == 2 and got[0] == 1 and got[1] == 5
+    assert search.semantic_topk(q.limit(0), v, 1).count() == 0
+
+
+def plan_without_broadcast(spark, make):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return make()._jdf.queryExecution().optimizedPlan(), make()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_no_text_is_shuffled_by_a_diff(spark, tmp_path):
+    spark.createDataFrame([("a", "x\ny"), ("b", "z")], "path string, content string").write.parquet(str(tmp_path / "t"))
+    base = spark.read.parquet(str(tmp_path / "t"))
+    head = base.selectExpr("path", "concat(content, 'w') as content")
+    _, plan = plan_without_broadcast(spark, lambda: diff.snapshot_file_changes(base, head))
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and not any("content" in line for line in exchanges)
+    # What an exchange carries is what its child puts out: no projection below one keeps a text.
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning" in line:
+            assert "content" not in lines[i + 1].split("Batched")[0].split("xxhash64")[0]
+
+
+def test_few_tokens_that_are_no_names_are_shuffled(spark):
+    from srcstrata.operators import symbols
+    words = "' '.join"  # many words, few names
+    files = spark.range(50).selectExpr(
+        "1L as repository_id", "1L as branch_id", "concat('f', id, '.java') as path", "'Java' as language",
+        "concat('class C', id, ' {\n', concat_ws(' ', transform(sequence(1, 400), i -> concat('w', id, '_', i))), ' C', "
+        "(id + 1) % 50) as content")
+    named = search.file_names(symbols.with_lines(files))
+    edges = search.class_dependencies(named)
+    assert words and edges.count() == 50
+    uses = named.selectExpr("repository_id", "branch_id", "explode(tokens) as target_class")
+    from srcstrata.operators.bitmap import bitmap, maybe_in
+    names = named.selectExpr("repository_id", "branch_id", "explode(class_names) as target_class")
+    key = ("repository_id", "branch_id", "target_class")
+    kept = maybe_in(uses, bitmap(names, *key), *key).count()
+    assert uses.count() > 20_000 and 100 <= kept <= 200
+
+
 def test_symbol_search_is_case_sensitive(spark):
     schema = "repository_id long, branch_id long, path string, name string"
     classes = spark.createDataFrame([(1, 1, "a", "Foo"), (1, 1, "a", "foo")], schema)

@@ -35,21 +35,39 @@ def test_data_source(spark, tree):
     assert all(r["size"] == len(r.content) for r in rows)
 
 
-@pytest.mark.parametrize("parts", [1, 2, 1000])
+@pytest.mark.parametrize("parts", [1, 2, 40])
 def test_data_source_partitioning_changes_nothing(spark, tree, parts):
-    df = source_tree.read_tree(spark, str(tree), numPartitions=parts)
+    df = source_tree.read_tree(spark, str(tree), partitions=parts)
     assert sorted(r.path for r in df.select("path").collect()) == sorted(EXPECTED)
 
 
 def test_file_uri_and_cap_option(spark, tree):
-    df = source_tree.read_tree(spark, f"file://{tree}", maxFileBytes=1)
+    df = source_tree.read_tree(spark, f"file://{tree}", max_file_bytes=1)
     assert "exact.py" not in {r.path for r in df.collect()}
 
 
-@pytest.mark.parametrize("levels", [0, 1, 2, 9])
-def test_many_trees(spark, tree, levels):
+def test_format_reads_the_same_files(spark, tree):
+    spark.dataSource.register(source_tree.SourceTree)
+    df = spark.read.format("source_tree").option("path", str(tree)).load()
+    assert {r.path for r in df.collect()} == EXPECTED
+
+
+def test_every_entry_has_a_row_and_a_reason(spark, tree):
+    roots = spark.createDataFrame([(str(tree),), (str(tree / "nowhere"),)], "root string")
+    entries = source_tree.list_entries(roots).collect()
+    reasons = {r.path: r.reason for r in entries if r.root == str(tree) and r.reason}
+    assert reasons == {"build": "skipped folder", "src/out": "skipped folder", "src/target": "skipped folder",
+                       "over.py": "size", "broken.py": "unreadable size"}
+    assert [(r.path, r.reason) for r in entries if r.root != str(tree)] == [("", "unreadable root")]
+    assert {r.path: r["size"] for r in entries}["over.py"] == 1_000_001
+    with pytest.raises(Exception, match="unreadable root"):
+        source_tree.read_tree(spark, str(tree / "nowhere")).collect()
+
+
+@pytest.mark.parametrize("folders", [1, 2, 1000])
+def test_many_trees(spark, tree, folders):
     roots = spark.createDataFrame([(1, str(tree)), (2, str(tree / "pkg"))], "id long, root string")
-    files = source_tree.list_trees(roots, fan_out_levels=levels)
+    files = source_tree.list_trees(roots, folders_per_task=folders, partitions=2)
     got = source_tree.read_files(files).collect()
     assert {r.path for r in got if r.id == 1} == EXPECTED
     assert {r.path for r in got if r.id == 2} == {"__init__.py", ".eslintrc.js"}
@@ -85,7 +103,7 @@ def test_branch_listing_strict(spark):
         listings.parse_branch_listing(branch_lines(spark, "abc refs/tags/v1"), strict=True).collect()
 
 
-FILES = "repository_id long, branch_id long, scan_run_id long, path string, language string, loc int"
+FILES = "repository_id long, branch_id long, scan_run_id long, path string, language string, loc int, file_key string"
 
 
 def test_snapshot_sink(spark, tmp_path):
@@ -100,24 +118,24 @@ def test_snapshot_sink(spark, tmp_path):
     def stored():
         return [tuple(r) for r in tables.read_snapshot(spark, folder, "source_files").collect()]
 
-    first = [(1, 1, 10, "a.py", "Python", 1), (1, 2, 10, "b.py", "Python", 2),
-             (2, None, 10, "c.py", "Python", 3)]
+    first = [(1, 1, 10, "a.py", "Python", 1, "a"), (1, 2, 10, "b.py", "Python", 2, "b"),
+             (2, None, 10, "c.py", "Python", 3, "c")]
     tables.write_snapshot(rows(*first), scanned((1, 1), (1, 2), (2, None)), folder)
     assert set(stored()) == set(first)
     # Branch 1 is replaced, branch 2 was scanned empty, repository 2 not at all.
-    second = [(1, 1, 11, "z.py", "Python", 9)]
+    second = [(1, 1, 11, "z.py", "Python", 9, "z")]
     tables.write_snapshot(rows(*second), scanned((1, 1), (1, 2)), folder)
     assert set(stored()) == {*second, first[2]}
     # The same scan written twice leaves the same rows, and the cleared branch can fill again.
     tables.write_snapshot(rows(*second), scanned((1, 1), (1, 2)), folder)
     assert set(stored()) == {*second, first[2]}
-    tables.write_snapshot(rows((1, 2, 12, "n.py", "Python", 4)), scanned((1, 2)), folder)
-    assert set(stored()) == {*second, first[2], (1, 2, 12, "n.py", "Python", 4)}
+    tables.write_snapshot(rows((1, 2, 12, "n.py", "Python", 4, "n")), scanned((1, 2)), folder)
+    assert set(stored()) == {*second, first[2], (1, 2, 12, "n.py", "Python", 4, "n")}
 
 
 def test_partition_filter_prunes(spark, tmp_path):
     folder = str(tmp_path / "f")
-    df = spark.createDataFrame([(i, 1, 1, "a.py", "Python", 1) for i in range(5)], FILES)
+    df = spark.createDataFrame([(i, 1, 1, "a.py", "Python", 1, str(i)) for i in range(5)], FILES)
     tables.write_snapshot(df, df, folder)
     read = tables.read_snapshot(spark, folder, "source_files").filter(F.col("repository_id") == 3)
     plan = read._jdf.queryExecution().executedPlan().toString()
