@@ -20,7 +20,6 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import chain
 
 import pandas as pd
@@ -44,14 +43,18 @@ def _local(root: str) -> str:
     return root.removeprefix("file://").removeprefix("file:")
 
 
-@lru_cache(maxsize=64)
+_SYSTEMS: dict = {}  # clients of this task
+
+
 def _remote(root: str):
     """(file system, base path) for a URI such as s3:// or hdfs://; None for a mounted path."""
     if "://" not in root:
         return None
-    from pyarrow import fs
-    system, base = fs.FileSystem.from_uri(root)
-    return system, base.rstrip("/")
+    if root not in _SYSTEMS:
+        from pyarrow import fs
+        system, base = fs.FileSystem.from_uri(root)
+        _SYSTEMS[root] = system, base.rstrip("/")
+    return _SYSTEMS[root]
 
 
 def _entries(root: str, folder: str) -> Iterator[tuple[str, bool, int | None, str | None]]:
