@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from srcstrata.llm.common import rows_of
 
 SAMPLE, NAMES, LEAST = 2000, 10_000, 0.01
+# A page's tokens inside and outside count as so many; what never occurs counts as half of one.
+SHARES, UNSEEN = 10_000, 0.5
 CONTENT = {"article", "main"}
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select")
 BOILERPLATE = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "head", "figure-ad",
@@ -255,13 +257,15 @@ def main_text(page: str, weights: dict[str, float]) -> str:
 
 
 def counted(page: str) -> dict[str, list[int]]:
-    """Words and tags of a labelled page, inside and outside of its content."""
+    """Words and tags of a labelled page inside and outside of its content, as shares of ``SHARES`` of what is there, so
+    that a page counts the same whatever its length."""
     counts: dict[str, list[int]] = {}
     for kind, value, outside, content in tokens(page):
         n = words_in(value) if kind == "text" else 1
         place = 0 if content and not outside else 1
         counts.setdefault("word" if kind == "text" else kind, [0, 0])[place] += n
-    return counts
+    inside, outside = (max(1, sum(c[place] for c in counts.values())) for place in (0, 1))
+    return {name: [SHARES * a // inside, SHARES * b // outside] for name, (a, b) in counts.items()}
 
 
 def fitted(pages: DataFrame, sample: int = SAMPLE, names: int = NAMES) -> dict[str, float]:
@@ -299,7 +303,7 @@ def weights_of(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     outside = sum(b for _, b in counts.values()) + 1
 
     def odds(a, b):
-        return math.log(((a + 0.5) / inside) / ((b + 0.5) / outside))
+        return math.log(((a + UNSEEN) / inside) / ((b + UNSEEN) / outside))
     weights = {"word": max(1.0, odds(*counts.get("word", (1, 0)))), "tag": -1.0}
     for name, (a, b) in counts.items():
         if name != "word":
