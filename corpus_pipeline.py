@@ -43,7 +43,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality rules", quality), ("exact dedup", exact_dedup), ("SimHash near-dedup", near_dedup),
           ("PII", sanitise), ("best-fit packing", pack)]
 
-# Hash chains, components and packing have no SQL form; tests hold the rows against plain Python.
+# Hash chains, components and packing have no SQL form; tests/llm/test_pipeline.py holds every stage against a plain one.
 ORACLE_SQL = None
 
 

@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     # Hash instead of sort where every partition of one side is known to be this small.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Texts of any length travel in batches of bounded bytes, whatever their rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
 
@@ -46,10 +48,15 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder that every executor can reach, removed when the session's driver ends.
 
     It lies in ``spark.checkpoint.dir``; where that is unset, in the warehouse,
-    which a session's executors share too.
+    which a session's executors share too unless it is a folder of each machine:
+    then a cluster has no such folder, and that is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or (
-        spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"{warehouse}/scratch"
     folder = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
