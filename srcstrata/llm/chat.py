@@ -81,10 +81,15 @@ MAPPINGS = (
 )
 
 
+def _name(field: str) -> str:
+    """A field's name in a path, with the signs of paths escaped: ``a.b`` is one field and no field in another."""
+    return re.sub(r"[\\.\[\]\n]", lambda m: "\\n" if m[0] == "\n" else "\\" + m[0], field)
+
+
 def paths(value, at: str = "") -> set[str]:
     """Field paths of a parsed JSON value; list positions do not count."""
     if isinstance(value, dict) and value:
-        return set().union(*(paths(v, f"{at}.{k}" if at else k) for k, v in value.items()))
+        return set().union(*(paths(v, f"{at}.{_name(k)}" if at else _name(k)) for k, v in value.items()))
     if isinstance(value, list) and value:
         return set().union(*(paths(v, f"{at}[]") for v in value))
     return {at}

@@ -460,7 +460,7 @@ def ids_crc32(ids: Iterable[int]) -> int:
 
 
 def encoding_digests(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
-    """(doc_id, n_ids, n_words, ids_crc32, lossless) of every row: each text is encoded and decoded again."""
+    """(doc_id, n_ids, ids_crc32, lossless) of every row: each text is encoded and decoded again."""
     def run(batches):
         pieces, known = Pieces(model), Splits()
         for batch in batches:

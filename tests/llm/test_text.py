@@ -56,6 +56,15 @@ def test_layouts_become_turns(spark):
     assert found.filter("layout IS NOT NULL").select("fingerprint").distinct().count() == 8
 
 
+def test_field_names_with_signs_of_paths_are_other_layouts(spark):
+    odd = [{"conv_id": 1, "messages[].role": "user", "messages[].content": "x"}, {"conv_id": 1, "prompt\nresponse": "x"},
+           {"conv_id": 1, "a.b": 1}, {"conv_id": 1, "a": {"b": 1}}]
+    records = spark.createDataFrame([(json.dumps(x),) for x in odd], "record string")
+    found = chat.canonical_turns(records).collect()
+    assert [r.problem for r in found] == ["no mapping"] * 4
+    assert len({r.fingerprint for r in found}) == 4
+
+
 def test_fingerprints_of_mappings_differ():
     prints = [p for m in chat.MAPPINGS for p in m.fingerprints()]
     assert len(prints) == len(set(prints))
