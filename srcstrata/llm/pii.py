@@ -86,9 +86,11 @@ def _found(kind: str, text: Column) -> Column:
     def step(acc, x):
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(
-            start.alias("start"), end.alias("end"), x["hit"].alias("value")))).alias("out"))
-    spans = F.filter(F.aggregate(pairs, empty, step, lambda acc: acc["out"]), lambda x: _valid(kind, x["value"]))
+        # Matches that fail are not appended: a long text of numbers has many, and an array is copied to grow.
+        longer = F.concat(acc["out"], F.array(F.struct(
+            start.alias("start"), end.alias("end"), x["hit"].alias("value"))))
+        return F.struct(end.alias("at"), F.when(_valid(kind, x["hit"]), longer).otherwise(acc["out"]).alias("out"))
+    spans = F.aggregate(pairs, empty, step, lambda acc: acc["out"])
     return F.when(_guard(kind, text), spans).otherwise(F.array().cast(_SPANS))
 
 
