@@ -40,7 +40,7 @@ def folder(spark, tmp_path_factory):
     """The small table with awkward rows, repeated rows and columns of clashing names."""
     where = str(tmp_path_factory.mktemp("pipeline"))
     given = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    odd = spark.createDataFrame([(i, t) for i, t in awkward() + mails()], "doc_id long, text string").withColumns(
+    odd = spark.createDataFrame([(None if i is None else 1000 + i, t) for i, t in awkward() + mails()], "doc_id long, text string").withColumns(
         {"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.length("text")})
     odd = odd.select(*[F.col(c).cast(given.schema[c].dataType) for c in given.columns])
     extra = {c: F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASHING}
