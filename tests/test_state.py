@@ -219,3 +219,12 @@ def test_batches_may_be_cut_anywhere(spark):
     shown = ["url", "name", "created_at", "updated_at"]
     assert sorted(map(str, whole.select(shown).collect())) == sorted(map(str, parts.select(shown).collect()))
     assert {r.url: r.created_at for r in whole.collect()} == {"u": day(1), None: day(2)}
+
+
+def test_row_rules_filter_before_hits_are_built(spark, capsys):
+    made = spark.createDataFrame([(1, None, "u", T0, T0), (2, "b", None, None, T0), (3, "c", "u", T0, T0)], REPOSITORIES)
+    found = quality.not_null_violations({"repositories": made})
+    assert rows(found, "rule", "key") == {("name_required", "1"), ("url_required", "2"), ("created_at_required", "2")}
+    found.explain()
+    plain = [line for line in capsys.readouterr().out.splitlines() if "Filter" in line and "array(" not in line]
+    assert any("isnull(name" in line and " OR " in line for line in plain)
