@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from srcstrata.functions import patterns as P
+from srcstrata.functions.text import LINE_END
 from srcstrata.operators import search, symbols
 
 
@@ -129,6 +130,37 @@ def test_dependencies_count_every_pair(spark):
     assert rows.agg({"target_files": "sum"}).first()[0] == counted == 6
 
 
+def test_dependencies_match_every_text_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def counted(lines):
+        read.add(1)
+        return lines
+
+    texts = files(spark, ("a.java", "Java", "class A {\nB b;"), ("b.java", "Java", "class B {"), ("C.java", "Java", "void f() {}"))
+    named = search.file_names(texts.withColumn("lines", counted.asNondeterministic()("lines")))
+    assert [(r.source_path, r.target_class) for r in search.class_dependencies(named).collect()] == [("a.java", "B")]
+    assert read.value == 3
+
+
+def test_names_and_symbols_of_one_pass(spark):
+    texts = files(spark, ("a.java", "Java", "class A {\nclass A {\nB b;"), ("m.js", "JavaScript", "function q(x) {\nif (x) {"),
+                  ("e.go", "Go", "// nothing\r\n\r"), ("k.py", "Python", "if (x):"), ("n.py", "Python", ""))
+    found = search.match_names(texts)
+    assert sorted(found.drop("tokens").collect()) == sorted(symbols.match_symbols(texts).collect())
+    names = search.matched_names(found).collect()
+    assert sorted(names) == sorted(search.file_names(texts).collect())
+    assert {r.path: r.class_names for r in names} == {"a.java": ["A"], "m.js": ["m"], "e.go": [], "k.py": [], "n.py": []}
+
+
+def test_line_ends_are_those_of_the_plain_pattern(spark):
+    draw = random.Random(7)
+    rows = [("".join(draw.choices(["a", "\r", "\n", "\r\n", "\u0085", "é"], k=draw.randrange(12))),) for _ in range(3000)]
+    frame = spark.createDataFrame(rows, "t string")
+    assert frame.filter(~(F.split("t", LINE_END, -1) == F.split("t", r"\r\n|\r|\n", -1))).collect() == []
+
+
 def test_methods_are_the_pattern_s_in_linear_time(spark):
     draw = random.Random(4)
     parts = ["f", "f(", "f(", "$g", "a$b", "9x", "if", "(", ")", "(", ")", ")", ")", ";", "{", "}", " ", "  ", "throws", " A, B", ".", "=",
