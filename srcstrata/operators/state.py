@@ -75,13 +75,14 @@ def new_rows(state: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def assign_ids(rows: DataFrame, keys: Sequence[str], used: DataFrame, buckets: int = 1024,
-               column: str = "id") -> DataFrame:
+               column: str = "id", bucket: Column | None = None) -> DataFrame:
     """Dense new ids above the largest used one, the same on every evaluation.
 
-    Rows are numbered inside hash buckets of their unique key; only the bucket
-    sizes (at most ``buckets`` rows) are summed up in one place.
+    Rows are numbered inside hash buckets of their unique key, or the given
+    ones; only the bucket sizes (at most ``buckets`` rows) are summed up in one place.
     """
-    bucketed = rows.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int") if bucket is None else bucket
+    bucketed = rows.withColumn("__bucket", bucket)
     sizes = bucketed.groupBy("__bucket").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(F.lit(0)).orderBy("__bucket").rowsBetween(
         Window.unboundedPreceding, -1)

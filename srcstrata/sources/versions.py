@@ -43,10 +43,23 @@ class VersionTaken(RuntimeError):
 
 @dataclass(frozen=True)
 class Change:
-    """New rows of the named buckets; all their old rows go."""
+    """New rows of the named buckets; all their old rows go.
+
+    ``placed`` says that a shuffle has put the rows of a bucket into few tasks already.
+    """
 
     rows: DataFrame
     buckets: tuple[int, ...]
+    placed: bool = False
+
+
+@dataclass(frozen=True)
+class Written:
+    """A change whose rows are in files; no reader sees them before a commit names their folders."""
+
+    schema: T.StructType
+    buckets: tuple[int, ...]
+    folders: dict[str, str]
 
 
 class VersionedTables:
@@ -100,14 +113,25 @@ class VersionedTables:
         """A table, or some of its buckets; empty, with ``schema`` or the declared one, where it never was written."""
         held = (manifest or self.manifest(version))["tables"].get(name)
         if held is None:
-            return self.spark.createDataFrame([], schema or TABLES[name].schema)
+            return self._empty(schema or TABLES[name].schema)
         schema = T.StructType.fromJson(held["schema"])
         wanted = None if buckets is None else set(buckets)
         folders = [folder for b, folder in sorted(held["folders"].items(), key=lambda x: int(x[0]))
                    if wanted is None or int(b) in wanted]
-        if not folders:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in folders])
+        return self._files(schema, folders)
+
+    def holds(self, name: str, buckets: Iterable[int], manifest: dict) -> bool:
+        """Whether a version has rows of a table in any of the buckets."""
+        held = manifest["tables"].get(name, {"folders": {}})["folders"]
+        return any(str(b) in held for b in buckets)
+
+    def _files(self, schema: T.StructType, folders: Iterable[str]) -> DataFrame:
+        paths = [f"{self.root}/{f}" for f in folders]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self._empty(schema)
+
+    def _empty(self, schema: T.StructType) -> DataFrame:
+        """No rows, which the optimizer sees: what is joined with them is not shuffled."""
+        return self.spark.createDataFrame([], schema).limit(0)
 
     # --- writing
 
@@ -130,7 +154,20 @@ class VersionedTables:
         """A table's whole new content."""
         return Change(rows, tuple(range(self.buckets)))
 
-    def commit(self, changes: dict[str, Change], ledger: dict[str, int] | None = None,
+    def place(self, name: str, rows: DataFrame) -> DataFrame:
+        """``rows``, which have the table's bucket column, dealt out by bucket."""
+        return rows.withColumn("bucket", self.bucket(name)).hint("rebalance", "bucket").drop("bucket")
+
+    def write(self, name: str, change: Change, base: dict) -> Written:
+        """Writes a change's files ahead of the commit of the version after ``base``."""
+        folder = f"data/{name}/{base['version'] + 1:09d}-{uuid.uuid4().hex[:12]}"
+        return Written(change.rows.schema, change.buckets, self._write(name, change, folder))
+
+    def written(self, change: Written) -> DataFrame:
+        """The rows of a change whose files are written."""
+        return self._files(change.schema, [f for _, f in sorted(change.folders.items())])
+
+    def commit(self, changes: dict[str, Change | Written], ledger: dict[str, int] | None = None,
                base: dict | None = None) -> int:
         """Writes the changes and commits them as the version after ``base``; returns its number.
 
@@ -143,8 +180,9 @@ class VersionedTables:
         for name, change in changes.items():
             held = tables.get(name, {"folders": {}})
             folders = {b: f for b, f in held["folders"].items() if int(b) not in set(change.buckets)}
-            folders.update(self._write(name, change, f"data/{name}/{version:09d}-{write}"))
-            tables[name] = {"schema": change.rows.schema.jsonValue(), "folders": folders}
+            change = change if isinstance(change, Written) else self.write(name, change, base)
+            folders.update(change.folders)
+            tables[name] = {"schema": change.schema.jsonValue(), "folders": folders}
         self._commit({"version": version, "buckets": self.buckets, "tables": tables,
                       "ledger": {**base["ledger"], **(ledger or {})}}, write)
         return version
@@ -153,8 +191,9 @@ class VersionedTables:
         """Writes the buckets and returns their folders; an empty bucket has none."""
         if not change.buckets:
             return {}
-        (change.rows.withColumn("bucket", self.bucket(name)).hint("rebalance", "bucket")
-         .write.option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{self.root}/{folder}"))
+        rows = change.rows if change.placed else self.place(name, change.rows)
+        (rows.withColumn("bucket", self.bucket(name)).write.option("partitionOverwriteMode", "static")
+         .partitionBy("bucket").parquet(f"{self.root}/{folder}", compression="zstd"))
         names = [f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.root}/{folder}"))]
         found = {n.partition("=")[2]: f"{folder}/{n}" for n in names if n.startswith("bucket=")}
         stray = set(map(int, found)) - set(change.buckets)

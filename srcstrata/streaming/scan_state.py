@@ -13,7 +13,12 @@ which branch became a repository's default.
 
 A batch reads and writes the buckets of the repositories it names and no
 others; what is larger than the batch is never shuffled whole. Only the
-repositories' ids are read whole, for the next id.
+repositories' ids are read whole, for the next id. A table's files are written
+once, ahead of the commit that names them, and later steps read these. Where a
+table has no rows in the batch's buckets, as in a first load, there is nothing
+to compare with, and rows are written as the numbering has placed them. Between
+steps go the columns that are needed later: files are looked up for the scans
+that give them, not carried along.
 """
 
 from __future__ import annotations
@@ -30,12 +35,14 @@ from srcstrata.operators.summary import default_branch_flag
 from srcstrata.operators.symbols import file_key
 from srcstrata.schemas import TABLES
 from srcstrata.session import stored
-from srcstrata.sources.versions import Change, VersionedTables
+from srcstrata.sources.versions import Change, VersionedTables, Written
 
 # One row per finished scan; files are those of the branch, null for a failed scan.
 EVENT_COLUMNS = ["scan_run_id", "url", "name", "branch_name", "head_commit_sha", "author_name", "author_email", "message",
                  "committed_at", "trigger_type", "error_message", "event_time", "files"]
 CLOCK = ["event_time", "event_id"]
+# Parts of a bucket that new rows are numbered in, and so the files a first load gives a bucket at most.
+PARTS = 16
 STATE_TABLES = ["repositories", "commits", "branches", "branch_commits", "scan_runs", "source_files",
                 "repository_metrics"]
 
@@ -62,25 +69,32 @@ def _empty(name: str, events: DataFrame) -> DataFrame:
 
 
 def upsert_ordered(table: DataFrame, batch: DataFrame, keys: Sequence[str], values: dict[str, Column], first: str | None,
-                   name: str, fresh=None, ids: DataFrame | None = None) -> DataFrame:
+                   name: str, fresh=None, ids: DataFrame | None = None, bucket: Column | None = None,
+                   held: bool = True) -> DataFrame:
     """``table`` after a batch of events, whatever their order.
 
     ``values`` are what the last event of a key sets, in terms of its columns;
     ``first`` is a time column that keeps the key's earliest event. New keys get
-    the columns that ``fresh(table, rows)`` adds, and an id above those of ``ids``.
+    the columns that ``fresh(table, rows)`` adds, and an id above those of ``ids``,
+    numbered by ``bucket``. ``held`` is false where the table is known to be empty.
     """
     order = F.struct(*CLOCK)
     keyed = batch.select(*keys, *CLOCK, *[v.alias(c) for c, v in values.items()])
     last = keyed.groupBy(*keys).agg(F.max_by(F.struct(*CLOCK, *values), order).alias("__last"),
                                     F.min("event_time").alias("__first")).select(*keys, "__last.*", "__first")
-    rows = state.tagged(table, last, keys, name)
-    new = rows.filter("__known IS NULL")
+    if not held:
+        new = last if fresh is None and ids is None else stored(last, f"batch-{name}", "zstd")
+    else:
+        rows = state.tagged(table, last, keys, name)
+        new = rows.filter("__known IS NULL")
     if fresh is not None:
         new = fresh(table, new)
     if ids is not None:
-        new = state.assign_ids(new, keys, ids)
+        new = state.assign_ids(new, keys, ids, bucket=bucket)
     if first:
         new = new.withColumn(first, F.col("__first"))
+    if not held:
+        return new.select(*table.columns)
     later = F.struct(*[F.col(f"new_{c}") for c in CLOCK]) > F.struct(*CLOCK)
     updates = {c: F.when(later, F.col(f"new_{c}")).otherwise(F.col(c)) for c in [*CLOCK, *values]}
     if first:
@@ -93,62 +107,67 @@ def apply_scans(store: VersionedTables, events: DataFrame, ledger: dict[str, int
     held = store.manifest()
     if ledger and all(held["ledger"].get(stream, -1) >= batch for stream, batch in ledger.items()):
         return None
-    events = stored(events.select(*EVENT_COLUMNS).withColumn("event_id", F.col("scan_run_id")), "events")
+    events = stored(events.select(*EVENT_COLUMNS), "events", "zstd").withColumn("event_id", F.col("scan_run_id"))
     schemas = {n: _empty(n, events).schema for n in STATE_TABLES}
-    changes: dict[str, Change] = {}
-
-    def part(name: str, rows: DataFrame) -> tuple[DataFrame, tuple[int, ...]]:
-        buckets = store.touched(name, rows)
-        return store.read(name, buckets=buckets, manifest=held, schema=schemas[name]), buckets
-
-    def changed(name: str, after: DataFrame, buckets: tuple[int, ...]) -> DataFrame:
-        rows = stored(after.select(*schemas[name].names), f"state-{name}")
-        changes[name] = Change(rows, buckets)
-        return rows
-
-    def all_ids(name: str) -> DataFrame:
-        return store.read(name, manifest=held, schema=schemas[name]).select("id")
-
-    repositories, buckets = part("repositories", events)
-    repositories = changed("repositories", upsert_ordered(
-        repositories, events, ["url"], {"name": F.col("name"), "updated_at": F.col("event_time")}, "created_at",
-        "repositories", ids=all_ids("repositories")), buckets)
-    scans = stored(events.join(repositories.select("url", F.col("id").alias("repository_id")), "url"), "scans")
-
-    commits, buckets = part("commits", scans)
-    commits = changed("commits", upsert_ordered(
-        commits, scans.withColumn("sha", F.col("head_commit_sha")), ["repository_id", "sha"],
-        {c: F.col(c) for c in ("author_name", "author_email", "message", "committed_at")}, "discovered_at", "commits",
-        ids=all_ids("commits")), buckets)
-
-    branches, _ = part("branches", scans)
-    branches = changed("branches", upsert_ordered(
-        branches, scans.withColumn("name", F.col("branch_name")), ["repository_id", "name"],
+    changes: dict[str, Written] = {}
+
+    def part(name: str, buckets: tuple[int, ...]) -> DataFrame:
+        return store.read(name, buckets=buckets, manifest=held, schema=schemas[name])
+
+    def changed(name: str, after: DataFrame, buckets: tuple[int, ...], placed: bool = False) -> DataFrame:
+        changes[name] = store.write(name, Change(after.select(*schemas[name].names), buckets, placed), held)
+        return store.written(changes[name])
+
+    def upserted(name: str, table: DataFrame, batch: DataFrame, keys: Sequence[str], values: dict[str, Column],
+                 first: str | None, buckets: tuple[int, ...], numbered: bool = True, fresh=None) -> DataFrame:
+        known = store.holds(name, buckets, held)
+        ids = store.read(name, manifest=held, schema=schemas[name]).select("id") if numbered else None
+        # Parts of the table's buckets: rows that were numbered in them need no further shuffle, however large a bucket is.
+        parts = store.bucket(name) * PARTS + F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int")
+        after = upsert_ordered(table, batch, keys, values, first, name.replace("_", "-"), fresh, ids, parts, known)
+        return changed(name, after, buckets, placed=numbered and not known)
+
+    buckets = store.touched("repositories", events)
+    repositories = upserted(
+        "repositories", part("repositories", buckets), events, ["url"],
+        {"name": F.col("name"), "updated_at": F.col("event_time")}, "created_at", buckets)
+    scans = stored(events.withColumn("n_files", F.size("files")).drop("event_id", "files", "name").join(
+        repositories.select("url", F.col("id").alias("repository_id")), "url").drop("url"), "scans", "zstd").withColumn(
+        "event_id", F.col("scan_run_id"))
+
+    buckets = store.touched("commits", scans)
+    commits = upserted(
+        "commits", part("commits", buckets), scans.withColumn("sha", F.col("head_commit_sha")), ["repository_id", "sha"],
+        {c: F.col(c) for c in ("author_name", "author_email", "message", "committed_at")}, "discovered_at", buckets)
+
+    branches = upserted(
+        "branches", part("branches", buckets), scans.withColumn("name", F.col("branch_name")), ["repository_id", "name"],
         {"last_seen_commit_sha": F.col("head_commit_sha"), "last_scanned_commit_sha": F.col("head_commit_sha"),
-         "updated_at": F.col("event_time")}, "created_at", "branches",
-        fresh=lambda table, rows: default_branch_flag(table, rows.withColumn("first_seen_at", F.col("__first"))),
-        ids=all_ids("branches")), buckets)
+         "updated_at": F.col("event_time")}, "created_at", buckets,
+        fresh=lambda table, rows: default_branch_flag(table, rows.withColumn("first_seen_at", F.col("__first"))))
 
     scans = stored(
-        scans.join(branches.select("repository_id", F.col("name").alias("branch_name"), F.col("id").alias("branch_id")),
-                   ["repository_id", "branch_name"])
-        .join(commits.select("repository_id", F.col("sha").alias("head_commit_sha"), F.col("id").alias("commit_id")),
-              ["repository_id", "head_commit_sha"])
-        .withColumn("status", F.when(F.col("error_message").isNull(), "completed").otherwise("failed")), "scans")
-
-    links, _ = part("branch_commits", scans)
-    changed("branch_commits", upsert_ordered(
-        links, scans, ["branch_id", "commit_id"], {"repository_id": F.col("repository_id")}, "first_seen_at",
-        "branch-commits", ids=all_ids("branch_commits")), buckets)
-
-    runs, _ = part("scan_runs", scans)
+        scans.select("scan_run_id", "repository_id", "branch_name", "head_commit_sha", "trigger_type", "error_message",
+                     "event_time", "n_files")
+        .join(branches.select("repository_id", F.col("name").alias("branch_name"), F.col("id").alias("branch_id")),
+              ["repository_id", "branch_name"]).drop("branch_name"), "scans", "zstd").withColumn(
+        "event_id", F.col("scan_run_id")).withColumn(
+        "status", F.when(F.col("error_message").isNull(), "completed").otherwise("failed"))
+
+    linked = scans.select("repository_id", "branch_id", "head_commit_sha", *CLOCK).join(
+        commits.select("repository_id", F.col("sha").alias("head_commit_sha"), F.col("id").alias("commit_id")),
+        ["repository_id", "head_commit_sha"])
+    upserted("branch_commits", part("branch_commits", buckets), linked, ["branch_id", "commit_id"],
+             {"repository_id": F.col("repository_id")}, "first_seen_at", buckets)
+
+    runs = part("scan_runs", buckets)
     before = _last_completed(runs.withColumnRenamed("id", "scan_run_id"))
-    changed("scan_runs", upsert_ordered(
-        runs, scans.withColumn("id", F.col("scan_run_id")), ["id"],
+    upserted(
+        "scan_runs", runs, scans.withColumn("id", F.col("scan_run_id")), ["id"],
         {**{c: F.col(c) for c in ("repository_id", "branch_id", "head_commit_sha", "status", "trigger_type",
                                   "error_message")},
          "base_commit_sha": F.lit(None).cast("string"), "started_at": F.col("event_time"),
-         "completed_at": F.col("event_time")}, None, "scan-runs"), buckets)
+         "completed_at": F.col("event_time")}, None, buckets, numbered=False)
 
     # Of the completed scans of a branch, stored and new, the last one gives the files.
     completed = scans.filter("status = 'completed'")
@@ -156,22 +175,25 @@ def apply_scans(store: VersionedTables, events: DataFrame, ledger: dict[str, int
     stale = before.withColumnsRenamed({"scan_run_id": "old_id", "event_time": "old_time"})
     last = null_safe_join(newest, stale, ["repository_id", "branch_id"], "left").filter(
         F.col("old_time").isNull() | (F.struct("event_time", "scan_run_id") > F.struct("old_time", "old_id")))
-    last = stored(last.select("repository_id", "branch_id", "scan_run_id"), "last-scans")
-    files, _ = part("source_files", scans)
-    found = (completed.join(last.select("scan_run_id"), "scan_run_id", "left_semi")
-             .dropDuplicates(["scan_run_id"])
-             .select("repository_id", "branch_id", "scan_run_id", *CLOCK, F.explode("files").alias("f"))
-             .select("repository_id", "branch_id", "scan_run_id", *CLOCK, "f.path", "f.language", "f.loc")
-             .withColumn("file_key", file_key()))
-    changed("source_files", state.replace_branch_files(files, found.select(*files.columns), last), buckets)
-
-    metrics, _ = part("repository_metrics", scans)
+    last = stored(last.select("repository_id", "branch_id", "scan_run_id", "event_time"), "last-scans", "zstd")
+    given = null_safe_join(events.filter("error_message IS NULL").select("scan_run_id", "event_time", "files"), last,
+                           ["scan_run_id", "event_time"], "inner").dropDuplicates(
+        ["scan_run_id", "event_time", "repository_id", "branch_id"])
+    # A scan's files are dealt out as one row, and keyed where they are written.
+    found = (store.place("source_files", given)
+             .select("repository_id", "branch_id", "scan_run_id", "event_time", F.explode("files").alias("f"))
+             .select("repository_id", "branch_id", "scan_run_id", "event_time", "f.path", "f.language", "f.loc")
+             .withColumn("event_id", F.col("scan_run_id")).withColumn("file_key", file_key()))
+    files = part("source_files", buckets)
+    kept = state.replace_branch_files(files, files.limit(0), last)
+    changed("source_files", store.place("source_files", kept).unionByName(found.select(*files.columns)), buckets, placed=True)
+
     counted = completed.withColumn("date", F.to_date("event_time")).withColumn(
-        "file_count", F.coalesce(F.size("files"), F.lit(0)))
-    changed("repository_metrics", upsert_ordered(
-        metrics, counted, ["repository_id", "branch_id", "date"],
+        "file_count", F.coalesce("n_files", F.lit(0)))
+    upserted(
+        "repository_metrics", part("repository_metrics", buckets), counted, ["repository_id", "branch_id", "date"],
         {"scan_run_id": F.col("scan_run_id"), "file_count": F.greatest("file_count", F.lit(0)), "class_count": F.lit(0),
-         "method_count": F.lit(0), "dependency_count": F.lit(0)}, None, "daily-metrics"), buckets)
+         "method_count": F.lit(0), "dependency_count": F.lit(0)}, None, buckets, numbered=False)
     return store.commit(changes, ledger, held)
 
 

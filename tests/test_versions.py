@@ -294,3 +294,22 @@ def test_rejected_manifest_rows(spark):
     assert tuple(loaded.filter("id = 1").select(*listings.COMMIT_COLUMNS[:5]).first()) == ("HEAD", "abc", None, None, "m")
     assert loaded.filter("id = 1").select(F.col("committed_at").cast("timestamp_ntz")).first()[0] == dt.datetime(2026, 1, 1)
     assert listings.rejected_commits(loaded).count() == 2
+
+
+def test_tables_of_a_batch_are_written_once(spark, tmp_path, monkeypatch):
+    kept = []
+    monkeypatch.setattr(scan_state, "stored", lambda df, purpose, *more: kept.append((purpose, df.columns)) or stored(df, purpose, *more))
+    store = VersionedTables(spark, str(tmp_path / "t"), buckets=4)
+    assert scan_state.apply_scans(store, spark.createDataFrame(scans(20), EVENTS)) == 1
+    assert not [purpose for purpose, _ in kept if purpose.startswith("state-")]
+    assert [purpose for purpose, columns in kept if "files" in columns] == ["events"]
+    folders = {name: set(held["folders"].values()) for name, held in store.manifest()["tables"].items()}
+    for name, named in folders.items():  # no other files than those of the version
+        assert {f"data/{p.relative_to(tmp_path / 't/data').as_posix()}" for p in (tmp_path / "t/data" / name).glob("*/bucket=*")} == named
+
+
+def test_no_rows_are_not_shuffled(spark, tmp_path, capsys):
+    store = VersionedTables(spark, str(tmp_path / "t"))
+    some = spark.range(10).withColumnRenamed("id", "repository_id").repartition("repository_id")
+    some.join(store.read("branches", buckets=[1]), "repository_id", "left").explain()
+    assert "Join" not in capsys.readouterr().out
