@@ -70,18 +70,22 @@ def _empty(name: str, events: DataFrame) -> DataFrame:
 
 def upsert_ordered(table: DataFrame, batch: DataFrame, keys: Sequence[str], values: dict[str, Column], first: str | None,
                    name: str, fresh=None, ids: DataFrame | None = None, bucket: Column | None = None,
-                   held: bool = True) -> DataFrame:
+                   held: bool = True, repeated: DataFrame | None = None) -> DataFrame:
     """``table`` after a batch of events, whatever their order.
 
     ``values`` are what the last event of a key sets, in terms of its columns;
     ``first`` is a time column that keeps the key's earliest event. New keys get
     the columns that ``fresh(table, rows)`` adds, and an id above those of ``ids``,
     numbered by ``bucket``. ``held`` is false where the table is known to be empty.
+    ``repeated``, where given, has the keys of several rows: the other rows need no grouping.
     """
     order = F.struct(*CLOCK)
     keyed = batch.select(*keys, *CLOCK, *[v.alias(c) for c, v in values.items()])
-    last = keyed.groupBy(*keys).agg(F.max_by(F.struct(*CLOCK, *values), order).alias("__last"),
-                                    F.min("event_time").alias("__first")).select(*keys, "__last.*", "__first")
+    grouped = keyed if repeated is None else null_safe_join(keyed, repeated, keys, "left_semi")
+    last = grouped.groupBy(*keys).agg(F.max_by(F.struct(*CLOCK, *values), order).alias("__last"),
+                                      F.min("event_time").alias("__first")).select(*keys, "__last.*", "__first")
+    if repeated is not None:
+        last = null_safe_join(keyed, repeated, keys, "left_anti").withColumn("__first", F.col("event_time")).unionByName(last)
     if not held:
         new = last if fresh is None and ids is None else stored(last, f"batch-{name}", "zstd")
     else:
@@ -119,12 +123,14 @@ def apply_scans(store: VersionedTables, events: DataFrame, ledger: dict[str, int
         return store.written(changes[name])
 
     def upserted(name: str, table: DataFrame, batch: DataFrame, keys: Sequence[str], values: dict[str, Column],
-                 first: str | None, buckets: tuple[int, ...], numbered: bool = True, fresh=None) -> DataFrame:
+                 first: str | None, buckets: tuple[int, ...], numbered: bool = True, fresh=None,
+                 repeated: DataFrame | None = None) -> DataFrame:
         known = store.holds(name, buckets, held)
         ids = store.read(name, manifest=held, schema=schemas[name]).select("id") if numbered else None
         # Parts of the table's buckets: rows that were numbered in them need no further shuffle, however large a bucket is.
         parts = store.bucket(name) * PARTS + F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int")
-        after = upsert_ordered(table, batch, keys, values, first, name.replace("_", "-"), fresh, ids, parts, known)
+        after = upsert_ordered(table, batch, keys, values, first, name.replace("_", "-"), fresh, ids, parts, known,
+                               repeated)
         return changed(name, after, buckets, placed=numbered and not known)
 
     buckets = store.touched("repositories", events)
@@ -160,6 +166,8 @@ def apply_scans(store: VersionedTables, events: DataFrame, ledger: dict[str, int
     upserted("branch_commits", part("branch_commits", buckets), linked, ["branch_id", "commit_id"],
              {"repository_id": F.col("repository_id")}, "first_seen_at", buckets)
 
+    # A scan's event seldom comes twice in a batch; the ids alone tell, and are stored, so that few are broadcast.
+    repeated = stored(scans.groupBy(F.col("scan_run_id").alias("id")).count().filter("count > 1").select("id"), "repeated")
     runs = part("scan_runs", buckets)
     before = _last_completed(runs.withColumnRenamed("id", "scan_run_id"))
     upserted(
@@ -167,7 +175,7 @@ def apply_scans(store: VersionedTables, events: DataFrame, ledger: dict[str, int
         {**{c: F.col(c) for c in ("repository_id", "branch_id", "head_commit_sha", "status", "trigger_type",
                                   "error_message")},
          "base_commit_sha": F.lit(None).cast("string"), "started_at": F.col("event_time"),
-         "completed_at": F.col("event_time")}, None, buckets, numbered=False)
+         "completed_at": F.col("event_time")}, None, buckets, numbered=False, repeated=repeated)
 
     # Of the completed scans of a branch, stored and new, the last one gives the files.
     completed = scans.filter("status = 'completed'")

@@ -313,3 +313,14 @@ def test_no_rows_are_not_shuffled(spark, tmp_path, capsys):
     some = spark.range(10).withColumnRenamed("id", "repository_id").repartition("repository_id")
     some.join(store.read("branches", buckets=[1]), "repository_id", "left").explain()
     assert "Join" not in capsys.readouterr().out
+
+
+def test_events_that_come_twice_in_a_batch_count_once(spark, tmp_path):
+    once, twice = scans(30, 5), scans(30, 5)
+    twice += twice[:12]
+    held = []
+    for name, given in (("once", once), ("twice", twice)):
+        store = VersionedTables(spark, str(tmp_path / name), buckets=4)
+        scan_state.apply_scans(store, spark.createDataFrame(given, EVENTS).repartition(5))
+        held.append({n: sorted(map(repr, t.collect())) for n, t in scan_state.read_state(store).items()})
+    assert held[0] == held[1] and len(held[0]["scan_runs"]) == 30
