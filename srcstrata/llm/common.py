@@ -44,5 +44,10 @@ def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*inner), dict(zip(reversed(docs.columns), reversed(inner)))
 
 
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of few rows, so that few of its texts are Python objects at a time."""
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*(batch.column(n).to_pylist() for n in names))

@@ -24,8 +24,9 @@ of their own and get equal results; an empty table gives an empty one.
 
 from __future__ import annotations
 
-import hashlib
+import sys
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcstrata.llm.bloom import flagged, seen_once
-from srcstrata.llm.common import rows_of, texts
+from srcstrata.llm.common import rows_of, slices, texts
 from srcstrata.session import stored
 
 WINDOW, GRAM = 35, 8
 BLOCK_WORDS = 500_000
 REMEMBERED = 300_000
+ROWS_OUT = 100_000  # of small columns in a batch that a task hands on
+LETTERS = sys.maxunicode
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -100,7 +103,7 @@ def _anchors(keyed: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batches):
         hashes = WordHashes()
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             parts, owners = [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
                 words = text.encode("utf-8", "surrogatepass").split()
@@ -142,20 +145,35 @@ def _windows(mixed: DataFrame, window: int) -> DataFrame:
 
     def run(batches):
         hashes = WordHashes()
-        for batch in batches:
-            for row, (text, ranges) in enumerate(rows_of(batch, "text", "ranges")):
+        for batch in chain.from_iterable(map(slices, batches)):
+            held, n = [], 0
+
+            def emit():
+                owner, anchor, value, at = map(np.concatenate, zip(*held))
+                rows = pa.array(owner)
+                return pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(rows), batch.column("hash").take(rows), pa.array(anchor),
+                     pa.array(value.view(np.int64)), pa.array(at, pa.int32())], schema=schema)
+
+            lists = batch.column("ranges")
+            anchors, firsts, counts = (lists.flatten().field(c).to_numpy() for c in ("anchor", "first", "windows"))
+            end = 0
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                begin, end = end, end + len(lists[row])
                 words = text.encode("utf-8", "surrogatepass").split()
                 rolling = Rolling(words, hashes)
-                for part in range(0, len(ranges), 4096):
-                    some = ranges[part:part + 4096]
-                    at = np.concatenate([np.arange(r["first"], r["first"] + r["windows"]) for r in some])
-                    anchor = np.repeat([r["anchor"] for r in some], [r["windows"] for r in some])
-                    value = rolling.of(at, at + window)
-                    owner = pa.array(np.full(at.size, row))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(owner), batch.column("hash").take(owner),
-                         pa.array(anchor, pa.int64()), pa.array(value.view(np.int64)), pa.array(at, pa.int32())],
-                        schema=schema)
+                for part in range(begin, end, 4096):
+                    some = slice(part, min(part + 4096, end))
+                    count = counts[some]
+                    at = np.repeat(firsts[some] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                    held.append((np.full(at.size, row), np.repeat(anchors[some], count), rolling.of(at, at + window),
+                                 at))
+                    n += at.size
+                    if n >= ROWS_OUT:
+                        yield emit()
+                        held, n = [], 0
+            if held:
+                yield emit()
 
     return mixed.select("doc_id", "hash", "text", "ranges").mapInArrow(
         run, "doc_id long, hash long, anchor long, value long, at int")
@@ -194,34 +212,45 @@ def passages(ranges: list[dict], window: int) -> list[tuple[int, int]]:
     return [(a, b + window) for a, b in spans]
 
 
-def located(documents: list[list[bytes]], phrases: list[list[tuple[int, int]]]) -> Iterator[np.ndarray]:
-    """Per document a mask of the words in any occurrence of any of the block's phrases."""
+def located(documents: list[bytes], phrases: list[list[tuple[int, int]]]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Per document its words and a mask of those in any occurrence of any of the block's phrases.
+
+    A word of a phrase is a letter and a phrase a string, or a tuple of numbers
+    where there may be more words than letters. One document's words are held at
+    a time.
+    """
     import ahocorasick
-    number: dict[bytes, int] = {}
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for words, spans in zip(documents, phrases):
+    some = sum(b - a for spans in phrases for a, b in spans)
+    if not some:
+        for text in documents:
+            words = text.split()
+            yield words, np.zeros(len(words), bool)
+        return
+    kind, letter, key, other = ((ahocorasick.KEY_STRING, chr, "".join, "\0") if some < LETTERS else
+                                (ahocorasick.KEY_SEQUENCE, int, tuple, 0))
+    letters: dict[bytes, str | int] = {}
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, kind)
+    for text, spans in zip(documents, phrases):
+        words = text.split() if spans else []
         for a, b in spans:
-            automaton.add_word(tuple(number.setdefault(w, len(number) + 1) for w in words[a:b]))
-    if len(automaton):
-        automaton.make_automaton()
-    for words, spans in zip(documents, phrases):
+            automaton.add_word(key([letters.get(w) or letters.setdefault(w, letter(len(letters) + 1))
+                                    for w in words[a:b]]))
+    automaton.make_automaton()
+    for text in documents:
+        words = text.split()
         gone = np.zeros(len(words) + 1, np.int32)
-        if len(automaton):
-            for end, length in automaton.iter(tuple(number.get(w, 0) for w in words)):
-                gone[end + 1 - length] += 1
-                gone[end + 1] -= 1
-        yield np.cumsum(gone[:-1]) > 0
+        for end, length in automaton.iter(key([letters.get(w, other) for w in words])):
+            gone[end + 1 - length] += 1
+            gone[end + 1] -= 1
+        yield words, np.cumsum(gone[:-1]) > 0
 
 
 def _removed(df: DataFrame, window: int) -> DataFrame:
     def block(held):
-        documents = [t.encode("utf-8", "surrogatepass").split() for _, t, _ in held]
-        spans = [passages(r or [], window) for _, _, r in held]
+        ids, documents, spans = zip(*held)
         out = []
-        for (document, _, _), words, gone in zip(held, documents, located(documents, spans)):
-            out.append((document, len(words), int(gone.sum()),
-                        b" ".join([w for w, g in zip(words, gone.tolist()) if not g]) if gone.any()
-                        else b" ".join(words)))
+        for document, (words, gone) in zip(ids, located(documents, spans)):
+            out.append((document, len(words), int(gone.sum()), b" ".join(compress(words, (~gone).tolist()))))
         columns = zip(*out)
         return pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
@@ -229,10 +258,10 @@ def _removed(df: DataFrame, window: int) -> DataFrame:
 
     def run(batches):
         held, size = [], 0
-        for batch in batches:
-            for row in rows_of(batch, "doc_id", "text", "ranges"):
-                held.append(row)
-                size += len(row[1]) // 6 + 1
+        for batch in chain.from_iterable(map(slices, batches)):
+            for document, text, ranges in rows_of(batch, "doc_id", "text", "ranges"):
+                held.append((document, text.encode("utf-8", "surrogatepass"), passages(ranges or [], window)))
+                size += len(text) // 6 + 1
                 if size >= BLOCK_WORDS:
                     yield block(held)
                     held, size = [], 0

@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from llm_fixtures import awkward, documents, prose
@@ -174,6 +176,42 @@ def test_substrings_with_few_words_and_short_windows(spark, seed):
     assert sum(r[2] for r in found) > 0
 
 
+class Given:
+    """Stands for a frame: hands back the function that a step runs over its batches."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+@pytest.mark.parametrize("step", [lambda: substrings._anchors(Given(), 35, 8), lambda: substrings._windows(Given(), 35),
+                                  lambda: substrings._removed(Given(), 35)], ids=["anchors", "windows", "removed"])
+def test_steps_hold_few_texts_of_a_batch_as_objects(step):
+    n, texts = 4000, [prose(700, seed) for seed in range(40)]
+    batch = pa.RecordBatch.from_pylist([
+        {"doc_id": i, "hash": i, "text": texts[i % 40], "ranges": [{"anchor": 1, "first": 5, "windows": 9}]}
+        for i in range(n)])
+    run = step()
+    tracemalloc.start()
+    found = sum(part.num_rows for part in run(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found >= n
+    assert most < 16 * 2 ** 20, most / 2 ** 20
+
+
+def test_phrases_of_more_words_than_letters_are_found_alike(monkeypatch):
+    draw = random.Random(5)
+    texts = [" ".join(draw.choice(["a b", "c d e", "f"]) for _ in range(60)).encode() for _ in range(20)]
+    spans = [[(0, 9), (20, 31)] if i % 2 else [] for i in range(20)]
+    strings = [(w, m.tolist()) for w, m in substrings.located(texts, spans)]
+    monkeypatch.setattr(substrings, "LETTERS", 10)
+    assert [(w, m.tolist()) for w, m in substrings.located(texts, spans)] == strings
+    assert any(any(m) for _, m in strings)
+
+
 def test_substrings_of_nothing(spark):
     assert substrings.remove_repeated(documents(spark, [])).count() == 0
 
