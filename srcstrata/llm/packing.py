@@ -10,7 +10,8 @@ its share, whatever the input's size.
 
 Token ids are those of the vocabulary file's tokenizer. They are computed by a
 faster library from the same file's vocabulary, whose merges are in the order of
-their ids, and remembered per word. Defined cases: null text is empty, a
+their ids, a whole text at a time: most words of a large table are rare, and
+remembering them costs more than encoding them again. Defined cases: null text is empty, a
 document of the end token alone; the file's added tokens are found in texts, as
 its tokenizer finds them, and what stands between them is encoded alone;
 repeated rows and null ids are documents of their own; an empty table gives an
@@ -33,7 +34,6 @@ from srcstrata.llm.common import rows_of, texts
 from srcstrata.session import stored
 
 CAPACITY, END, NEARLY_FULL, ITEMS = 1024, 2, 0.995, 100_000
-REMEMBERED = 300_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -63,7 +63,6 @@ class Tokens:
         ranks = {bytes(byte_of[c] for c in token): i
                  for token, i in loaded["model"]["vocab"].items() if token not in special}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.known: tuple[dict[str, list[int]], dict[str, list[int]]] = {}, {}
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of a text."""
@@ -74,31 +73,12 @@ class Tokens:
         return np.concatenate(parts)
 
     def _ordinary(self, text: str) -> np.ndarray:
-        """Ids of ordinary text. A single space between two other characters always begins a token."""
-        if ODD_SPACE.search(text):
-            return np.array(self.encoding.encode_ordinary(text), "<u4")
-        first, *rest = text.split(" ")
-        out = list(self._word("", first))
-        known = self.known[1].get
-        for word in rest:
-            out += known(word) or self._word(" ", word)
-        return np.array(out, "<u4")
-
-    def _word(self, before: str, word: str) -> list[int]:
-        known = self.known[len(before)]
-        found = known.get(word)
-        if found is None:
-            found = self.encoding.encode_ordinary(before + word)
-            if len(known) >= REMEMBERED:
-                known.clear()
-            if len(word) < 100:
-                known[word] = found
-        return found
+        """Ids of ordinary text."""
+        return self.encoding.encode_to_numpy(text, disallowed_special=())
 
 
 # Fixed value: the splitting pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-ODD_SPACE = re.compile(r" \s|\s ")
 
 
 def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

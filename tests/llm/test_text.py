@@ -531,6 +531,25 @@ def test_token_ids_of_any_text(text):
     assert tokens.ids(text).tolist() == reference.encode(text, add_special_tokens=False).ids
 
 
+class Counted:
+    """An encoding that counts the calls of its methods."""
+
+    def __init__(self, encoding):
+        self.encoding, self.calls = encoding, 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return getattr(self.encoding, name)
+
+
+def test_a_text_of_rare_words_is_encoded_at_once(reference):
+    tokens = packing.Tokens(VOCABULARY, added=True)
+    tokens.encoding = Counted(tokens.encoding)
+    text = " ".join(f"rare{i}word" for i in range(3000))
+    assert tokens.ids(text).tolist() == reference.encode(text, add_special_tokens=False).ids
+    assert tokens.encoding.calls == 1
+
+
 ADDED = ["x <|endoftext|> y", "<|endoftext|>", " <|endoftext|><|endoftext|>\n\n a", "a  <|endoftext|>  b <|endoftext|", "it's"]
 
 
